@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import fingerprints, prefix_counts, sharding
 from .common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_prefix_counts": prefix_counts.op3_prefix_counts,
         "op5_minimax_shards": sharding.op5_minimax_shards,
+        "op9_bottom_k": fingerprints.op9_bottom_k,
     }
 
 
