@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, prefix_counts, sharding
+from . import byte_bpe, decontamination, fingerprints, prefix_counts, sharding
 from .common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op3_prefix_counts": prefix_counts.op3_prefix_counts,
+        "op4_wu_manber": decontamination.op4_wu_manber,
         "op5_minimax_shards": sharding.op5_minimax_shards,
         "op9_bottom_k": fingerprints.op9_bottom_k,
     }
