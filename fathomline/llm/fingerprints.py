@@ -100,14 +100,18 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
 
     The texts are shuffled once by id; the openings and sketches of next documents once more.
     """
-    texts = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
-    ids = stored(texts.select("doc_id", F.length("text").cast("long").alias("n_chars")), "ids")
-    longest = ids.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    # one shuffle serves both joins as long as both sides have the same plan, so the id isn't aliased
+    texts = docs.select(F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    known = texts.where(F.col("doc_id").isNotNull())
+    ids = stored(known.select("doc_id", F.length("text").cast("long").alias("n_chars")), "ids")
+    longest = ids.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("n"))
     wants = next_ids(ids.select("doc_id")).join(longest, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("next_text")) if ids.count() != ids.select("doc_id").distinct().count() else texts.select("doc_id", F.col("text").alias("next_text"))
-    nexts = wants.join(one, "doc_id").select(F.col("for_id").alias("doc_id"), F.expr("left(next_text, need)").alias("opening"), sketch(F.col("next_text"), k).alias("next_sketch"))
-    joined = texts.join(nexts, "doc_id", "left")
-    return joined.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.coalesce("opening", F.lit("")).alias("opening"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
+    repeated = not longest.where("n > 1").isEmpty()
+    one = known.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else known
+    nexts = wants.join(one, "doc_id").select(F.col("for_id").alias("doc_id"), F.expr("left(text, need)").alias("opening"), sketch(F.col("text"), k).alias("next_sketch"))
+    joined = known.join(nexts, "doc_id")
+    orphans = texts.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit("").alias("opening"), F.array().cast("array<bigint>").alias("next_sketch"))
+    return joined.unionByName(orphans).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
