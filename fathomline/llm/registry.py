@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, prefix_counts, sharding
+from . import byte_bpe, decontamination, fingerprints, prefix_counts, sharding, toxicity
 from .common import Query
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op3_prefix_counts": prefix_counts.op3_prefix_counts,
         "op4_wu_manber": decontamination.op4_wu_manber,
         "op5_minimax_shards": sharding.op5_minimax_shards,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_bottom_k": fingerprints.op9_bottom_k,
     }
 
