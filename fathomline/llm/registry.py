@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, prefix_counts, sharding, toxicity
+from . import byte_bpe, decontamination, fingerprints, languages, pages, prefix_counts, sharding, toxicity
 from .common import Query
 
 
@@ -13,6 +13,8 @@ def queries() -> dict[str, Query]:
         "op4_wu_manber": decontamination.op4_wu_manber,
         "op5_minimax_shards": sharding.op5_minimax_shards,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_language_spans": languages.op7_language_spans,
+        "op8_main_text": pages.op8_main_text,
         "op9_bottom_k": fingerprints.op9_bottom_k,
     }
 
