@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, languages, pages, prefix_counts, sharding, toxicity
+from . import byte_bpe, decontamination, fingerprints, jaccard_join, languages, pages, prefix_counts, sharding, toxicity
 from .common import Query
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op7_language_spans": languages.op7_language_spans,
         "op8_main_text": pages.op8_main_text,
         "op9_bottom_k": fingerprints.op9_bottom_k,
+        "op10_count_vector_rtree": jaccard_join.op10_count_vector_rtree,
     }
 
 
