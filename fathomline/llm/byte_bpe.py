@@ -221,5 +221,24 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc
     return kept.mapInArrow(digested, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    kept = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = words_of(vocabulary)
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                texts = part.column(1).to_pylist()
+                packed = [own.packed(x) for x in texts]
+                same = [own.decoded(np.frombuffer(p, "<u4").tolist()) == x.encode() for p, x in zip(packed, texts, strict=True)]
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decodes"])
+
+    return kept.mapInArrow(encoded, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, decodes boolean")
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))

@@ -147,6 +147,22 @@ def joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("spans", F.when(F.size("spans") < 2, F.col("spans")).otherwise(F.aggregate("spans", F.slice("spans", 1, 0).cast(kind), put)))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows of docs, all columns as they are, whose text holds no window of the benchmark."""
+    for items in benchmark_parts(benchmark, item_id, item_text, part_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tables = searchers(shared.value, window)
+            for batch in batches:
+                free = [next((True for table in tables for _ in table.find(words_of(x.as_py()))), None) is None for x in batch.column(0).cast(pa.binary())]
+                yield batch.select([1]).filter(pa.array(free, pa.bool_()))
+
+        rows = docs.select(whole(text).alias("text"), F.struct("*").alias("row"))
+        docs = rows.mapInArrow(clean, rows.select("row").schema).select("row.*")
+    return docs
+
+
 def hit_words(ranges: str = "spans"):
     return F.aggregate(ranges, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
 

@@ -366,5 +366,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return own.join(known, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(1).alias("n_copies"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs, all columns as they are, of the smallest id of each component. Repeated rows of one id and text
+    stay once."""
+    grouped = stored(jaccard_components(docs, doc_id, text).select("doc_id", "component_id"), "groups")
+    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == gone["__gone"], "left_anti")
+    repeated = not grouped.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates([doc_id, text]) if repeated else kept
+
+
 def op10_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))

@@ -201,5 +201,21 @@ def identify(docs: DataFrame, **names: str) -> DataFrame:
     return label_spans(docs, Model(training_rows(docs, **names)), **{k: v for k, v in names.items() if k != "lang"})
 
 
+def keep_identified(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text") -> DataFrame:
+    """Rows of docs, all columns as they are, whose text has a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Labeller(shared.value, switch)
+        for batch in batches:
+            for first, end in by_chars(batch, 0, CHUNK):
+                part = batch.slice(first, end - first)
+                known = [bool(found) for found in own.label(part.column(0).to_pylist())]
+                yield part.select([1]).filter(pa.array(known, pa.bool_()))
+
+    rows = docs.select(whole(text).alias("text"), F.struct("*").alias("row"))
+    return rows.mapInArrow(kept, rows.select("row").schema).select("row.*")
+
+
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).select("doc_id", (fit_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "spans")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, jaccard_join, languages, pages, prefix_counts, sharding, toxicity
+from . import byte_bpe, decontamination, fingerprints, jaccard_join, languages, pages, prefix_counts, sharding, surrogates, toxicity
 from .common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+        "op2_surrogates": surrogates.op2_surrogates,
         "op3_prefix_counts": prefix_counts.op3_prefix_counts,
         "op4_wu_manber": decontamination.op4_wu_manber,
         "op5_minimax_shards": sharding.op5_minimax_shards,
