@@ -41,6 +41,8 @@ CHUNK = 8_000_000
 #: Sets of one key that a task compares at once.
 CELL = 2000
 FANOUT = 32
+#: Cells of so many members are compared without a tree.
+LEAF = 48
 #: Ids that may be broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -85,6 +87,25 @@ def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<i4")
 
 
+def fine_point(hashes: np.ndarray) -> bytes:
+    """Counts by as many groups as there are shingles (a power of two); empty where a count needs more than a byte."""
+    bits = min(20, max(6, int(len(hashes)).bit_length()))
+    counts = np.bincount((hashes & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def fine_bound(a: bytes, b: bytes) -> float:
+    """What two sets have in common at most; the finer point is folded to the other's groups."""
+    if not a or not b:
+        return float("inf")
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x = x.reshape(-1, len(y)).sum(0)
+    elif len(y) > len(x):
+        y = y.reshape(-1, len(x)).sum(0)
+    return float(np.minimum(x, y).sum())
+
+
 def digest(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -233,6 +254,30 @@ def cell_pairs(sides: np.ndarray, sid: np.ndarray, comp: np.ndarray, points: np.
     return pairs[:, 0], pairs[:, 1]
 
 
+def leaf_pairs(cell: np.ndarray, sid: np.ndarray, comp: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """cell_pairs() of many cells of at most LEAF members, each a tree of one leaf. cell: numbers in order, -1 for
+    rows that take no part."""
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, LEAF):
+        a = np.flatnonzero((cell[:-step] == cell[step:]) & (cell[step:] >= 0)) if len(cell) > step else np.zeros(0, np.int64)
+        if not len(a):
+            break
+        b = a + step
+        fits = (comp[a] != comp[b]) & (5 * sizes[a] >= 4 * sizes[b]) & (5 * sizes[b] >= 4 * sizes[a])
+        a, b = a[fits], b[fits]
+        if len(a):
+            found.append(_reaching(a, b, sid, points, sizes))
+    pairs = np.concatenate(found)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _reaching(a: np.ndarray, b: np.ndarray, sid: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    pairs = np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])], 1)
+    _, once = np.unique(pairs, axis=0, return_index=True)
+    a, b = a[once], b[once]
+    return pairs[once][9 * np.minimum(points[a], points[b]).sum(1) >= 4 * (sizes[a] + sizes[b])]
+
+
 def probe(members: DataFrame) -> DataFrame:
     """(u, v) of members (cell, side, sid, comp, n, point), by one R-tree a cell. Cells are of bounded size."""
 
@@ -245,8 +290,10 @@ def probe(members: DataFrame) -> DataFrame:
             cell, side, sid, comp, n = (table.column(i).to_numpy() for i in range(5))
             points = np.frombuffer(b"".join(table.column(5).to_pylist()), "<i4").reshape(-1, GROUPS)
             cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            us, vs = [], []
-            for first, end in zip(cuts, np.append(cuts[1:], len(cell)), strict=True):
+            ends = np.append(cuts[1:], len(cell))
+            u, v = leaf_pairs(np.repeat(np.where(ends - cuts <= LEAF, np.arange(len(cuts)), -1), ends - cuts), sid, comp, points, n)
+            us, vs = [u], [v]
+            for first, end in zip(cuts[ends - cuts > LEAF], ends[ends - cuts > LEAF], strict=True):
                 at = slice(first, end)
                 u, v = cell_pairs(side[at], sid[at], comp[at], points[at], n[at])
                 us.append(u)
@@ -290,11 +337,12 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("u", "v", "pu", "nu", "pv", "nv").mapInArrow(reach, "u bigint, v bigint")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) that link, by their whole sets, which are made again from the representatives' texts."""
-    asked = stored(pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct().join(sets.select("sid", "rep"), "sid"), "asked")
+def sets_of(asked: DataFrame, docs: DataFrame, fine: bool) -> DataFrame:
+    """(sid, n, made): the sets asked for (sid, rep) made again from their representatives' texts, as hashes or as
+    fine points."""
     few = asked.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(asked) if few else asked, docs["doc_id"] == asked["rep"]).select("sid", "text")
+    wanted = F.broadcast(asked) if few else asked
+    texts = docs.join(wanted, docs["doc_id"] == asked["rep"]).select("sid", "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,26 +351,40 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(x.as_py()) for x in part.column(1).cast(pa.binary())]
                 # another row of the representative's id can have another text
                 right = [set_id(digest(s)) == sid for s, sid in zip(sets, part.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "hashes"]).filter(pa.array(right, pa.bool_()))
+                made = [fine_point(s) if fine else s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([*map(len, sets)], pa.int64()), pa.array(made, pa.binary())], ["sid", "n", "made"]).filter(pa.array(right, pa.bool_()))
+
+    made = texts.mapInArrow(again, "sid bigint, n bigint, made binary")
+    repeated = docs.select("doc_id").join(wanted, docs["doc_id"] == asked["rep"]).count() > asked.count()
+    return made.dropDuplicates(["sid"]) if repeated else made
+
 
-    made = texts.mapInArrow(again, "sid bigint, hashes binary")
-    made = stored(made, "sets")
-    if made.count() > asked.count():  # rows of one id and text make the same set again
-        made = stored(made.dropDuplicates(["sid"]), "sets")
-    met = pairs.join(made.withColumnsRenamed({"sid": "u", "hashes": "hu"}), "u").join(made.withColumnsRenamed({"sid": "v", "hashes": "hv"}), "v")
+def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, fine: bool) -> DataFrame:
+    """Pairs (u, v) that link by their whole sets; with fine, those that their fine points don't rule out."""
+    both = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    asked = stored(both.join(sets.select("sid", "rep"), "sid"), "asked")
+    made = sets_of(asked, docs, fine)
+    met = pairs.join(made.withColumnsRenamed({"sid": "u", "n": "nu", "made": "mu"}), "u").join(made.withColumnsRenamed({"sid": "v", "n": "nv", "made": "mv"}), "v")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def common(a: bytes, b: bytes) -> float:
+        if fine:
+            return fine_bound(a, b)
+        both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+        both.sort(kind="stable")
+        return int((both[1:] == both[:-1]).sum())
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(9 * common >= 4 * (len(x) + len(y)))
+            _, _, nu, nv, mu, mv = batch.columns
+            keep = [9 * common(a.as_py(), b.as_py()) >= 4 * (x.as_py() + y.as_py()) for x, y, a, b in zip(nu, nv, mu, mv, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("u", "v", "hu", "hv").mapInArrow(exact, "u bigint, v bigint")
+    return met.select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(kept, "u bigint, v bigint")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (u, v) that link: fine points rule out most of the others, the whole sets decide."""
+    return compared(stored(compared(pairs, sets, docs, True), "near"), sets, docs, False)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,7 +405,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     closest = members.groupBy("sid", "first").agg(F.count("*").alias("n")).groupBy("sid").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
     tried = stored(bounded(closest.select(F.least("sid", "first").alias("u"), F.greatest("sid", "first").alias("v")).distinct(), sets), "tried")
-    links = stored(verify(tried, sets, texts), "links")
+    links = stored(compared(tried, sets, texts, False), "links")
     roots = components(links)
 
     everyone = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "point", F.coalesce("root", "sid").alias("comp"))
