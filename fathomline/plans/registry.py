@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features
+from . import features, relational
 
-MODULES = [features]
+MODULES = [features, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
