@@ -34,7 +34,7 @@ CTES = {
       UNION ALL SELECT NULL, trading_date, open, high, low, close, volume, 'c' FROM bars WHERE day(trading_date) = 3
       UNION ALL SELECT symbol, trading_date, 0.0, high, low, close, volume, 'c' FROM bars WHERE day(trading_date) = 4
       UNION ALL SELECT symbol, trading_date + 10000, open, high, low, close, volume, 'c' FROM bars WHERE day(trading_date) = 5""",
-    "ledger": "SELECT o_orderkey AS order_id, o_custkey % 50 AS account_id, 'S' || CAST(o_custkey % 9 AS VARCHAR) AS symbol, CASE WHEN o_orderkey % 3 <> 0 THEN 'BUY' ELSE 'SELL' END AS action, 100 * (1 + o_orderkey % 9) AS quantity, round(o_totalprice / 1000, 2) AS price, CAST(o_orderdate AS DATE) AS trade_date FROM orders",
+    "ledger": "SELECT o_orderkey AS order_id, o_custkey % 50 AS account_id, 'S' || CAST(o_custkey % 9 AS VARCHAR) AS symbol, CASE WHEN o_orderkey % 3 <> 0 THEN 'BUY' ELSE 'SELL' END AS action, 100 * (1 + o_orderkey % 9) AS quantity, round(o_totalprice / 1000 + 1e-9, 2) AS price, CAST(o_orderdate AS DATE) AS trade_date FROM orders",
     "elog": """SELECT event_id, ts AS event_ts, CASE event_type WHEN 'error' THEN 'pipeline_run' WHEN 'click' THEN 'source_request' WHEN 'view' THEN 'checkpoint_updated' WHEN 'signup' THEN 'scheduler_heartbeat' ELSE 'alert_state_change' END AS event_type,
       CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, 'U' || CAST(user_id % 30 AS VARCHAR) AS symbol, value, props AS payload_json FROM events""",
 }
@@ -129,7 +129,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") % 50).alias("account_id"), F.concat(F.lit("S"), (F.col("o_custkey") % 9).cast("string")).alias("symbol"),
         F.when(F.col("o_orderkey") % 3 != 0, "BUY").otherwise("SELL").alias("action"), (100 * (1 + F.col("o_orderkey") % 9)).alias("quantity"),
-        F.round(F.col("o_totalprice") / 1000, 2).alias("price"), F.to_date("o_orderdate").alias("trade_date"),
+        F.round(F.col("o_totalprice") / 1000 + F.lit(1e-9), 2).alias("price"), F.to_date("o_orderdate").alias("trade_date"),
     )
 
 

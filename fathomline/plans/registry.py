@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, relational
+from . import features, relational, selection
 
-MODULES = [features, relational]
+MODULES = [features, relational, selection]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
