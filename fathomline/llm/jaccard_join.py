@@ -7,11 +7,12 @@ shingle). Two documents link when their sets' Jaccard similarity is at least 0.8
    group counts are its point. The sum of two points' coordinate minima bounds what the sets have in common.
 2. Sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each in any common order (here: frequent
    shingles last, else by hash), so pairs are sought among sets that share such a key. Unshared keys are dropped.
-3. Each set is verified against the first set of the keys that the two share most of. Links so found are contracted.
-4. Keys whose sets are still in several components get an R-tree over their points: nodes whose corner bounds the
+3. Keys with the same hub (the set whose keys are shared most) form a block of sets. Each set is verified against the
+   hub that it shares most keys with, then against its other hubs where that joins components of the links so far.
+4. Blocks whose sets are still in several components get an R-tree over their points: nodes whose corner bounds the
    overlap below what a link needs are skipped, surviving pairs of different components are verified on the sets.
-   Large keys are cut into cells of bounded size, each pair of cells a task of its own. No link between components is
-   lost, and links inside a component change nothing.
+   Large blocks are cut into cells of bounded size, each pair of cells a task of its own. No link between components
+   is lost, and links inside a component change nothing.
 
 The order of step 2 is a matter of speed only; frequent shingles are counted over all documents (those that repeat
 within a batch, at most FREQUENT of them kept). Null, empty and wordless texts have empty sets, link with nothing, and
@@ -361,7 +362,7 @@ def sets_of(asked: DataFrame, docs: DataFrame, fine: bool) -> DataFrame:
 
 def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, fine: bool) -> DataFrame:
     """Pairs (u, v) that link by their whole sets; with fine, those that their fine points don't rule out."""
-    both = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    both = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
     asked = stored(both.join(sets.select("sid", "rep"), "sid"), "asked")
     made = sets_of(asked, docs, fine)
     met = pairs.join(made.withColumnsRenamed({"sid": "u", "n": "nu", "made": "mu"}), "u").join(made.withColumnsRenamed({"sid": "v", "n": "nv", "made": "mv"}), "v")
@@ -387,6 +388,34 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return compared(stored(compared(pairs, sets, docs, True), "near"), sets, docs, False)
 
 
+def hub_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, sid, shared): the sets of all keys that have the same hub, with the number of these keys.
+
+    The hub of a key is the set of the key with the largest share of its own keys shared: among near copies, the one
+    that the others were made from. Sets that share a key stand in one block, and a pair of sets meets in a block
+    or two instead of once a key.
+    """
+    rows = members.select("key", "sid").unionByName(members.groupBy("key").agg(F.min("first").alias("sid")))
+    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
+    known = rows.groupBy("sid").agg(F.count("*").alias("c")).join(sets.select("sid", "n"), "sid").select("sid", F.round(F.col("c") / prefix, 4).alias("part"))
+    rated = rows.join(known, "sid")
+    hubs = rated.groupBy("key").agg(F.max_by("sid", F.struct("part", "sid")).alias("hub"))
+    return rows.join(hubs, "key").where("sid <> hub").groupBy("hub", "sid").agg(F.count("*").alias("shared"))
+
+
+def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+
+
+def placed(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sid, comp)"""
+    return stored(sets.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp")), "comps")
+
+
+def with_comps(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    return blocks.join(comps, "sid").join(comps.select(F.col("sid").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_copies (documents of the same set), component_id (smallest id reachable by links)."""
     texts = docs.select(F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
@@ -402,25 +431,33 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not sets.where("clash").isEmpty():
         raise ValueError("two sets share 64 bits of their digest")
     members = stored(shared_keys(prefix_keys(texts, frequent)), "keys")
+    blocks = stored(hub_blocks(members, sets), "blocks")
 
-    closest = members.groupBy("sid", "first").agg(F.count("*").alias("n")).groupBy("sid").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
-    tried = stored(bounded(closest.select(F.least("sid", "first").alias("u"), F.greatest("sid", "first").alias("v")).distinct(), sets), "tried")
+    # each set with the hub that it shares most keys with
+    closest = blocks.groupBy("sid").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    tried = stored(bounded(ordered(closest, "sid", "hub"), sets), "tried")
     links = stored(compared(tried, sets, texts, False), "links")
-    roots = components(links)
-
-    everyone = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "point", F.coalesce("root", "sid").alias("comp"))
-    placed = members.join(everyone.select("sid", "comp"), "sid").join(everyone.select(F.col("sid").alias("first"), F.col("comp").alias("first_comp")), "first")
-    open_keys = placed.groupBy("key").agg(F.min(F.least("comp", "first_comp")).alias("low"), F.max(F.greatest("comp", "first_comp")).alias("high"), F.count("*").alias("n"), F.min("first").alias("first")).where("low < high").select("key", "first", F.ceil((F.col("n") + 1) / CELL).cast("int").alias("cells"))
-    open_keys = stored(open_keys, "open")
-    if not open_keys.isEmpty():
-        asked = members.join(open_keys.select("key", "cells"), "key").select("key", "cells", "sid").unionByName(open_keys.select("key", "cells", F.col("first").alias("sid")))
-        own_cell = F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")
-        dealt = asked.withColumn("own", own_cell).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    comps = placed(sets, components(links))
+
+    # each set with its other hubs, where that joins components
+    met = with_comps(blocks, comps).where("comp <> hub_comp")
+    tried = stored(bounded(ordered(met, "sid", "hub"), sets), "tried")
+    if not tried.isEmpty():
+        links = stored(links.unionByName(verify(tried, sets, texts)), "links")
+        comps = placed(sets, components(links))
+
+    # all sets of the blocks that still hold several components
+    met = with_comps(blocks, comps)
+    open_blocks = met.groupBy("hub").agg(F.min(F.least("comp", "hub_comp")).alias("low"), F.max(F.greatest("comp", "hub_comp")).alias("high"), F.count("*").alias("n")).where("low < high")
+    open_blocks = stored(open_blocks.select("hub", F.ceil((F.col("n") + 1) / CELL).cast("int").alias("cells")), "open")
+    if not open_blocks.isEmpty():
+        asked = blocks.join(open_blocks, "hub").select("hub", "cells", "sid").unionByName(open_blocks.select("hub", "cells", F.col("hub").alias("sid")))
+        dealt = asked.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        cell = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other"))
         dealt = dealt.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sid")
-        pairs = stored(probe(dealt.join(everyone, "sid")).distinct(), "pairs")
-        links = links.unionByName(verify(pairs, sets, texts))
-        roots = components(links)
+        pairs = stored(probe(dealt.join(comps, "sid").join(sets.select("sid", "n", "point"), "sid")).distinct(), "pairs")
+        links = stored(links.unionByName(verify(pairs, sets, texts)), "links")
+    roots = components(links)
 
     rooted = sets.select("sid", "rep", "n_copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
