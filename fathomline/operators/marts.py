@@ -11,6 +11,8 @@ from .windows import cross_section_rank, rolling_mean_global, window_spec
 #: Weights of the composite score.
 WEIGHTS = {"trend": 0.28, "momentum": 0.24, "volatility": 0.16, "liquidity": 0.14, "relative_strength": 0.18}
 
+GAP = 1e-9
+
 
 def market_breadth(bars: DataFrame, key: str = "symbol", order: str = "trading_date") -> DataFrame:
     """Advancers, decliners and their ratios a date. Rows without a previous close count as active."""
@@ -50,7 +52,7 @@ def market_regime(index_features: DataFrame, breadth: DataFrame, main: str = "ID
     close, mid, slow, breadth_now = F.col("main_close"), F.col("main_sma_50"), F.col("main_sma_200"), neutral(F.col("breadth_score"), 0.0)
     usual = F.nullif(F.col("volatility_avg_252"), F.lit(0.0))
     df = df.withColumns({
-        "market_regime": label([((close > mid) & (mid > slow) & (breadth_now >= 0.10), "bullish"), ((close < mid) & (mid < slow) & (breadth_now <= -0.10), "bearish")], "neutral"),
+        "market_regime": label([((close - mid > GAP) & (mid - slow > GAP) & (breadth_now >= 0.10), "bullish"), ((mid - close > GAP) & (slow - mid > GAP) & (breadth_now <= -0.10), "bearish")], "neutral"),
         "volatility_regime": label([(F.col("main_volatility_20d") > 1.35 * usual, "high_volatility"), (F.col("main_volatility_20d") < 0.75 * usual, "low_volatility")], "normal_volatility"),
     })
     lean = F.when(F.col("market_regime") == "bullish", 1.0).when(F.col("market_regime") == "bearish", -1.0).otherwise(0.0)
@@ -84,7 +86,8 @@ def ta_scores(df: DataFrame, benchmarks: tuple[str, str] = ("core", "all"), weig
 
 
 def trend_state(close: Column, mid: Column, slow: Column) -> Column:
-    return label([((close > mid) & (mid > slow), "uptrend"), ((close < mid) & (mid < slow), "downtrend")], "sideways")
+    """Gaps of 1e-9 count: equal means differ in their last bits."""
+    return label([((close - mid > GAP) & (mid - slow > GAP), "uptrend"), ((mid - close > GAP) & (slow - mid > GAP), "downtrend")], "sideways")
 
 
 def liquidity_state(share: Column) -> Column:

@@ -14,6 +14,9 @@ CONFIG = {
     "trend": 0.25, "relative_strength": 0.25, "momentum": 0.20, "volatility": 0.15, "liquidity": 0.15, "percentile_scale": 100.0, "max_positions": 10, "max_weight": 0.15, "min_weight": 0.02,
 }
 
+#: Keeps sums that end in a 5 at the seventh digit off the rounding edge.
+EDGE = 1e-9
+
 
 def score_context(df: DataFrame, config: dict[str, float] = CONFIG) -> DataFrame:
     """Score, confidence, risk level, recommendation and rationale of context rows.
@@ -47,8 +50,8 @@ def score_context(df: DataFrame, config: dict[str, float] = CONFIG) -> DataFrame
     rec = label([(c("__blocked"), "blocked_data_quality"), ((regime == "bearish") | (c("__score") <= cfg["risk_off_score"]), "avoid_or_reduce"), (c("__score") >= cfg["candidate_score"], "candidate_long")], "watch")
     df = df.withColumns({
         "recommendation": rec,
-        "confidence": F.round(F.when(c("risk_level") == "high", clamp(sure - 0.10)).otherwise(sure), 6),
-        "score": F.round(F.when(c("__blocked"), F.least(c("__score"), F.lit(0.20))).otherwise(c("__score")), 6),
+        "confidence": F.round(F.when(c("risk_level") == "high", clamp(sure - 0.10)).otherwise(sure) + EDGE, 6),
+        "score": F.round(F.when(c("__blocked"), F.least(c("__score"), F.lit(0.20))).otherwise(c("__score")) + EDGE, 6),
     })
     why = to_json_sorted({"market": finite(c("__market")), "symbol": finite(c("__symbol")), "components": F.struct(*[F.round(f"score_{k}", 4).alias(k) for k in sorted(parts)]), "quality": quality, "risk_level": c("risk_level")})
     return df.withColumn("rationale_json", why).drop("__blocked", "__market", "__symbol", "__score")

@@ -36,7 +36,7 @@ SESSIONS = """SELECT symbol, session_date AS trading_date, min(bar_time) AS firs
   arg_max(close, bar_time) AS session_close, sum(volume) AS session_volume, (max(high) - min(low)) / nullif(arg_max(close, bar_time), 0) AS session_range_pct, arg_max(close, bar_time) / nullif(arg_min(open, bar_time), 0) - 1 AS session_return
   FROM intra GROUP BY symbol, session_date"""
 REGIME = f"""SELECT *, CASE market_regime WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 ELSE 0.0 END + coalesce(breadth_score, 0) + CASE WHEN second_return_20d > main_return_20d THEN 0.25 ELSE -0.25 END AS regime_score FROM (
-  SELECT *, CASE WHEN main_close > main_sma_50 AND main_sma_50 > main_sma_200 AND coalesce(breadth_score, 0) >= 0.10 THEN 'bullish' WHEN main_close < main_sma_50 AND main_sma_50 < main_sma_200 AND coalesce(breadth_score, 0) <= -0.10 THEN 'bearish' ELSE 'neutral' END AS market_regime,
+  SELECT *, CASE WHEN main_close - main_sma_50 > 1e-9 AND main_sma_50 - main_sma_200 > 1e-9 AND coalesce(breadth_score, 0) >= 0.10 THEN 'bullish' WHEN main_sma_50 - main_close > 1e-9 AND main_sma_200 - main_sma_50 > 1e-9 AND coalesce(breadth_score, 0) <= -0.10 THEN 'bearish' ELSE 'neutral' END AS market_regime,
     CASE WHEN main_volatility_20d > 1.35 * nullif(volatility_avg_252, 0) THEN 'high_volatility' WHEN main_volatility_20d < 0.75 * nullif(volatility_avg_252, 0) THEN 'low_volatility' ELSE 'normal_volatility' END AS volatility_regime FROM (
     SELECT p.*, active_symbols, advancers, decliners, advancer_ratio, breadth_score, constituent_volume, avg(main_volatility_20d) OVER (ORDER BY p.trading_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS volatility_avg_252 FROM (
       SELECT trading_date, {", ".join(f"max(CASE WHEN symbol = '{s}' THEN {c} END) AS {p}_{c}" for p, s in (("main", "IDX_ALL"), ("second", "IDX_CORE")) for c in ("close", "return_1d", "return_20d", "sma_20", "sma_50", "sma_200", "volatility_20d"))} FROM ir GROUP BY trading_date) p LEFT JOIN br USING (trading_date)))"""
@@ -122,7 +122,7 @@ FRESH = """SELECT s.dataset_name, s.symbol, latest_data_ts, table_row_count, man
   UNION ALL SELECT 'intraday', symbol, max(bar_time), count(*) FROM intra GROUP BY symbol) s
   LEFT JOIN (SELECT dataset_name, symbol, max(coverage_end) AS manifest_coverage_end, sum(row_count) AS manifest_row_count, max(update_status) AS update_status FROM mani GROUP BY ALL) m ON s.dataset_name = m.dataset_name AND s.symbol = m.symbol"""
 FEATURES = """SELECT r.*, traded_value_proxy, avg_volume_20d, avg_volume_60d, volume_to_avg_20d, volume_cross_section_percentile, traded_value_cross_section_percentile, bench_return_1d, bench_return_20d, bench_return_60d,
-  return_20d - bench_return_20d AS relative_strength_20d, return_60d - bench_return_60d AS relative_strength_60d, CASE WHEN close > sma_50 AND sma_50 > sma_200 THEN 'uptrend' WHEN close < sma_50 AND sma_50 < sma_200 THEN 'downtrend' ELSE 'sideways' END AS trend_state,
+  return_20d - bench_return_20d AS relative_strength_20d, return_60d - bench_return_60d AS relative_strength_60d, CASE WHEN close - sma_50 > 1e-9 AND sma_50 - sma_200 > 1e-9 THEN 'uptrend' WHEN sma_50 - close > 1e-9 AND sma_200 - sma_50 > 1e-9 THEN 'downtrend' ELSE 'sideways' END AS trend_state,
   CASE WHEN traded_value_cross_section_percentile >= 0.75 THEN 'high_liquidity' WHEN traded_value_cross_section_percentile <= 0.25 THEN 'low_liquidity' ELSE 'normal_liquidity' END AS liquidity_state
   FROM rt r SEMI JOIN act USING (symbol) LEFT JOIN (SELECT * EXCLUDE (volume) FROM lq) l USING (symbol, trading_date) LEFT JOIN (SELECT trading_date, return_1d AS bench_return_1d, return_20d AS bench_return_20d, return_60d AS bench_return_60d FROM ir WHERE symbol = 'IDX_CORE') b USING (trading_date)"""
 ACTIVE = "SELECT DISTINCT symbol FROM uni WHERE universe_name = 'CORE' AND (end_date IS NULL OR end_date >= (SELECT as_of FROM upto))"

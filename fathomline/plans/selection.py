@@ -32,8 +32,8 @@ def context(s: SparkSession, d: str) -> DataFrame:
 
 CXS = {**ft.CONTEXT_CTES, "c": "SELECT " + ", ".join(r(c) if c in _CXD else c for c in _CX) + f" FROM cx WHERE trading_date >= {_FROM}"}
 _CL = "least(1.0, greatest(0.0, {0}))".format
-SCORE = f"""SELECT *, CASE WHEN blocked THEN 'blocked_data_quality' WHEN coalesce(market_regime, 'neutral') = 'bearish' OR s0 <= 0.25 THEN 'avoid_or_reduce' WHEN s0 >= 0.60 THEN 'candidate_long' ELSE 'watch' END AS recommendation, round(CASE WHEN blocked THEN least(s0, 0.20) ELSE s0 END, 6) AS score,
-  round(CASE WHEN risk_level = 'high' THEN {_CL("c0 - 0.10")} ELSE c0 END, 6) AS confidence FROM (SELECT *, {_CL("0.35 + abs(s0 - 0.50) + CASE WHEN blocked THEN -0.10 ELSE 0.15 END")} AS c0 FROM (SELECT *, {_CL('0.50 + mk + sy')} AS s0 FROM (SELECT *,
+SCORE = f"""SELECT *, CASE WHEN blocked THEN 'blocked_data_quality' WHEN coalesce(market_regime, 'neutral') = 'bearish' OR s0 <= 0.25 THEN 'avoid_or_reduce' WHEN s0 >= 0.60 THEN 'candidate_long' ELSE 'watch' END AS recommendation, round(CASE WHEN blocked THEN least(s0, 0.20) ELSE s0 END + 1e-9, 6) AS score,
+  round(CASE WHEN risk_level = 'high' THEN {_CL("c0 - 0.10")} ELSE c0 END + 1e-9, 6) AS confidence FROM (SELECT *, {_CL("0.35 + abs(s0 - 0.50) + CASE WHEN blocked THEN -0.10 ELSE 0.15 END")} AS c0 FROM (SELECT *, {_CL('0.50 + mk + sy')} AS s0 FROM (SELECT *,
   coalesce(data_quality_status, 'missing') <> 'pass' OR coalesce(stale_days, 999) > 5 AS blocked, CASE market_regime WHEN 'bullish' THEN 0.15 WHEN 'bearish' THEN -0.25 ELSE 0.0 END - CASE WHEN volatility_regime = 'high_volatility' THEN 0.10 ELSE 0.0 END + (coalesce(regime_score, 0.5) - 0.5) * 0.20 AS mk,
   0.25 * (CASE trend_state WHEN 'uptrend' THEN 1.0 WHEN 'downtrend' THEN 0.0 ELSE 0.5 END - 0.5) + 0.25 * ({_CL('0.5 + coalesce(relative_strength_20d, 0.0) * 2.0')} - 0.5) + 0.20 * ({_CL('0.5 + coalesce(return_20d, 0.0) * 3.0')} - 0.5) + 0.15 * ({_CL('1.0 - coalesce(volatility_20d, 0.0) * 3.0')} - 0.5) + 0.15 * ({_CL('coalesce(traded_value_cross_section_percentile, 0.0) / 100.0')} - 0.5) AS sy,
   CASE WHEN volatility_regime = 'high_volatility' OR abs(coalesce(drawdown_from_peak, 0)) > 0.18 OR coalesce(volatility_20d, 0) > 0.06 THEN 'high' WHEN abs(coalesce(drawdown_from_peak, 0)) > 0.08 OR coalesce(volatility_20d, 0) > 0.035 THEN 'medium' ELSE 'low' END AS risk_level FROM c)))"""
