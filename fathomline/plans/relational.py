@@ -75,7 +75,7 @@ def ranges(s: SparkSession, d: str) -> DataFrame:
     return rounded(met.groupBy("symbol", "at").agg(F.count("*").alias("n"), F.sum("close").alias("total")), 4)
 
 
-RANGES = ctes("bars", b="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date) AS rn FROM bars") + "SELECT s.symbol, CAST(s.rn AS INT) AS at, count(*) AS n, round(sum(b.close) + 3e-10, 4) + 0.0 AS total FROM b s JOIN b ON s.symbol = b.symbol AND b.rn BETWEEN s.rn - 9 AND s.rn WHERE s.rn % 50 = 0 GROUP BY s.symbol, s.rn"
+RANGES = ctes("bars", b="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date) AS rn FROM bars") + "SELECT s.symbol, CAST(s.rn AS INT) AS at, count(*) AS n, round(sum(b.close) + 3e-8, 4) + 0.0 AS total FROM b s JOIN b ON s.symbol = b.symbol AND b.rn BETWEEN s.rn - 9 AND s.rn WHERE s.rn % 50 = 0 GROUP BY s.symbol, s.rn"
 
 
 def entry_prices(s: SparkSession, d: str) -> DataFrame:

@@ -154,7 +154,7 @@ def equities(s: SparkSession, d: str) -> DataFrame:
 
 
 EQUITY = ctes("ledger", **LEDS, po=POSITIONS, pr=_PRICES) + f"SELECT account_id, {r('cash market_value unrealised_pnl equity', 2)} FROM (SELECT account_id, cash, market_value, unrealised_pnl, cash + coalesce(market_value, 0) AS equity FROM (SELECT account_id, 1e7 + sum(net_cash) AS cash FROM co GROUP BY account_id) LEFT JOIN (SELECT account_id, sum(quantity * price) AS market_value, sum(quantity * price - cost_basis) AS unrealised_pnl FROM po LEFT JOIN pr USING (symbol) GROUP BY account_id) USING (account_id))"
-ANALYSIS = ctes("ledger", **LEDS, po=POSITIONS, pr=_PRICES) + f"SELECT account_id, n_positions, winners, losers, {r('cost_basis market_value gross_pnl net_pnl', 2)}, round((net_pnl + cost_basis) / nullif(cost_basis, 0) - 1 + 3e-10, 2) + 0.0 AS net_return FROM (SELECT account_id, count(*) AS n_positions, sum(cost_basis) AS cost_basis, sum(v) AS market_value, sum(v - cost_basis) AS gross_pnl, sum(v * (1 - 0.0015 - 0.001) - cost_basis) AS net_pnl, count(*) FILTER (WHERE v - cost_basis > 1e-9) AS winners, count(*) FILTER (WHERE v - cost_basis < -1e-9) AS losers FROM (SELECT *, quantity * price AS v FROM po LEFT JOIN pr USING (symbol)) GROUP BY account_id)"
+ANALYSIS = ctes("ledger", **LEDS, po=POSITIONS, pr=_PRICES) + f"SELECT account_id, n_positions, winners, losers, {r('cost_basis market_value gross_pnl net_pnl', 2)}, round((net_pnl + cost_basis) / nullif(cost_basis, 0) - 1 + 3e-6, 2) + 0.0 AS net_return FROM (SELECT account_id, count(*) AS n_positions, sum(cost_basis) AS cost_basis, sum(v) AS market_value, sum(v - cost_basis) AS gross_pnl, sum(v * (1 - 0.0015 - 0.001) - cost_basis) AS net_pnl, count(*) FILTER (WHERE v - cost_basis > 1e-9) AS winners, count(*) FILTER (WHERE v - cost_basis < -1e-9) AS losers FROM (SELECT *, quantity * price AS v FROM po LEFT JOIN pr USING (symbol)) GROUP BY account_id)"
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
