@@ -268,6 +268,27 @@ def test_jaccard_components_against_all_pairs(spark, monkeypatch, often, cell, l
     assert made == brute_components({i: t or "" for i, t in enumerate(texts)})
 
 
+@pytest.mark.parametrize("cell,shingles,leaf", [(2000, 2_000_000, 48), (6, 2000, 2)])
+def test_all_links_against_all_pairs(spark, monkeypatch, cell, shingles, leaf):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    monkeypatch.setattr(jaccard_join, "CELL_SHINGLES", shingles)
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    base = made_up(1, 98, 4000)[0].split()[:150]
+    group = [" ".join([*base[:i], f"w{i}", *base[i + 1 :]]) for i in range(0, 150, 6)]
+    texts = [t or "" for t in ODD + near_copies(11)] + group
+    sets: dict[tuple, int] = {}
+    for i, t in enumerate(texts):
+        words = t.encode().lower().split()
+        sets.setdefault(tuple(sorted({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})) if words else (), i)
+    sets.pop((), None)
+    want = sorted((i, j) for (a, i), (b, j) in itertools.combinations(sets.items(), 2) if 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b}))
+    docs = frame(spark, texts).repartition(3)
+    assert sorted((r["u"], r["v"]) for r in jaccard_join.jaccard_links(docs).collect()) == want and len(want) > 100
+    made = {r["doc_id"]: r for r in jaccard_join.joined(docs).collect()}
+    assert {i: r["component_id"] for i, r in made.items()} == brute_components(dict(enumerate(texts)))
+    assert all(made[i]["n_links"] == sum(i in pair for pair in want) for i in sets.values())
+
+
 def test_rtree_keeps_every_pair_of_the_bound():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 12, (20, jaccard_join.GROUPS))
