@@ -14,9 +14,9 @@ shingle). Two documents link when their sets' Jaccard similarity is at least 0.8
    Large blocks are cut into cells of bounded size, each pair of cells a task of its own. No link between components
    is lost, and links inside a component change nothing.
 
-jaccard_components() takes these steps and finds components only. jaccard_links() and joined() look for all links:
-after steps 1 and 2 every block of step 3 goes through the R-trees of its cells with the whole sets of its members, and
-each pair that the bound lets through is verified, whatever its component, in the first of the blocks that it shares.
+5. The steps so far find components. jaccard_links() and joined() go on to every link: all links of a set lie in its
+   component, so the texts of each component meet (in cells, if it is large), and each pair that an R-tree over their
+   points lets through is verified on the sets, however the component was tied.
 
 The order of step 2 is a matter of speed only; frequent shingles are counted over all documents (those that repeat
 within a batch, at most FREQUENT of them kept). Null, empty and wordless texts have empty sets, link with nothing, and
@@ -31,6 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ OFTEN = 40
 CHUNK = 8_000_000
 #: Sets of one key that a task compares at once.
 CELL = 2000
-#: Shingles of a cell where whole sets are compared.
+#: Shingles of a cell of a component.
 CELL_SHINGLES = 2_000_000
 FANOUT = 32
 #: Cells of so many members are compared without a tree.
@@ -461,85 +462,75 @@ def linking(a: np.ndarray, b: np.ndarray, ids: np.ndarray, starts: np.ndarray, s
     return keep
 
 
-def tied(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Roots of rows after the pairs are joined; label holds the roots before."""
-    while ((x := label[a]) != (y := label[b])).any():
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while ((up := label[label]) != label).any():
-            label = up
-    return label
-
-
 def compare_cells(members: DataFrame, each: bool) -> DataFrame:
-    """All links of members (cell, side, hub, sid, hubs, made), each in one cell: as rows (u, v, 1) of a pair where
-    each is set, else as rows (u, v, n) of a set's n links in a cell with the root v of the sets that they tie there."""
+    """All links of members (cell, side, sid, text): as rows (u, v) where each is set, else as rows (sid, n) of a
+    set's n links in a cell."""
+    names = ["u", "v"] if each else ["sid", "n"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def rows(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "n"])
-
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell, side, hub, sid = (table.column(i).to_numpy() for i in range(4))
-            hubs = list(map(frozenset, table.column(4).to_pylist()))
-            alone = np.fromiter((len(h) == 1 for h in hubs), bool, len(hubs))
-            sets = [np.frombuffer(raw, np.uint64) for raw in table.column(5).to_pylist()]
+            cell, side, sid = (table.column(i).to_numpy() for i in range(3))
+            sets = [shingle_set(x.as_py()) for x in table.column(3).cast(pa.binary())]
+            # another row of the representative's id can have another text, or the same once more
+            known, right = set(), np.zeros(len(sid), bool)
+            for i, key in enumerate(zip(cell.tolist(), sid.tolist(), strict=True)):
+                if key not in known and set_id(digest(sets[i])) == key[1]:
+                    known.add(key)
+                    right[i] = True
+            cell, side, sid, sets = cell[right], side[right], sid[right], [sets[i] for i in np.flatnonzero(right)]
+            if not len(sets):
+                return
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            points = np.stack(list(map(point, sets)))
             words, ids = np.unique(np.concatenate(sets), return_inverse=True)
-            seen, starts = np.zeros(len(words), bool), np.cumsum(sizes) - sizes
-            label, count = np.arange(len(sid)), np.zeros(len(sid), np.int64)
-            for a, b in bounded_rows(cell, side, points, sizes):
-                # a pair that shares several blocks is compared in the first
-                first = alone[a] | alone[b]
-                for i in np.flatnonzero(~first):
-                    first[i] = min(hubs[a[i]] & hubs[b[i]]) == hub[a[i]]
-                a, b = a[first], b[first]
-                keep = linking(a, b, ids, starts, sizes, seen)
+            seen, count = np.zeros(len(words), bool), np.zeros(len(sid), np.int64)
+            for a, b in bounded_rows(cell, side, np.stack(list(map(point, sets))), sizes):
+                keep = linking(a, b, ids, np.cumsum(sizes) - sizes, sizes, seen)
                 a, b = a[keep], b[keep]
                 if each and len(a):
-                    yield rows(np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b]), np.ones(len(a), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[a], sid[b])), pa.array(np.maximum(sid[a], sid[b]))], names)
                 elif len(a):
                     count += np.bincount(np.concatenate([a, b]), minlength=len(sid))
-                    label = tied(label, a, b)
             if (at := np.flatnonzero(count)).size:
-                yield rows(sid[at], sid[label[at]], count[at])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(count[at])], names)
 
         for batch in batches:
             cell = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(cell):
                 continue
-            tail = int(np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))[-1])
+            cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist()
             if held and held[-1].column(0)[-1].as_py() != cell[0]:
                 yield from flush(pa.Table.from_batches(held))
                 held = []
-            if tail:
-                yield from flush(pa.Table.from_batches([*held, batch.slice(0, tail)]))
-                held = []
-            held.append(batch.slice(tail))
+            # whole cells of about CHUNK bytes of text at once
+            begun, sizes = 0, np.cumsum(pa.compute.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))
+            for at in cuts[1:]:
+                if at == cuts[-1] or sizes[at - 1] - (sizes[begun - 1] if begun else 0) > CHUNK:
+                    yield from flush(pa.Table.from_batches([*held, batch.slice(begun, at - begun)]))
+                    begun, held = at, []
+            held.append(batch.slice(begun))
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return members.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "hub", "sid", "hubs", "made").mapInArrow(found, "u bigint, v bigint, n bigint")
+    return members.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "sid", "text").mapInArrow(found, ", ".join(f"{n} bigint" for n in names))
 
 
-def all_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, each: bool) -> DataFrame:
-    """compare_cells() of all blocks, each with its hub and cut into cells."""
-    rows = blocks.select("hub", "sid").unionByName(blocks.select("hub", F.col("hub").alias("sid")).distinct())
-    rows = stored(rows.join(sets.select("sid", "rep", "n"), "sid"), "rows")
-    cells = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
-    asked = stored(rows.join(cells, "hub").groupBy("sid", "rep").agg(F.collect_list(F.struct("hub", "cells")).alias("blocks")), "asked")
-    made = sets_of(asked.select("sid", "rep"), docs, False).select("sid", "made")
-    dealt = asked.join(made, "sid").select("sid", "made", F.col("blocks.hub").alias("hubs"), F.explode("blocks").alias("b")).select("sid", "made", "hubs", "b.*")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    cell = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other"))
+def all_links(roots: DataFrame, sets: DataFrame, docs: DataFrame, each: bool) -> DataFrame:
+    """compare_cells() of all components of several classes, each cut into cells."""
+    tied = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root").distinct())
+    tied = stored(tied.join(sets.select("sid", "rep", "n"), "sid"), "tied")
+    cells = tied.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
+    asked = stored(tied.join(cells, "root").select("sid", "rep", "root", "cells"), "asked")
+    met = docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, docs["doc_id"] == asked["rep"]).select("sid", "root", "cells", "text")
+    dealt = met.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cell = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return stored(compare_cells(dealt.select(cell.alias("cell"), side.alias("side"), "hub", "sid", "hubs", "made"), each), "links")
+    return stored(compare_cells(dealt.select(cell.alias("cell"), side.alias("side"), "sid", "text"), each), "links")
 
 
-def classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Steps 1 to 3: the texts, a row of each document, the classes and the blocks."""
+def linked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 4: the texts, a row of each document, the classes and the roots of their components."""
     texts = docs.select(F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     surveyed = survey(texts)
     own = surveyed.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest", "sid", "point")
@@ -553,37 +544,7 @@ def classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
     if not sets.where("clash").isEmpty():
         raise ValueError("two sets share 64 bits of their digest")
     members = stored(shared_keys(prefix_keys(texts, frequent)), "keys")
-    return texts, own, sets, stored(hub_blocks(members, sets), "blocks")
-
-
-def with_components(own: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the columns of jaccard_components(), with sid."""
-    rooted = sets.select("sid", "rep", "n_copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(least, "root").select("sid", "n_copies", "component_id")
-    return own.join(known, "sid", "left").select("sid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(1).alias("n_copies"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(u, v): every link between classes, by their smallest ids."""
-    texts, _, sets, blocks = classes(docs, doc_id, text)
-    links = all_links(blocks, sets, texts, True)
-    named = lambda c: sets.select(F.col("sid").alias(c), F.col("rep").alias(f"rep_{c}"))
-    return links.join(named("u"), "u").join(named("v"), "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
-
-
-def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """jaccard_components() by way of all links, with n_links: the other classes that the document's class links to."""
-    texts, own, sets, blocks = classes(docs, doc_id, text)
-    links = all_links(blocks, sets, texts, False)
-    counted = links.groupBy(F.col("u").alias("sid")).agg(F.sum("n").alias("n_links"))
-    made = with_components(own, sets, components(links.select("u", "v"))).join(counted, "sid", "left")
-    return made.select("doc_id", "n_shingles", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-
-
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, n_copies (documents of the same set), component_id (smallest id reachable by links)."""
-    texts, own, sets, blocks = classes(docs, doc_id, text)
+    blocks = stored(hub_blocks(members, sets), "blocks")
 
     # each set with the hub that it shares most keys with
     closest = blocks.groupBy("sid").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
@@ -609,7 +570,36 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         dealt = dealt.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sid")
         pairs = stored(probe(dealt.join(comps, "sid").join(sets.select("sid", "n", "point"), "sid")).distinct(), "pairs")
         links = stored(links.unionByName(verify(pairs, sets, texts)), "links")
-    return with_components(own, sets, components(links)).drop("sid")
+    return texts, own, sets, components(links)
+
+def with_components(own: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and the columns of jaccard_components(), with sid."""
+    rooted = sets.select("sid", "rep", "n_copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = rooted.join(least, "root").select("sid", "n_copies", "component_id")
+    return own.join(known, "sid", "left").select("sid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(1).alias("n_copies"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(u, v): every link between classes, by their smallest ids."""
+    texts, _, sets, roots = linked(docs, doc_id, text)
+    links = all_links(roots, sets, texts, True)
+    named = lambda c: sets.select(F.col("sid").alias(c), F.col("rep").alias(f"rep_{c}"))
+    return links.join(named("u"), "u").join(named("v"), "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
+
+
+def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """jaccard_components() with n_links: the other classes that the document's class links to."""
+    texts, own, sets, roots = linked(docs, doc_id, text)
+    counted = all_links(roots, sets, texts, False).groupBy("sid").agg(F.sum("n").alias("n_links"))
+    made = with_components(own, sets, roots).join(counted, "sid", "left")
+    return made.select("doc_id", "n_shingles", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, n_copies (documents of the same set), component_id (smallest id reachable by links)."""
+    _, own, sets, roots = linked(docs, doc_id, text)
+    return with_components(own, sets, roots).drop("sid")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
