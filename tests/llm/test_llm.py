@@ -202,6 +202,18 @@ def test_main_text():
     assert pages.main_text("<div><p>" + "long text " * 30 + "</p><p>short</p></div><div><a>l</a><a>m</a></div>").endswith("\nshort")
 
 
+def test_main_text_of_pages_whose_names_mislead():
+    body = "".join(f"<p>Paragraph {i} of the article with quite some words in it, so that it is long.</p>" for i in range(6))
+    text = "\n".join(f"Paragraph {i} of the article with quite some words in it, so that it is long." for i in range(6))
+    menu = "<div class='sidebar'><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div>"
+    for start, end in (("<div class='layout has-sidebar'><article>", "</article>"), ("<div id='page' class='no-comments'><div>", "</div>"), ("<div class='post social'><main>", "</main>"), ("<form action=x><div>", "</div>")):
+        assert pages.main_text(f"<html><head><title>T</title></head><body>{start}{body}{end}{menu}") == text
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<head><title>T</title><noscript>", "<head><style>p {}</style>"):
+        assert pages.main_text(f"<html>{head}<body><div>{body}</div>") == text == pages.main_text(f"<html>{head}<div>{body}</div>")
+    comments = "<div id='comments'>" + "<article class='comment'><p>A reader says much more than the article itself does, again and again.</p></article>" * 20 + "</div>"
+    assert pages.main_text(f"<body><article>{body}</article>{comments}") == text
+
+
 def test_fingerprints_against_sets(docs):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
 
