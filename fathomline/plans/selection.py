@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ _CX = ["symbol", "trading_date", "close", "return_5d", "return_20d", "relative_s
 _CXD = [c for c in _CX if c not in ("symbol", "trading_date", "trend_state", "market_regime", "volatility_regime", "data_quality_status", "stale_days", "ta_risk_flag")]
 
 
-def context(s: SparkSession, d: str) -> DataFrame:
-    return rounded(ft.context(s, d).select(*_CX)).where(F.col("trading_date") >= F.lit(FROM))
+def context(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+    """Context rows of all dates; the queries with SQL take those since FROM, as their SQL does."""
+    made = rounded(ft.context(s, d).select(*_CX))
+    return made if since is None else made.where(F.col("trading_date") >= F.lit(since))
 
 
 CXS = {**ft.CONTEXT_CTES, "c": "SELECT " + ", ".join(r(c) if c in _CXD else c for c in _CX) + f" FROM cx WHERE trading_date >= {_FROM}"}
@@ -46,16 +49,16 @@ SCS = CXS | {"sc": SCORE}
 _SRC = ("bars", "idx", "uni", "intra")
 
 
-def scored(s: SparkSession, d: str) -> DataFrame:
-    return sc.score_context(context(s, d))
+def scored(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+    return sc.score_context(context(s, d, since))
 
 
-def overlay(s: SparkSession, d: str) -> DataFrame:
-    return sc.portfolio_overlay(scored(s, d))
+def overlay(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+    return sc.portfolio_overlay(scored(s, d, since))
 
 
-def pool(s: SparkSession, d: str, k: int) -> DataFrame:
-    return sc.candidate_pool(context(s, d), k)
+def pool(s: SparkSession, d: str, k: int, since: date | None = None) -> DataFrame:
+    return sc.candidate_pool(context(s, d, since), k)
 
 
 def qubo(s: SparkSession, d: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -199,28 +202,28 @@ def inventory(s: SparkSession, d: str) -> DataFrame:
     return tx.knowledge_inventory(typed(s, d).select("doc_id", "source_type"), chunks(s, d))
 
 
-def baskets(s: SparkSession, d: str) -> DataFrame:
+def baskets(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
     from ..operators.joins import period_return
 
     ret = period_return(fx.bars(s, d), F.lit(date(1998, 6, 1)), F.lit(date(1998, 6, 30))).select("symbol", "period_return")
-    picks = overlay(s, d).where("score > 0.4").select(F.col("trading_date").alias("as_of_date"), "symbol", "score")
+    picks = overlay(s, d, since).where("score > 0.4").select(F.col("trading_date").alias("as_of_date"), "symbol", "score")
     return rounded(agg.basket_return(picks, ret, "score"))
 
 
 BASKETS = ctes(*_SRC, **SCS) + "SELECT as_of_date, n_names, round(g + 3e-10, 6) + 0.0 AS gross_return, round((1 + g) * (1 - 0.0015) * (1 - 0.0015 - 0.001) - 1 + 3e-10, 6) + 0.0 AS net_return FROM (SELECT trading_date AS as_of_date, count(*) AS n_names, sum(score * pr) / sum(score) AS g FROM sc JOIN (SELECT symbol, arg_max(close, trading_date) / nullif(arg_min(close, trading_date), 0) - 1 AS pr FROM bars WHERE trading_date BETWEEN DATE '1998-06-01' AND DATE '1998-06-30' GROUP BY symbol) USING (symbol) WHERE score > 0.4 GROUP BY trading_date)"
 
 
-def sanitized(s: SparkSession, d: str) -> DataFrame:
+def sanitized(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
     line = F.row_number().over(Window.partitionBy("trading_date").orderBy("symbol"))
-    picks = context(s, d).select(F.col("trading_date").alias("as_of_date"), "symbol", (F.lit(0.6) / line).alias("weight"))
+    picks = context(s, d, since).select(F.col("trading_date").alias("as_of_date"), "symbol", (F.lit(0.6) / line).alias("weight"))
     return rounded(sc.sanitize_weights(picks, fx.universe(s, d).where("symbol <> 'Brand#10'")))
 
 
 SANITIZED = ctes(*_SRC, **CXS) + "SELECT as_of_date, symbol, round(weight + 3e-10, 6) + 0.0 AS weight, round(CASE WHEN t > 1 THEN k / t ELSE k END + 3e-10, 6) + 0.0 AS clean_weight, concat_ws(',', CASE WHEN NOT ok THEN 'not_allowed' END, CASE WHEN weight > 0.2 THEN 'capped' END, CASE WHEN nth > 5 AND w > 0 THEN 'over_max_positions' END, CASE WHEN t > 1 THEN 'scaled' END) AS errors FROM (SELECT *, sum(k) OVER (PARTITION BY as_of_date) AS t FROM (SELECT *, CASE WHEN nth <= 5 THEN w ELSE 0.0 END AS k FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date ORDER BY w DESC, symbol) AS nth FROM (SELECT *, CASE WHEN ok THEN least(weight, 0.2) ELSE 0.0 END AS w FROM (SELECT trading_date AS as_of_date, symbol, 0.6::DOUBLE / row_number() OVER (PARTITION BY trading_date ORDER BY symbol) AS weight, symbol <> 'Brand#10' AND symbol IN (SELECT symbol FROM uni) AS ok FROM c)))))"
 
 
-def percentile_signals(s: SparkSession, d: str) -> DataFrame:
-    return rounded(sc.percentile_signals(context(s, d), "trading_date", "ta_composite_score").select("symbol", "trading_date", "signal"))
+def percentile_signals(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+    return rounded(sc.percentile_signals(context(s, d, since), "trading_date", "ta_composite_score").select("symbol", "trading_date", "signal"))
 
 
 def table_of_features(s: SparkSession, d: str) -> DataFrame:
@@ -230,22 +233,27 @@ def table_of_features(s: SparkSession, d: str) -> DataFrame:
 FEATURE_TABLE = ctes("bars", "idx", "uni", ir=ft.returns_sql("idx"), rt=ft.returns_sql("bars"), lq=ft.LIQUIDITY, act=ft.ACTIVE, f=ft.FEATURES) + f"SELECT symbol, trading_date, {r('trend_score momentum_score technical_score risk_score')} FROM (SELECT *, (trend_score + momentum_score) / 2 AS technical_score FROM (SELECT symbol, trading_date, row_number() OVER {W} AS n, ((close - sma_20 > 1e-9)::INT + (close - sma_50 > 1e-9)::INT + (sma_20 - sma_50 > 1e-9)::INT) / 3.0::DOUBLE AS trend_score, {_CL('0.5 + coalesce(return_20d, 0.0) * 3.0')} AS momentum_score, percent_rank() OVER (PARTITION BY trading_date ORDER BY round(volatility_20d, 9) NULLS FIRST) AS risk_score FROM f) WHERE n >= 50)"
 
 
-def compact(s: SparkSession, d: str) -> DataFrame:
-    made = sc.compact_signals(scored(s, d), context(s, d))
+def compact(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+    made = sc.compact_signals(scored(s, d, since), context(s, d, since))
     return made.select("symbol", "as_of_date", "signal.recommendation", "signal.score", "context.close", "context.rsi_14")
 
 
 COMPACT = ctes(*_SRC, **SCS) + "SELECT symbol, max(trading_date) AS as_of_date, arg_max(recommendation, trading_date) AS recommendation, round(arg_max(score, trading_date), 4) AS score, round(max_by(close, trading_date), 2) AS close, round(max(CASE WHEN trading_date = l THEN rsi_14 END), 2) AS rsi_14 FROM (SELECT *, max(trading_date) OVER (PARTITION BY symbol) AS l FROM sc) GROUP BY symbol ORDER BY score DESC, symbol LIMIT 50"
 
-QUERIES = {
-    "score_context": lambda s, d: rounded(scored(s, d).select("symbol", "trading_date", "score", "confidence", "risk_level", "recommendation")),
-    "portfolio_overlay": lambda s, d: rounded(overlay(s, d).select("symbol", "trading_date", "suggested_weight")),
-    "candidate_pool": lambda s, d: rounded(pool(s, d, 12).select("symbol", "trading_date", "rank", "expected_alpha")),
+#: Queries over context rows that have SQL. The SQL holds rows since FROM; each is registered as `<name>_all` too, over
+#: all dates and without SQL.
+SINCE = {
+    "score_context": lambda s, d, since: rounded(scored(s, d, since).select("symbol", "trading_date", "score", "confidence", "risk_level", "recommendation")),
+    "portfolio_overlay": lambda s, d, since: rounded(overlay(s, d, since).select("symbol", "trading_date", "suggested_weight")),
+    "candidate_pool": lambda s, d, since: rounded(pool(s, d, 12, since).select("symbol", "trading_date", "rank", "expected_alpha")),
+    "percentile_signals": percentile_signals, "sanitize_weights": sanitized, "basket_return": baskets, "compact_signals": compact,
+    "position_action": lambda s, d, since: scored(s, d, since).select("symbol", "trading_date", sc.position_action(F.col("recommendation"), F.col("risk_level"), F.col("trend_state"), F.col("return_20d"), F.col("return_5d"), F.col("score")).alias("action"), sc.return_bucket(F.col("return_5d")).alias("bucket")),
+}
+QUERIES = {f"{name}{end}": partial(lambda s, d, query, since: query(s, d, since), query=query, since=since) for name, query in SINCE.items() for end, since in (("", FROM), ("_all", None))} | {
     "qubo_linear": lambda s, d: rounded(qubo(s, d)[0]), "qubo_quadratic": lambda s, d: rounded(qubo(s, d)[1]), "subset_scan": lambda s, d: rounded(sc.subset_scan(*qubo(s, d)).select("trading_date", "mask", "energy")),
-    "proposed_weights": lambda s, d: rounded(sc.proposed_weights(pool(s, d, 5)).select("symbol", "trading_date", "weight")), "percentile_signals": percentile_signals, "sanitize_weights": sanitized, "basket_return": baskets,
+    "proposed_weights": lambda s, d: rounded(sc.proposed_weights(pool(s, d, 5)).select("symbol", "trading_date", "weight")),
     "top_k_backtest": lambda s, d: rounded(sc.top_k_backtest(context(s, d).select("symbol", "trading_date", F.col("ta_composite_score").alias("score"), F.col("return_5d").alias("return_1d")))),
-    "top_lists": lambda s, d: sc.top_lists(overlay(s, d)).select("trading_date", "symbol", "list", "nth", "list_rank"), "feature_table": table_of_features, "compact_signals": compact, "daily_plan": lambda s, d: sc.daily_plan(plan_inputs(s, d)),
-    "position_action": lambda s, d: scored(s, d).select("symbol", "trading_date", sc.position_action(F.col("recommendation"), F.col("risk_level"), F.col("trend_state"), F.col("return_20d"), F.col("return_5d"), F.col("score")).alias("action"), sc.return_bucket(F.col("return_5d")).alias("bucket")),
+    "top_lists": lambda s, d: sc.top_lists(overlay(s, d)).select("trading_date", "symbol", "list", "nth", "list_rank"), "feature_table": table_of_features, "daily_plan": lambda s, d: sc.daily_plan(plan_inputs(s, d)),
     "indicator_verdicts": lambda s, d: rounded(sc.indicator_verdicts(context(s, d)).select("symbol", "trading_date", "label", "verdict")),
     "chart_macd": ema_chart, "chart_windows": chart_windows, "chart_wilder": wilder, "chart_supertrend": lambda s, d: rounded(chart.supertrend(fx.bars(s, d)).select("symbol", "trading_date", "supertrend")), "chart_suite": lambda s, d: rounded(chart.indicator_suite(fx.bars(s, d))), "session_vwap": vwap,
     "order_costs": lambda s, d: rounded(led.order_costs(costed(s, d)), 4), "cash_balance": lambda s, d: rounded(led.cash_balance(costed(s, d)).select("order_id", "account_id", "cash"), 4), "fifo_match": lambda s, d: rounded(led.fifo_match(costed(s, d)), 4), "positions": lambda s, d: rounded(led.positions(lots(s, d)), 4),

@@ -124,6 +124,20 @@ def test_chunks(spark):
     assert all(f"p{i} " in "".join(made[made.doc_id == 6].content) for i in range(20))
 
 
+def test_selection_queries_take_every_date(spark):
+    from oracle import DATA
+
+    from fathomline.plans import features, selection
+
+    days = {(r["symbol"], r["trading_date"]) for r in features.context(spark, DATA).select("symbol", "trading_date").collect()}
+    assert min(d for _, d in days) < selection.FROM
+    made = selection.QUERIES["score_context_all"](spark, DATA).collect()
+    assert {(r["symbol"], r["trading_date"]) for r in made} == days
+    pinned = selection.QUERIES["score_context"](spark, DATA).collect()
+    assert sorted(r for r in made if r["trading_date"] >= selection.FROM) == sorted(pinned)
+    assert {(r["symbol"], r["trading_date"]) for r in selection.QUERIES["indicator_verdicts"](spark, DATA).select("symbol", "trading_date").distinct().collect()} == days
+
+
 def test_select_chunks_passes_over_what_exceeds(spark):
     scored = spark.createDataFrame([(1, 1, 9.0), (1, 2, 8.0), (1, 3, 7.0)], "query_id long, doc_id long, score double")
     sizes = spark.createDataFrame([(1, 20_000), (2, 10), (3, 10)], "doc_id long, char_count int")
