@@ -67,10 +67,11 @@ def asof_quotes(s: SparkSession, d: str) -> DataFrame:
 ASOF = ctes("bars", "ledger") + "SELECT order_id, o.symbol, trade_date, b.trading_date AS asof_trading_date, round(b.close + 3e-10, 6) + 0.0 AS asof_close FROM (SELECT order_id, 'Brand#' || CAST(order_id % 25 + 1 AS VARCHAR) AS symbol, trade_date FROM ledger) o ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.trade_date >= b.trading_date"
 
 
-def ranges(s: SparkSession, d: str) -> DataFrame:
+def ranges(s: SparkSession, d: str, spans_of: str = "true") -> DataFrame:
+    """Count and sum of the last ten closes of each bar."""
     w = win.window_spec("symbol", "trading_date")
     b = fx.bars(s, d).withColumn("rn", F.row_number().over(w))
-    spans = b.where("rn % 50 = 0").select("symbol", F.col("rn").alias("at"), (F.col("rn") - 9).alias("lo"), F.col("rn").alias("hi"))
+    spans = b.where(spans_of).select("symbol", F.col("rn").alias("at"), (F.col("rn") - 9).alias("lo"), F.col("rn").alias("hi"))
     met = joins.range_join(b.select("symbol", "rn", "close"), spans, "symbol", "rn", "lo", "hi", 64)
     return rounded(met.groupBy("symbol", "at").agg(F.count("*").alias("n"), F.sum("close").alias("total")), 4)
 
@@ -387,7 +388,7 @@ def series(s: SparkSession, d: str) -> DataFrame:
 SERIES = ctes("bars") + "SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS time, series, round(value + 3e-10, 6) + 0.0 AS value, CASE WHEN value >= 0 THEN 'up' ELSE 'down' END AS color FROM (SELECT symbol, trading_date, 'close' AS series, close AS value FROM bars UNION ALL SELECT symbol, trading_date, 'volume', volume FROM bars)"
 
 QUERIES = {
-    "staging_projection": staging, "trading_calendar": calendar_gaps, "session_state": sessions, "asof_join": asof_quotes, "range_join": ranges, "entry_current_prices": entry_prices, "period_return": returns_between, "manifest_mismatches": mismatches, "latest_date_rows": latest_rows, "latest_run_rows": run_rows,
+    "staging_projection": staging, "trading_calendar": calendar_gaps, "session_state": sessions, "asof_join": asof_quotes, "range_join_all": ranges, "range_join": lambda s, d: ranges(s, d, "rn % 50 = 0"), "entry_current_prices": entry_prices, "period_return": returns_between, "manifest_mismatches": mismatches, "latest_date_rows": latest_rows, "latest_run_rows": run_rows,
     "coverage_report": coverage, "first_last_by": first_last, "conditional_aggregates": conditional, "duplicate_count": duplicates, "coverage_floor": floor_, "success_rate": rates, "status_counts": statuses, "covariance_pairs": covariances,
     "nav_series": lambda s, d: rounded(agg.nav_series(_nav(s, d)), 5), "nav_metrics": lambda s, d: rounded(agg.nav_metrics(agg.nav_series(_nav(s, d))), 5), "rolling_quantile": quantile_band, "key_difference": differences, "top_n_per_group": best_days, "order_by_rank": severity_order,
     "merge_delta_wins": merged("delta"), "merge_base_wins": merged("base"), "replace_slices": sliced, "upsert": upserted, "insert_ignore": inserted, "eod_compact": compacted, "bump_version": versions, "validate_clean": validated(0), "validate_counts": validated(1), "integrity_metrics": integrity, "generic_tests": generic_tests,

@@ -124,6 +124,21 @@ def test_chunks(spark):
     assert all(f"p{i} " in "".join(made[made.doc_id == 6].content) for i in range(20))
 
 
+def test_range_join_takes_every_bar(spark):
+    from oracle import DATA
+
+    from fathomline.plans import fixtures, relational
+
+    closes: dict = {}
+    for row in fixtures.bars(spark, DATA).orderBy("symbol", "trading_date").collect():
+        closes.setdefault(row["symbol"], []).append(row["close"])
+    made = {(r["symbol"], r["at"]): (r["n"], r["total"]) for r in relational.QUERIES["range_join_all"](spark, DATA).collect()}
+    assert len(made) == sum(map(len, closes.values()))
+    for (symbol, at), (n, total) in made.items():
+        own = closes[symbol][max(0, at - 10) : at]
+        assert n == len(own) and total == pytest.approx(sum(own), abs=1e-3)
+
+
 def test_selection_queries_take_every_date(spark):
     from oracle import DATA
 
