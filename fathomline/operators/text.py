@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import content_hash, label, sha1_id
@@ -86,19 +87,30 @@ def retrieval_scores(queries: DataFrame, chunks: DataFrame, head: int = 4000) ->
     return met.select("query_id", "doc_id", "overlap", (F.col("overlap") * 2.0 + boost).alias("score"))
 
 
-def select_chunks(scored: DataFrame, sizes: DataFrame, limit: int = 8, budget: int = 12000, reach: int = 100) -> DataFrame:
+def select_chunks(scored: DataFrame, sizes: DataFrame, limit: int = 8, budget: int = 12000) -> DataFrame:
     """Each query's chunks in rank order within a budget of characters: one that would exceed it is passed over, the
-    first is always taken. At most `reach` ranked chunks of a query are considered."""
-    line = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = scored.join(sizes, "doc_id").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= reach)
-    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "char_count"))).alias("rs"))
-    start = F.struct(F.lit(0).cast("bigint").alias("chars"), F.slice("rs", 1, 0).alias("out"))
+    first is always taken. The whole ranked list is walked, row by row, as sorted."""
+    listed = scored.join(sizes, "doc_id").select("query_id", "doc_id", "score", "char_count")
+    kinds = dict(listed.dtypes)
 
-    def take(a: Column, x: Column) -> Column:
-        fits = (F.size(a["out"]) < limit) & ((F.size(a["out"]) == 0) | (a["chars"] + x["char_count"] <= budget))
-        return F.struct(F.when(fits, a["chars"] + x["char_count"]).otherwise(a["chars"]).cast("bigint").alias("chars"), F.when(fits, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
-
-    return listed.select("query_id", F.explode(F.aggregate("rs", start, take, lambda a: a["out"])).alias("o")).select("query_id", "o.*")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, rank, taken, chars = None, 0, 0, 0
+        for batch in batches:
+            at, ranks = [], []
+            for i, (q, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if rank == 0 or q != query:
+                    query, rank, taken, chars = q, 0, 0, 0
+                rank += 1
+                if taken < limit and (taken == 0 or (size is not None and chars + size <= budget)):
+                    taken, chars = taken + 1, chars + (size or 0)
+                    at.append(i)
+                    ranks.append(rank)
+            if at:
+                q, doc, score, size = batch.take(pa.array(at)).columns
+                yield pa.RecordBatch.from_arrays([q, pa.array(ranks, pa.int32()), doc, score, size], ["query_id", "rank", "doc_id", "score", "char_count"])
+
+    line = listed.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "doc_id")
+    return line.mapInArrow(walk, f"query_id {kinds['query_id']}, rank int, doc_id {kinds['doc_id']}, score {kinds['score']}, char_count {kinds['char_count']}")
 
 
 def knowledge_inventory(docs: DataFrame, chunks: DataFrame, by: str = "source_type") -> DataFrame:

@@ -194,8 +194,20 @@ def chunks(s: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", "chunk_index", "char_count", "chunk_id", "content_hash")
 
 
+def chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    """Chunks with their own ids and their documents' paths and types."""
+    docs = typed(s, d)
+    made = tx.chunk_ids(tx.chunk_documents(docs, text="content")).join(docs.select("doc_id", "source_path", "source_type"), "doc_id")
+    return made.select(F.col("chunk_id").alias("doc_id"), "source_path", "source_type", "content", "char_count")
+
+
+def chunk_scores(s: SparkSession, d: str) -> DataFrame:
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(tx.retrieval_scores(q, chunk_rows(s, d)))
+
+
 def selected(s: SparkSession, d: str) -> DataFrame:
-    return tx.select_chunks(retrieval(s, d), _docs(s, d).select("doc_id", F.length("content").alias("char_count")))
+    return tx.select_chunks(chunk_scores(s, d), chunk_rows(s, d).select("doc_id", "char_count")).withColumnRenamed("doc_id", "chunk_id")
 
 
 def inventory(s: SparkSession, d: str) -> DataFrame:
@@ -258,7 +270,7 @@ QUERIES = {f"{name}{end}": partial(lambda s, d, query, since: query(s, d, since)
     "chart_macd": ema_chart, "chart_windows": chart_windows, "chart_wilder": wilder, "chart_supertrend": lambda s, d: rounded(chart.supertrend(fx.bars(s, d)).select("symbol", "trading_date", "supertrend")), "chart_suite": lambda s, d: rounded(chart.indicator_suite(fx.bars(s, d))), "session_vwap": vwap,
     "order_costs": lambda s, d: rounded(led.order_costs(costed(s, d)), 4), "cash_balance": lambda s, d: rounded(led.cash_balance(costed(s, d)).select("order_id", "account_id", "cash"), 4), "fifo_match": lambda s, d: rounded(led.fifo_match(costed(s, d)), 4), "positions": lambda s, d: rounded(led.positions(lots(s, d)), 4),
     "settlement_buckets": buckets, "equity": equities, "portfolio_analysis": lambda s, d: rounded(led.portfolio_analysis(led.positions(lots(s, d)), prices(s, d)), 2),
-    "document_types": lambda s, d: typed(s, d).select("doc_id", "source_path", "source_type", "title", "content_hash"), "chunk_documents": chunks, "retrieval_scores": retrieval, "select_chunks": selected, "knowledge_inventory": inventory,
+    "document_types": lambda s, d: typed(s, d).select("doc_id", "source_path", "source_type", "title", "content_hash"), "chunk_documents": chunks, "retrieval_scores": retrieval, "retrieval_scores_all": lambda s, d: chunk_scores(s, d).withColumnRenamed("doc_id", "chunk_id"), "select_chunks": selected, "knowledge_inventory": inventory,
 }
 ORACLES = {
     "score_context": ctes(*_SRC, **SCS) + "SELECT symbol, trading_date, round(score + 3e-10, 6) + 0.0 AS score, round(confidence + 3e-10, 6) + 0.0 AS confidence, risk_level, recommendation FROM sc",

@@ -124,6 +124,24 @@ def test_chunks(spark):
     assert all(f"p{i} " in "".join(made[made.doc_id == 6].content) for i in range(20))
 
 
+def test_retrieval_sees_whole_documents(spark, tmp_path):
+    from fathomline.plans import selection
+
+    rows = [(1, "filler words here " * 400 + "zebra", "src"), (2, "nothing of note", "src")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "zebra")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = selection.QUERIES["retrieval_scores_all"](spark, str(tmp_path)).collect()
+    assert [(r["query_id"], r["overlap"], r["score"]) for r in found] == [(7, 1, 2.0)]
+    assert [r["chunk_id"] for r in selection.QUERIES["select_chunks"](spark, str(tmp_path)).collect()] == [found[0]["chunk_id"]]
+
+
+def test_select_chunks_walks_the_whole_list(spark):
+    scored = spark.createDataFrame([(q, i, 1000.0 - i) for q in (1, 2) for i in range(400)], "query_id long, doc_id long, score double")
+    sizes = spark.createDataFrame([(i, 100 if i in (0, 150, 399) else 20000) for i in range(400)], "doc_id long, char_count int")
+    made = text.select_chunks(scored, sizes).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in made) == [(q, i + 1, i) for q in (1, 2) for i in (0, 150, 399)]
+
+
 def test_range_join_takes_every_bar(spark):
     from oracle import DATA
 
