@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fit_fold, whole
@@ -81,11 +81,16 @@ def fit(texts: list[str], labels: list[int], steps: int = 120, penalty: float =
     return weights, float(bias)
 
 
+def chosen_ids(labels: DataFrame, label: str, doc_id: str, most: int) -> DataFrame:
+    """(doc_id, label): the ids of the smallest hashes of each class. Each partition keeps its own smallest."""
+    asked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(fit_fold("doc_id") != 0)
+    first = [asked.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind in (0, 1)]
+    return first[0].unionByName(first[1])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[tuple[str, int]]:
     """At most so many labelled texts of each class, outside the held-out fold. Ids are chosen before texts are read."""
-    asked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fit_fold("doc_id") != 0))
-    line = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = asked.withColumn("nth", F.row_number().over(line)).where(F.col("nth") <= most).drop("nth")
+    chosen = chosen_ids(labels, label, doc_id, most)
     texts = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     # at most twice `most` ids
     met = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()

@@ -174,6 +174,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([(made[i] >= 0.5) == (i >= 400) for i in range(800)]) > 0.97 and all(0 <= s <= 1 for s in made.values())
 
 
+def test_training_ids_need_no_window(spark):
+    labels = spark.createDataFrame([(i, None if i % 50 == 0 else int(i % 9 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    chosen = toxicity.chosen_ids(labels, "toxic", "doc_id", 100)
+    hashed = labels.where(toxicity.fit_fold("doc_id") != 0).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).collect()
+    want = [(i, k) for k in (0, 1) for _, i in sorted((r["h"], r["doc_id"]) for r in hashed if r["toxic"] == k)[:100]]
+    assert sorted((r["doc_id"], r["label"]) for r in chosen.collect()) == sorted(want)
+    assert "Window" not in chosen._jdf.queryExecution().executedPlan().toString()
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(1)
     lengths = np.array([7, 5, 5, 1, 1])
