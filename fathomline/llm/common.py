@@ -21,13 +21,28 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+#: Bytes of rows that Python workers get at once.
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, where it allows more: whole texts and sets are long rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(key, None)
+    if not (known and known.isdigit() and 0 < int(known) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one is set for this session."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a temporary one;
+    on a cluster that is an error, since other machines couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -38,7 +53,16 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fathomline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames, which nothing reads any more."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fit_fold(doc_id: str) -> Column:

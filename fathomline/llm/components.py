@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -27,17 +27,18 @@ def small_star(edges: DataFrame) -> DataFrame:
     return met.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(met.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (u, v) but the roots, which are the smallest of their components.
 
-    Each round is written to the shared folder. It ends when a round changes nothing: then the edges are stars.
+    Each round is written to the shared folder, and the one before it deleted. It ends when a round changes nothing:
+    then the edges are stars. Every round that changes an edge ties it to a smaller node, so there is such a round.
     """
     edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     sign = None
-    for _ in range(rounds):
-        edges = stored(small_star(large_star(edges)), "stars")
+    while True:
+        before, edges = edges, stored(small_star(large_star(edges)), "stars")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         sign = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

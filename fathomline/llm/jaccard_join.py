@@ -13,14 +13,20 @@ shingle). Two documents link when their sets' Jaccard similarity is at least 0.8
    overlap below what a link needs are skipped, surviving pairs of different components are verified on the sets.
    Large blocks are cut into cells of bounded size, each pair of cells a task of its own. No link between components
    is lost, and links inside a component change nothing.
-
 5. The steps so far find components. jaccard_links() and joined() go on to every link: all links of a set lie in its
    component, so the texts of each component meet (in cells, if it is large), and each pair that an R-tree over their
    points lets through is verified on the sets, however the component was tied.
 
+Pairs are verified where the text of one side, sent once for CELL pairs, meets those of the other, row by row, so that
+a task holds two sets. Sets have 64-bit numbers in the joins; classes are told apart by 128-bit digests, and digests
+that share a number get others (Ids).
+
 The order of step 2 is a matter of speed only; frequent shingles are counted over all documents (those that repeat
 within a batch, at most FREQUENT of them kept). Null, empty and wordless texts have empty sets, link with nothing, and
-are their own components. Rows of one id are documents of their own that share the id.
+are their own components. Very long texts are one row like others: a set takes 8 bytes a distinct shingle. Rows of one
+id are documents of their own that share the id; rows without an id take part, stand last in their component, and have
+no component_id where no linked document has an id. Empty tables give empty results. Other columns aren't read, so
+their names may be any.
 """
 
 from __future__ import annotations
@@ -32,10 +38,10 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_chars, documents, stored, whole
+from .common import by_chars, discard, documents, small_batches, stored, whole
 from .components import components
 
 WORDS = 5
@@ -43,7 +49,7 @@ GROUPS = 64
 FREQUENT = 65_536
 #: A shingle is frequent from so many documents on.
 OFTEN = 40
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Sets of one key that a task compares at once.
 CELL = 2000
 #: Shingles of a cell of a component.
@@ -118,13 +124,52 @@ def digest(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def set_id(digested: bytes) -> int:
-    return int.from_bytes(digested[:8], "little", signed=True)
+class Ids:
+    """64-bit numbers of sets by their digests. moved: the numbers of digests whose own number another set has."""
+
+    def __init__(self, bits: int = 64, moved: dict[bytes, int] | None = None):
+        self.bits, self.moved = bits, moved or {}
+
+    def own(self, digested: bytes) -> int:
+        return int.from_bytes((int.from_bytes(digested[:8], "little") % (1 << self.bits)).to_bytes(8, "little"), "little", signed=True)
+
+    def of(self, digested: bytes) -> int:
+        found = self.moved.get(digested)
+        return self.own(digested) if found is None else found
+
 
+def told_apart(sets: DataFrame, bits: int) -> Ids:
+    """Numbers that differ for all digests of sets (digest, sid). Of n sets, about n * n / 2^65 share theirs: these
+    few go through the driver and draw again until no set has their number."""
+    shared = sets.groupBy("sid").agg(F.count("*").alias("n"), F.min("digest").alias("first")).where("n > 1").select("sid", "first")
+    clashing = sorted(bytes(r["digest"]) for r in sets.join(shared, "sid").where("digest <> first").select("digest").collect())
+    moved: dict[bytes, int] = {}
+    nth, left = 0, clashing
+    while left:
+        nth += 1
+        drawn = {d: int.from_bytes(blake2b(d, digest_size=8, salt=nth.to_bytes(8, "little")).digest(), "little", signed=True) for d in left}
+        known = sets.sparkSession.createDataFrame([(n,) for n in set(drawn.values())], "sid bigint")
+        taken = {r["sid"] for r in sets.join(F.broadcast(known), "sid", "left_semi").select("sid").collect()} | set(moved.values())
+        for d in left:
+            if drawn[d] not in taken:
+                moved[d] = drawn[d]
+                taken.add(drawn[d])
+        left = [d for d in left if d not in moved]
+    return Ids(bits, moved)
 
-def survey(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, digest, point), and rows of shingles that repeat within a batch (key, n)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def renumbered(df: DataFrame, ids: Ids) -> DataFrame:
+    """df (digest, sid, ...) with the numbers of ids."""
+    if not ids.moved:
+        return df
+    moved = df.sparkSession.createDataFrame([(bytearray(d), n) for d, n in ids.moved.items()], "digest binary, __moved bigint")
+    return df.join(F.broadcast(moved), "digest", "left").withColumn("sid", F.coalesce("__moved", "sid")).drop("__moved")
+
+
+def survey(texts: DataFrame, ids: Ids) -> DataFrame:
+    """A row for each document (doc_id, mark, n, digest, sid, point), and rows of shingles that repeat within a batch
+    (key, n)."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,19 +184,20 @@ def survey(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([part.column(0), pa.nulls(rest, part.column(0).type)]),
+                        pa.concat_arrays([part.column(2), pa.nulls(rest, pa.int64())]),
                         pa.array([*map(len, sets), *counts.tolist()], pa.int64()),
                         pa.array([*digests, *[None] * rest], pa.binary()),
-                        pa.array([*map(set_id, digests), *[None] * rest], pa.int64()),
+                        pa.array([*map(ids.of, digests), *[None] * rest], pa.int64()),
                         pa.array([*(point(s).tobytes() for s in sets), *[None] * rest], pa.binary()),
                         pa.array([*[None] * own, *keys.tolist()], pa.int64()),
                     ],
-                    ["doc_id", "n", "digest", "sid", "point", "key"],
+                    ["doc_id", "mark", "n", "digest", "sid", "point", "key"],
                 )
 
-    return stored(docs.mapInArrow(surveyed, f"doc_id {kind}, n bigint, digest binary, sid bigint, point binary, key bigint"), "survey")
+    return stored(texts.mapInArrow(surveyed, f"doc_id {kind}, mark bigint, n bigint, digest binary, sid bigint, point binary, key bigint"), "survey")
 
 
-def prefix_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def prefix_keys(docs: DataFrame, frequent: np.ndarray, ids: Ids) -> DataFrame:
     """(key, sid): the prefix shingles of each set. frequent: sorted hashes, which come last."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -162,7 +208,7 @@ def prefix_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keys, owners, seen = [], [], set()
                 for x in batch.slice(first, end - first).column(1).cast(pa.binary()):
                     hashes = shingle_set(x.as_py())
-                    own = set_id(digest(hashes))
+                    own = ids.of(digest(hashes))
                     if own in seen or not len(hashes):
                         continue
                     seen.add(own)
@@ -345,54 +391,77 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("u", "v", "pu", "nu", "pv", "nv").mapInArrow(reach, "u bigint, v bigint")
 
 
-def sets_of(asked: DataFrame, docs: DataFrame, fine: bool) -> DataFrame:
-    """(sid, n, made): the sets asked for (sid, rep) made again from their representatives' texts, as hashes or as
-    fine points."""
+def texts_of(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of asked (rep, mark, ...) with the text of that id and mark. Of one id and mark there can be several
+    texts, and each several times."""
     few = asked.count() <= BROADCAST_IDS
-    wanted = F.broadcast(asked) if few else asked
-    texts = docs.join(wanted, docs["doc_id"] == asked["rep"]).select("sid", "text")
+    wanted = asked.withColumnRenamed("mark", "__mark")
+    return texts.join(F.broadcast(wanted) if few else wanted, texts["doc_id"].eqNullSafe(wanted["rep"]) & (texts["mark"] == wanted["__mark"])).select(*[c for c in asked.columns if c not in ("rep", "mark")], "text")
+
+
+def fine_points(asked: DataFrame, texts: DataFrame, ids: Ids) -> DataFrame:
+    """(sid, n, made): the fine points of the sets asked for (sid, rep, mark), made from their texts."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end in by_chars(batch, 1, CHUNK):
                 part = batch.slice(first, end - first)
                 sets = [shingle_set(x.as_py()) for x in part.column(1).cast(pa.binary())]
-                # another row of the representative's id can have another text
-                right = [set_id(digest(s)) == sid for s, sid in zip(sets, part.column(0).to_pylist(), strict=True)]
-                made = [fine_point(s) if fine else s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([*map(len, sets)], pa.int64()), pa.array(made, pa.binary())], ["sid", "n", "made"]).filter(pa.array(right, pa.bool_()))
+                right = [ids.of(digest(s)) == sid for s, sid in zip(sets, part.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([*map(len, sets)], pa.int64()), pa.array(list(map(fine_point, sets)), pa.binary())], ["sid", "n", "made"]).filter(pa.array(right, pa.bool_()))
 
-    made = texts.mapInArrow(again, "sid bigint, n bigint, made binary")
-    repeated = docs.select("doc_id").join(wanted, docs["doc_id"] == asked["rep"]).count() > asked.count()
-    return made.dropDuplicates(["sid"]) if repeated else made
+    return texts_of(asked, texts).select("sid", "text").mapInArrow(again, "sid bigint, n bigint, made binary").dropDuplicates(["sid"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, fine: bool) -> DataFrame:
-    """Pairs (u, v) that link by their whole sets; with fine, those that their fine points don't rule out."""
+def finely_bounded(pairs: DataFrame, sets: DataFrame, texts: DataFrame, ids: Ids) -> DataFrame:
+    """Pairs (u, v) that their fine points don't rule out."""
     both = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    asked = stored(both.join(sets.select("sid", "rep"), "sid"), "asked")
-    made = sets_of(asked, docs, fine)
+    asked = stored(both.join(sets.select("sid", "rep", "mark"), "sid"), "asked")
+    made = fine_points(asked, texts, ids)
     met = pairs.join(made.withColumnsRenamed({"sid": "u", "n": "nu", "made": "mu"}), "u").join(made.withColumnsRenamed({"sid": "v", "n": "nv", "made": "mv"}), "v")
 
-    def common(a: bytes, b: bytes) -> float:
-        if fine:
-            return fine_bound(a, b)
-        both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-        both.sort(kind="stable")
-        return int((both[1:] == both[:-1]).sum())
-
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, nu, nv, mu, mv = batch.columns
-            keep = [9 * common(a.as_py(), b.as_py()) >= 4 * (x.as_py() + y.as_py()) for x, y, a, b in zip(nu, nv, mu, mv, strict=True)]
+            keep = [9 * fine_bound(a.as_py(), b.as_py()) >= 4 * (x.as_py() + y.as_py()) for x, y, a, b in zip(nu, nv, mu, mv, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(kept, "u bigint, v bigint")
+    near = stored(met.select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(kept, "u bigint, v bigint"), "near")
+    discard(asked)
+    return near
+
 
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, ids: Ids) -> DataFrame:
+    """Pairs (u, v) that link by their whole sets. The text of u is sent once for CELL of its pairs, and meets the
+    texts of their v there."""
+    cells = pairs.groupBy("u").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    of_v = pairs.join(cells, "u").select("u", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int").alias("cell"), F.lit(1).alias("side"), F.col("v").alias("sid"))
+    of_u = cells.select("u", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("side"), F.col("u").alias("sid"))
+    asked = stored(of_u.unionByName(of_v).join(sets.select("sid", "rep", "mark"), "sid"), "asked")
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) that link: fine points rule out most of the others, the whole sets decide."""
-    return compared(stored(compared(pairs, sets, docs, True), "near"), sets, docs, False)
+    def linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            us, vs = [], []
+            for u, cell, side, sid, x in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()), strict=True):
+                made = shingle_set(x.as_py())
+                if ids.of(digest(made)) != sid:
+                    continue
+                if side == 0:
+                    at, own = (u, cell), made
+                elif at == (u, cell):
+                    both = np.concatenate([own, made])
+                    both.sort(kind="stable")
+                    if 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both):
+                        us.append(u)
+                        vs.append(sid)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    dealt = texts_of(asked, texts).repartition("u", "cell").sortWithinPartitions("u", "cell", "side")
+    links = stored(dealt.select("u", "cell", "side", "sid", "text").mapInArrow(linked_rows, "u bigint, v bigint").distinct(), "links")
+    discard(asked)
+    return links
 
 
 def hub_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -462,7 +531,7 @@ def linking(a: np.ndarray, b: np.ndarray, ids: np.ndarray, starts: np.ndarray, s
     return keep
 
 
-def compare_cells(members: DataFrame, each: bool) -> DataFrame:
+def compare_cells(members: DataFrame, each: bool, ids: Ids) -> DataFrame:
     """All links of members (cell, side, sid, text): as rows (u, v) where each is set, else as rows (sid, n) of a
     set's n links in a cell."""
     names = ["u", "v"] if each else ["sid", "n"]
@@ -476,17 +545,17 @@ def compare_cells(members: DataFrame, each: bool) -> DataFrame:
             # another row of the representative's id can have another text, or the same once more
             known, right = set(), np.zeros(len(sid), bool)
             for i, key in enumerate(zip(cell.tolist(), sid.tolist(), strict=True)):
-                if key not in known and set_id(digest(sets[i])) == key[1]:
+                if key not in known and ids.of(digest(sets[i])) == key[1]:
                     known.add(key)
                     right[i] = True
             cell, side, sid, sets = cell[right], side[right], sid[right], [sets[i] for i in np.flatnonzero(right)]
             if not len(sets):
                 return
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            words, numbers = np.unique(np.concatenate(sets), return_inverse=True)
             seen, count = np.zeros(len(words), bool), np.zeros(len(sid), np.int64)
             for a, b in bounded_rows(cell, side, np.stack(list(map(point, sets))), sizes):
-                keep = linking(a, b, ids, np.cumsum(sizes) - sizes, sizes, seen)
+                keep = linking(a, b, numbers, np.cumsum(sizes) - sizes, sizes, seen)
                 a, b = a[keep], b[keep]
                 if each and len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[a], sid[b])), pa.array(np.maximum(sid[a], sid[b]))], names)
@@ -516,48 +585,56 @@ def compare_cells(members: DataFrame, each: bool) -> DataFrame:
     return members.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "sid", "text").mapInArrow(found, ", ".join(f"{n} bigint" for n in names))
 
 
-def all_links(roots: DataFrame, sets: DataFrame, docs: DataFrame, each: bool) -> DataFrame:
+def all_links(roots: DataFrame, sets: DataFrame, texts: DataFrame, each: bool, ids: Ids) -> DataFrame:
     """compare_cells() of all components of several classes, each cut into cells."""
     tied = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root").distinct())
-    tied = stored(tied.join(sets.select("sid", "rep", "n"), "sid"), "tied")
+    tied = stored(tied.join(sets.select("sid", "rep", "mark", "n"), "sid"), "tied")
     cells = tied.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
-    asked = stored(tied.join(cells, "root").select("sid", "rep", "root", "cells"), "asked")
-    met = docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, docs["doc_id"] == asked["rep"]).select("sid", "root", "cells", "text")
+    asked = stored(tied.join(cells, "root").select("sid", "rep", "mark", "root", "cells"), "asked")
+    met = texts_of(asked, texts)
     dealt = met.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cell = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return stored(compare_cells(dealt.select(cell.alias("cell"), side.alias("side"), "sid", "text"), each), "links")
+    links = stored(compare_cells(dealt.select(cell.alias("cell"), side.alias("side"), "sid", "text"), each, ids), "links")
+    discard(tied, asked)
+    return links
 
 
-def linked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Steps 1 to 4: the texts, a row of each document, the classes and the roots of their components."""
-    texts = docs.select(F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
-    surveyed = survey(texts)
-    own = surveyed.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest", "sid", "point")
+def linked(docs: DataFrame, doc_id: str, text: str, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Ids]:
+    """Steps 1 to 4: the texts, a row of each document, the classes, the roots of their components, and the numbers.
+
+    mark: a hash of the text, which with the id finds a class's text again.
+    """
+    texts = docs.select(F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id"), whole(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    surveyed = survey(texts, Ids(bits))
+    own = surveyed.where(F.col("digest").isNotNull()).select("doc_id", "mark", "n", "digest", "sid", "point")
     counted = surveyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     frequent = np.sort(np.array([r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
-    sets = stored(
-        own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("point").alias("point"), (F.min("digest") != F.max("digest")).alias("clash")),
-        "classes",
-    )
-    if not sets.where("clash").isEmpty():
-        raise ValueError("two sets share 64 bits of their digest")
-    members = stored(shared_keys(prefix_keys(texts, frequent)), "keys")
+    classes = own.where("n > 0").groupBy("digest").agg(F.min(row_order()).alias("first"), F.count("*").alias("n_copies"), F.first("sid").alias("sid"), F.first("n").alias("n"), F.first("point").alias("point"))
+    sets = stored(classes.select("digest", "sid", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n_copies", "n", "point"), "classes")
+    ids = told_apart(sets, bits)
+    own, sets = renumbered(own, ids), renumbered(sets, ids)
+    members = stored(shared_keys(prefix_keys(texts, frequent, ids)), "keys")
     blocks = stored(hub_blocks(members, sets), "blocks")
+    discard(members)
 
     # each set with the hub that it shares most keys with
     closest = blocks.groupBy("sid").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    tried = stored(bounded(ordered(closest, "sid", "hub"), sets), "tried")
-    links = stored(compared(tried, sets, texts, False), "links")
-    comps = placed(sets, components(links))
+    tried = stored(bounded(closest.select(F.col("hub").alias("u"), F.col("sid").alias("v")), sets), "tried")
+    links = verified(tried, sets, texts, ids)
+    discard(tried)
+    roots = components(links)
+    comps = placed(sets, roots)
 
     # each set with its other hubs, where that joins components
     met = with_comps(blocks, comps).where("comp <> hub_comp")
     tried = stored(bounded(ordered(met, "sid", "hub"), sets), "tried")
     if not tried.isEmpty():
-        links = stored(links.unionByName(verify(tried, sets, texts)), "links")
-        comps = placed(sets, components(links))
+        links, roots = tied(links, tried, sets, texts, ids)
+        discard(comps)
+        comps = placed(sets, roots)
+    discard(tried)
 
     # all sets of the blocks that still hold several components
     met = with_comps(blocks, comps)
@@ -569,49 +646,71 @@ def linked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
         cell = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other"))
         dealt = dealt.select(cell.alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sid")
         pairs = stored(probe(dealt.join(comps, "sid").join(sets.select("sid", "n", "point"), "sid")).distinct(), "pairs")
-        links = stored(links.unionByName(verify(pairs, sets, texts)), "links")
-    return texts, own, sets, components(links)
+        links, roots = tied(links, pairs, sets, texts, ids)
+        discard(pairs)
+    discard(blocks, open_blocks, links, comps)
+    return texts, own, sets, roots, ids
+
+
+def row_order(doc_id: str = "doc_id", mark: str = "mark") -> Column:
+    """By id, rows without one last."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(mark).alias("mark"))
+
+
+def tied(links: DataFrame, pairs: DataFrame, sets: DataFrame, texts: DataFrame, ids: Ids) -> tuple[DataFrame, DataFrame]:
+    """links with those of pairs, and the roots of all; fine points rule out most of the other pairs, the whole
+    sets decide."""
+    near = finely_bounded(pairs, sets, texts, ids)
+    more = verified(near, sets, texts, ids)
+    both = stored(links.unionByName(more), "links")
+    discard(near, more, links)
+    return both, components(both)
+
 
 def with_components(own: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the columns of jaccard_components(), with sid."""
-    rooted = sets.select("sid", "rep", "n_copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(least, "root").select("sid", "n_copies", "component_id")
-    return own.join(known, "sid", "left").select("sid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(1).alias("n_copies"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    """doc_id, mark, n_shingles and the columns of jaccard_components(), with sid, and first (the row of the component
+    that comes first)."""
+    rooted = sets.select("sid", "rep", "mark", "n_copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = rooted.groupBy("root").agg(F.min(row_order("rep")).alias("first"))
+    known = rooted.join(least, "root").select("sid", "n_copies", "first")
+    met = own.join(known, "sid", "left")
+    return met.select("sid", "doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_copies")).otherwise(1).alias("n_copies"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "first")
 
 
-def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """(u, v): every link between classes, by their smallest ids."""
-    texts, _, sets, roots = linked(docs, doc_id, text)
-    links = all_links(roots, sets, texts, True)
+    texts, _, sets, roots, ids = linked(docs, doc_id, text, bits)
+    links = all_links(roots, sets, texts, True, ids)
     named = lambda c: sets.select(F.col("sid").alias(c), F.col("rep").alias(f"rep_{c}"))
     return links.join(named("u"), "u").join(named("v"), "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
 
 
-def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """jaccard_components() with n_links: the other classes that the document's class links to."""
-    texts, own, sets, roots = linked(docs, doc_id, text)
-    counted = all_links(roots, sets, texts, False).groupBy("sid").agg(F.sum("n").alias("n_links"))
+    texts, own, sets, roots, ids = linked(docs, doc_id, text, bits)
+    counted = all_links(roots, sets, texts, False, ids).groupBy("sid").agg(F.sum("n").alias("n_links"))
     made = with_components(own, sets, roots).join(counted, "sid", "left")
     return made.select("doc_id", "n_shingles", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, n_copies (documents of the same set), component_id (smallest id reachable by links)."""
-    _, own, sets, roots = linked(docs, doc_id, text)
-    return with_components(own, sets, roots).drop("sid")
+    _, own, sets, roots, _ = linked(docs, doc_id, text, bits)
+    return with_components(own, sets, roots).select("doc_id", "n_shingles", "n_copies", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs, all columns as they are, of the smallest id of each component. Repeated rows of one id and text
-    stay once."""
-    grouped = stored(jaccard_components(docs, doc_id, text).select("doc_id", "component_id"), "groups")
-    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    """Rows of docs, all columns as they are, of the first row of each component: the one of the smallest id, rows
+    without an id last. Rows are told by id and text; repeated ones of a kept id and text stay once."""
+    _, own, sets, roots, _ = linked(docs, doc_id, text)
+    grouped = stored(with_components(own, sets, roots).select("doc_id", "mark", "n_shingles", "first"), "groups")
+    gone = grouped.where((F.col("n_shingles") > 0) & (row_order() != F.col("first"))).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == gone["__gone"], "left_anti")
-    repeated = not grouped.groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[doc_id].eqNullSafe(gone["__gone"]) & (F.xxhash64(whole(text)) == gone["__mark"]), "left_anti")
+    repeated = not grouped.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
     return kept.dropDuplicates([doc_id, text]) if repeated else kept
 
 
 def op10_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return joined(documents(spark, sf_dir))

@@ -6,10 +6,12 @@ whose training words use that script; each of them gets the mean log-probability
 text's words with a penalty per switch gives the best labelling, whose runs are the spans. A text's language is the
 one with the most letters in its spans; its score is that share.
 
-The fit reads a bounded sample (SAMPLE texts of a language, chosen by a hash of the id) of the rows outside the
-held-out fold with a language; labelling reads every whole text. Null texts, and texts without
-letters, are `und` with score 0. Words in a script that no training language uses are scored by all languages alike.
-Without training rows every text is `und`. Repeated rows are labelled alike.
+The fit reads a bounded sample (SAMPLE texts of a language, chosen by a hash of the id, those of more than FIT_BYTES
+left out) of the rows outside the held-out fold with a language; labelling reads every whole text, very long ones too.
+Null and empty texts, and texts without letters, are `und` with score 0. Words in a script that no training language
+uses are scored by all languages alike; of languages that tie, the first in order of name is taken. Without training
+rows every text with letters is `und` too; an empty table gives an empty result. Repeated rows are labelled alike.
+Columns keep their names and values whatever these are.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_chars, documents, fit_fold, whole
+from .common import by_chars, documents, fit_fold, small_batches, whole
 
 SAMPLE = 400
+FIT_BYTES = 1_000_000
 SWITCH = 6.0
+#: Parts of a language's ids that are ordered apart.
+SALTS = 64
 #: A worker keeps the scores of so many distinct words, and labels texts of about so many bytes at a time.
 CACHE = 400_000
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 UNKNOWN = "und"
 
 #: First code points of Unicode ranges by script, in order; each runs to the next.
@@ -41,7 +46,16 @@ SCRIPTS = [
     (0xFB50, "arabic"), (0xFE70, "arabic"), (0xFF00, "other"), (0x20000, "han"),
 ]
 STARTS = np.array([s for s, _ in SCRIPTS])
-find_words = re.compile(r"[^\W\d_]+").findall
+#: Runs of word characters but digits and underscores; some of them (fractions, circled digits) aren't letters.
+find_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def find_words(text: str) -> list[str]:
+    words = find_runs(text)
+    if "".join(words).isalpha():
+        return words
+    return [part for word in words for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
+
 
 
 def script_of(letter: str) -> str:
@@ -85,12 +99,12 @@ class Model:
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """Best state of each word of many texts at once. scores: a row per word; texts in order of falling length."""
     states = scores.shape[1]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if not len(scores):
         return labels
-    back = np.zeros(scores.shape, np.int8)
+    back = np.zeros(scores.shape, np.int16)
     alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")
-    own = np.arange(states, dtype=np.int8)
+    own = np.arange(states, dtype=np.int16)
     value = scores[starts[: alive[0]]].copy()
     for step in range(1, lengths[0]):
         live = alive[step]
@@ -99,7 +113,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
         best = value.argmax(1)
         jump = np.take_along_axis(value, best[:, None], 1) - switch
         jumped = jump > value
-        back[at] = np.where(jumped, best[:, None].astype(np.int8), own)
+        back[at] = np.where(jumped, best[:, None].astype(np.int16), own)
         value = np.where(jumped, jump, value) + scores[at]
         ending = alive[step + 1] if step + 1 < lengths[0] else 0
         if ending < live:
@@ -161,11 +175,14 @@ class Labeller:
 
 
 def training_rows(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most so many rows a language. Ids are chosen before texts are read."""
-    asked = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & (fit_fold("doc_id") != 0))
-    line = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = asked.withColumn("nth", F.row_number().over(line)).where(F.col("nth") <= most).select("doc_id").distinct()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), whole(text).alias("text")).where(F.col("lang").isNotNull())
+    """(language, text) of at most so many rows a language. Ids are chosen before texts are read, within salts of a
+    language first, so that no task orders all ids of a frequent one."""
+    asked = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("mark")).where(F.col("lang").isNotNull() & (fit_fold("doc_id") != 0))
+    order = ["mark", "doc_id"]
+    salted = asked.withColumn("salt", F.shiftrightunsigned("mark", 8) % SALTS)
+    first = salted.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= most)
+    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= most).select("doc_id").distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), whole(text).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length(whole(text)) <= FIT_BYTES))
     # at most `most` ids a language
     return sorted((r["lang"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").select("lang", "text").collect())
 
@@ -202,20 +219,20 @@ def identify(docs: DataFrame, **names: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text") -> DataFrame:
-    """Rows of docs, all columns as they are, whose text has a language."""
+    """Rows of docs, all columns as they are, whose text has a language. Only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Labeller(shared.value, switch)
-        for batch in batches:
-            for first, end in by_chars(batch, 0, CHUNK):
-                part = batch.slice(first, end - first)
-                known = [bool(found) for found in own.label(part.column(0).to_pylist())]
-                yield part.select([1]).filter(pa.array(known, pa.bool_()))
+        for texts in parts:
+            found: list[bool] = []
+            for first, end in by_chars(pa.RecordBatch.from_arrays([texts], ["text"]), 0, CHUNK):
+                found += map(bool, own.label(texts.slice(first, end - first).to_pylist()))
+            yield pa.array(found, pa.bool_())
 
-    rows = docs.select(whole(text).alias("text"), F.struct("*").alias("row"))
-    return rows.mapInArrow(kept, rows.select("row").schema).select("row.*")
+    return docs.where(F.arrow_udf(known, "boolean")(whole(text)))
 
 
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return identify(documents(spark, sf_dir)).select("doc_id", (fit_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "spans")
