@@ -102,8 +102,10 @@ def point(hashes: np.ndarray) -> np.ndarray:
 
 
 def fine_point(hashes: np.ndarray) -> bytes:
-    """Counts by as many groups as there are shingles (a power of two); empty where a count needs more than a byte."""
-    bits = min(20, max(6, int(len(hashes)).bit_length()))
+    """Counts by groups of two to four shingles (their number is a power of two): for sets that share no passage the
+    minima then sum up to 0.72 of the shingles at most, while a link needs 0.89. Empty where a count needs more than a
+    byte."""
+    bits = min(20, max(7, int(len(hashes)).bit_length() - 2))
     counts = np.bincount((hashes & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
