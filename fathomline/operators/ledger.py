@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import add_trading_days, ratio, safe_return
+from ..functions.exprs import add_trading_days, ratio, safe_return, weekday_number
 
 FEE, TAX = 0.0015, 0.001
 
@@ -23,24 +23,43 @@ def cash_balance(costed: DataFrame, initial_cash: float = 0.0, account: str = "a
     return costed.withColumn("cash", F.lit(initial_cash) + F.sum("net_cash").over(w))
 
 
-def fifo_match(costed: DataFrame, keys: tuple[str, ...] = ("account_id", "symbol")) -> DataFrame:
-    """(keys, buy_id, sell_id, qty, pnl): the k-th sold unit of a key is its k-th bought one.
+def settled_at(trade_date: Column, days: int = 2, clock: str = "13:00") -> Column:
+    """When what was bought on a date can be sold: on the days-th trading day after it, from that time of day on."""
+    return F.to_timestamp_ntz(F.concat(add_trading_days(trade_date, days).cast("string"), F.lit(f" {clock}:00")))
 
-    Running sums turn orders into quantity intervals; matches are the overlaps of buy and sell intervals. Both sides
-    are cut into slices of a key's mean order quantity, so that the join is on key and slice instead of on all pairs
-    of a key. Sold units beyond those bought stay unmatched.
+
+def fifo_match(costed: DataFrame, keys: tuple[str, ...] = ("account_id", "symbol"), days: int = 2, clock: str = "13:00", moment: Column | None = None) -> DataFrame:
+    """(keys, buy_id, sell_id, qty, pnl): each sale takes settled units in the order they were bought. What a sale
+    can't take is a row without buy_id and pnl.
+
+    moment: when an order is placed; by default its trade date at the hour of settlement. With Q units asked for by
+    sales up to one and A units settled by then, the units taken so far are Q + min(0, least A - Q up to here): what
+    lacked once is never made up for. So running sums give an interval of bought units for each sale, and matches are
+    the overlaps with the purchases' intervals. Both sides are cut into slices of a key's mean order quantity, so that
+    the join is on key and slice instead of on all pairs of a key.
     """
     k = list(keys)
-    w = Window.partitionBy(*k, "action").orderBy("trade_date", "order_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = costed.withColumn("__hi", F.sum("quantity").over(w)).withColumn("__lo", F.col("__hi") - F.col("quantity"))
-    placed = placed.withColumn("__step", F.greatest(F.ceil(F.avg("quantity").over(Window.partitionBy(*k))), F.lit(1)))
-    placed = placed.withColumn("__slice", F.explode(F.sequence(F.floor(F.col("__lo") / F.col("__step")), F.floor((F.col("__hi") - 1) / F.col("__step")))))
-    buys = placed.where("action = 'BUY'").select(*k, "__slice", "__step", F.col("order_id").alias("buy_id"), F.col("avg_cost"), F.col("__lo").alias("blo"), F.col("__hi").alias("bhi"))
-    sells = placed.where("action = 'SELL'").select(*k, "__slice", F.col("order_id").alias("sell_id"), ((F.col("price") * F.col("quantity") - F.col("fees") - F.col("taxes")) / F.col("quantity")).alias("net_price"), F.col("__lo").alias("slo"), F.col("__hi").alias("shi"))
-    low = F.greatest("blo", "slo", F.col("__slice") * F.col("__step"))
-    high = F.least("bhi", "shi", (F.col("__slice") + 1) * F.col("__step"))
-    met = buys.join(sells, [*k, "__slice"]).withColumn("q", high - low).where("q > 0")
-    return met.groupBy(*k, "buy_id", "sell_id").agg(F.sum("q").cast("bigint").alias("qty"), F.sum(F.col("q") * (F.col("net_price") - F.col("avg_cost"))).alias("pnl"))
+    buy = F.col("action") == "BUY"
+    by_date = F.to_timestamp_ntz(F.concat(F.col("trade_date").cast("string"), F.lit(f" {clock}:00")))
+    at = by_date if moment is None else F.coalesce(moment, by_date)
+    timed = costed.withColumns({"__at": F.when(buy, settled_at(F.col("trade_date"), days, clock)).otherwise(at), "__bought": F.when(buy, F.col("quantity")).otherwise(0), "__asked": F.when(buy, 0).otherwise(F.col("quantity"))})
+    bought = Window.partitionBy(*k, "action").orderBy("trade_date", "order_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*k).orderBy("__at", F.when(buy, 0).otherwise(1), "order_id")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    timed = timed.withColumns({"__hi": F.sum("quantity").over(bought), "__q": F.sum("__asked").over(so_far), "__a": F.sum("__bought").over(so_far)})
+    lacking = F.when(~buy, F.col("__a") - F.col("__q"))
+    timed = timed.withColumn("__lack", F.least(F.lit(0), F.min(lacking).over(so_far))).withColumn("__before", F.coalesce(F.least(F.lit(0), F.min(lacking).over(line.rowsBetween(Window.unboundedPreceding, -1))), F.lit(0)))
+    low = F.when(buy, F.col("__hi") - F.col("quantity")).otherwise(F.col("__q") - F.col("quantity") + F.col("__before"))
+    high = F.when(buy, F.col("__hi")).otherwise(F.col("__q") + F.col("__lack"))
+    placed = timed.withColumns({"__lo": low, "__hi": high, "__step": F.greatest(F.ceil(F.avg("quantity").over(Window.partitionBy(*k))), F.lit(1))})
+    short = placed.where(~buy & (F.col("__hi") - F.col("__lo") < F.col("quantity"))).select(*k, F.lit(None).cast(costed.schema["order_id"].dataType).alias("buy_id"), F.col("order_id").alias("sell_id"), (F.col("quantity") - (F.col("__hi") - F.col("__lo"))).cast("bigint").alias("qty"), F.lit(None).cast("double").alias("pnl"))
+    sliced = placed.where("__hi > __lo").withColumn("__slice", F.explode(F.sequence(F.floor(F.col("__lo") / F.col("__step")), F.floor((F.col("__hi") - 1) / F.col("__step")))))
+    buys = sliced.where(buy).select(*k, "__slice", "__step", F.col("order_id").alias("buy_id"), F.col("avg_cost"), F.col("__lo").alias("blo"), F.col("__hi").alias("bhi"))
+    sells = sliced.where(~buy).select(*k, "__slice", F.col("order_id").alias("sell_id"), ((F.col("price") * F.col("quantity") - F.col("fees") - F.col("taxes")) / F.col("quantity")).alias("net_price"), F.col("__lo").alias("slo"), F.col("__hi").alias("shi"))
+    shared = F.least("bhi", "shi", (F.col("__slice") + 1) * F.col("__step")) - F.greatest("blo", "slo", F.col("__slice") * F.col("__step"))
+    met = buys.join(sells, [*k, "__slice"]).withColumn("q", shared).where("q > 0")
+    matched = met.groupBy(*k, "buy_id", "sell_id").agg(F.sum("q").cast("bigint").alias("qty"), F.sum(F.col("q") * (F.col("net_price") - F.col("avg_cost"))).alias("pnl"))
+    return matched.unionByName(short)
 
 
 def open_lots(costed: DataFrame, matches: DataFrame) -> DataFrame:
@@ -56,12 +75,12 @@ def positions(lots: DataFrame) -> DataFrame:
     return made.withColumn("avg_cost", ratio(F.col("cost_basis"), F.col("quantity").cast("double")))
 
 
-def settlement_buckets(lots: DataFrame, today: Column, days: int = 2) -> DataFrame:
-    """Open quantity by settlement: bought today (t0), settling tomorrow (t1) or later (t2), and sellable."""
-    settles = add_trading_days(F.col("trade_date"), days)
-    kept = lots.where("remaining_quantity > 0").withColumn("settlement_date", settles)
-    q, left = F.col("remaining_quantity"), F.datediff(F.col("settlement_date"), today)
-    return kept.groupBy("account_id", "symbol").agg(*[F.coalesce(F.sum(F.when(c, q)), F.lit(0)).alias(n) for n, c in {"sellable": left <= 0, "t1": left == 1, "t2": left > 1, "t0": F.col("trade_date") == today}.items()])
+def settlement_buckets(lots: DataFrame, now: Column, days: int = 2, clock: str = "13:00") -> DataFrame:
+    """Open quantity at a moment: what is settled can be sold; the rest by the trading days since it was bought (t0,
+    t1, t2 for two and more)."""
+    kept = lots.where("remaining_quantity > 0").withColumns({"__settled": settled_at(F.col("trade_date"), days, clock) <= now, "__age": F.when(F.col("trade_date") >= F.to_date(now), 0).otherwise(weekday_number(F.to_date(now)) - weekday_number(F.col("trade_date")))})
+    q, waits = F.col("remaining_quantity"), ~F.col("__settled")
+    return kept.groupBy("account_id", "symbol").agg(*[F.coalesce(F.sum(F.when(c, q)), F.lit(0)).alias(n) for n, c in {"sellable": F.col("__settled"), "t0": waits & (F.col("__age") <= 0), "t1": waits & (F.col("__age") == 1), "t2": waits & (F.col("__age") > 1)}.items()])
 
 
 def equity(held: DataFrame, cash: DataFrame, prices: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
+from operator import and_
 
 import pandas as pd
 import pyarrow as pa
@@ -17,15 +22,17 @@ STOPWORDS = "the and for with from this that are was were can will should cua ch
 TYPE_BOOST = {"architecture": 1.0, "project_doc": 1.0, "warehouse_schema": 1.0, "dbt": 1.0, "llm_plan": 1.5, "llm_skill": 1.5, "llm_reference": 1.5}
 
 
-def source_type(path: Column) -> Column:
-    """Type of a document by its path's parts, the first rule that fits."""
+#: Folders of a path and the type of what lies in them, and endings of file names; the first rule that fits holds.
+SOURCE_FOLDERS = [("architectures", "architecture"), ("plans", "plan"), ("reports", "report"), ("skills", "skill"), ("configs", "config"), ("transformations", "dbt")]
+SOURCE_ENDINGS = [(".sql", "warehouse_schema"), (".py", "source_code")]
+
+
+def source_type(path: Column, folders: list[tuple[str, str]] = SOURCE_FOLDERS, endings: list[tuple[str, str]] = SOURCE_ENDINGS) -> Column:
+    """Type of a document by the folders and the ending of its path. A folder of the rules can be several, by slashes,
+    which then all have to be there."""
     parts = F.split(path, "/")
-    has = lambda p: F.array_contains(parts, p)
-    return label([
-        (has("architectures"), "architecture"), (has("plans"), "plan"), (has("agent_build_reports"), "build_report"), (has("llm_playbooks") & has("skills"), "llm_skill"),
-        (has("llm_playbooks") & has("references"), "llm_reference"), (has("llm_playbooks"), "llm_plan"), (has("skills"), "skill"), (has("configs"), "config"), (has("transformations"), "dbt"),
-        (has("warehouse") & path.endswith(".sql"), "warehouse_schema"), (path.endswith(".py"), "source_code"),
-    ], "project_doc")
+    inside = [(reduce(and_, [F.array_contains(parts, p) for p in folder.split("/")]), kind) for folder, kind in folders]
+    return label([*inside, *[(path.endswith(end), kind) for end, kind in endings]], "project_doc")
 
 
 def title_of(path: Column, content: Column) -> Column:
@@ -38,21 +45,25 @@ def title_of(path: Column, content: Column) -> Column:
     return F.when(first.isNull() | (told == ""), name).otherwise(told)
 
 
-def _cuts(text: str, most: int, overlap: int) -> list[str]:
-    """Blank lines, else line ends, past the middle of a window are where it ends; else it is full."""
+def windows_of(text: str, most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """[begin, end) of a long text's windows of at most so many characters, each begun so far before the last one's
+    end. A window ends at the last blank line in its second half, else at the last line end there, else it is full."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    blanks = [a for a, b in pairwise(ends) if b == a + 1]
+    begin = end = 0
+    while end < len(text):
+        full = min(begin + most, len(text))
+        half = begin + most // 2
+        end = next((places[at - 1] for places, stop in ((blanks, full - 1), (ends, full)) if (at := bisect_left(places, stop)) and places[at - 1] > half), full)
+        yield begin, end
+        begin = max(begin + 1, end - overlap)
+
+
+def chunks_of(text: str, most: int, overlap: int) -> list[str]:
+    """The trimmed windows of a text with Unix line ends; a text of at most so many characters is one."""
     text = text.replace("\r\n", "\n").strip()
-    out, first = [], 0
-    while first < len(text):
-        last = min(first + most, len(text))
-        if len(text) > most:
-            found = [p for p in (text.rfind("\n\n", first, last), text.rfind("\n", first, last)) if p > first + most // 2]
-            last = found[0] if found else last
-        if piece := text[first:last].strip():
-            out.append(piece)
-        if last >= len(text):
-            break
-        first = max(first + 1, last - overlap)
-    return out
+    cuts = windows_of(text, most, overlap) if len(text) > most else [(0, len(text))]
+    return [piece for begin, end in cuts if (piece := text[begin:end].strip())]
 
 
 def chunk_documents(docs: DataFrame, max_chars: int = 2400, overlap: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,7 +72,7 @@ def chunk_documents(docs: DataFrame, max_chars: int = 2400, overlap: int = 240,
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: _cuts(t or "", max_chars, overlap))
+            yield batch.map(lambda t: chunks_of(t or "", max_chars, overlap))
 
     made = docs.select(doc_id, F.posexplode(cut(F.col(text))).alias("chunk_index", "content"))
     return made.withColumn("char_count", F.length("content"))
@@ -77,11 +88,11 @@ def terms(col: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.array_except(found, F.array(*map(F.lit, stopwords)))
 
 
-def retrieval_scores(queries: DataFrame, chunks: DataFrame, head: int = 4000) -> DataFrame:
+def retrieval_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, doc_id, overlap, score) of pairs that share a term. queries: (query_id, text); chunks: (doc_id,
-    source_path, source_type, content)."""
+    source_path, source_type, content). Whole contents count."""
     q = queries.select("query_id", terms(F.col("text")).alias("terms"))
-    d = chunks.select("doc_id", terms(F.concat_ws(" ", "source_path", "source_type", F.left("content", F.lit(head)))).alias("terms"))
+    d = chunks.select("doc_id", terms(F.concat_ws(" ", "source_path", "source_type", "content")).alias("terms"))
     met = term_overlap(q, d).join(chunks.select("doc_id", "source_path", "source_type"), "doc_id").join(q, "query_id")
     boost = F.when(F.exists("terms", lambda t: F.lower("source_path").contains(t)), 1.5).otherwise(0.0) + label([(F.col("source_type") == k, v) for k, v in TYPE_BOOST.items()], 0.0)
     return met.select("query_id", "doc_id", "overlap", (F.col("overlap") * 2.0 + boost).alias("score"))

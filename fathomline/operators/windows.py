@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -131,3 +133,31 @@ def forward_target(col: str, n: int = 5, key: str = "symbol", order: str = "trad
 
 def shifted_weight_return(weight: str, ret: str, key: str = "symbol", order: str = "trading_date") -> Column:
     return F.coalesce(F.lag(weight, 1).over(window_spec(key, order)), F.lit(0.0)) * F.col(ret)
+
+
+def scanned(df: DataFrame, key: str, order: str, inputs: dict[str, Column], start: Column, step: Callable[[Column, Column], Column], names: list[str], block: int = 256) -> DataFrame:
+    """df with the named fields of a state that is carried along each key's rows in order: state' = step(state, row).
+
+    inputs: what step reads of a row; start: the state (a struct of doubles, booleans, ...) before the first row. A
+    key's rows stand in one array, which a fold of folds walks in the JVM: the inner one collects a block of states,
+    the outer one joins blocks, so that no array grows by one element at a time.
+    """
+    kind = df.select(start.alias("s")).schema["s"].dataType.simpleString()  # as text, which makes all fields nullable
+    picked = F.struct(F.col(order), F.struct(*[c.alias(n) for n, c in inputs.items()]).alias("x"), F.struct(*df.columns).alias("row"))
+    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(picked)).alias("rows"))
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(done: Column, part: Column) -> Column:
+        first = F.struct(done["state"].alias("state"), none.alias("out"))
+
+        def one(at: Column, row: Column) -> Column:
+            now = step(at["state"], row["x"]).cast(kind)
+            return F.struct(now.alias("state"), F.concat(at["out"], F.array(now)).alias("out"))
+
+        made = F.aggregate(part, first, one)
+        return F.struct(made["state"].alias("state"), F.concat(done["out"], made["out"]).alias("out"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / block).cast("int")), lambda i: F.slice("rows", i * block + 1, F.lit(block)))
+    states = F.aggregate(parts, F.struct(start.cast(kind).alias("state"), none.alias("out")), within, lambda s: s["out"])
+    zipped = rows.select(F.explode(F.zip_with("rows", states, lambda r, s: F.struct(r["row"].alias("row"), s.alias("state")))).alias("z"))
+    return zipped.select("z.row.*", *[F.col(f"z.state.{n}").alias(n) for n in names])

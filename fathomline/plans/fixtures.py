@@ -53,7 +53,7 @@ def ctes(*names: str, **more: str) -> str:
 
     for name in names:
         need(name)
-    return "WITH " + ",\n".join([f"{n} AS ({CTES[n]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items()]) + "\n"
+    return "WITH " + ",\n".join([f"{n} AS MATERIALIZED ({CTES[n]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items()]) + "\n"
 
 
 def _build(ticks: DataFrame) -> DataFrame:

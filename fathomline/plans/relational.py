@@ -67,16 +67,16 @@ def asof_quotes(s: SparkSession, d: str) -> DataFrame:
 ASOF = ctes("bars", "ledger") + "SELECT order_id, o.symbol, trade_date, b.trading_date AS asof_trading_date, round(b.close + 3e-10, 6) + 0.0 AS asof_close FROM (SELECT order_id, 'Brand#' || CAST(order_id % 25 + 1 AS VARCHAR) AS symbol, trade_date FROM ledger) o ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.trade_date >= b.trading_date"
 
 
-def ranges(s: SparkSession, d: str, spans_of: str = "true") -> DataFrame:
+def ranges(s: SparkSession, d: str) -> DataFrame:
     """Count and sum of the last ten closes of each bar."""
     w = win.window_spec("symbol", "trading_date")
     b = fx.bars(s, d).withColumn("rn", F.row_number().over(w))
-    spans = b.where(spans_of).select("symbol", F.col("rn").alias("at"), (F.col("rn") - 9).alias("lo"), F.col("rn").alias("hi"))
+    spans = b.select("symbol", F.col("rn").alias("at"), (F.col("rn") - 9).alias("lo"), F.col("rn").alias("hi"))
     met = joins.range_join(b.select("symbol", "rn", "close"), spans, "symbol", "rn", "lo", "hi", 64)
     return rounded(met.groupBy("symbol", "at").agg(F.count("*").alias("n"), F.sum("close").alias("total")), 4)
 
 
-RANGES = ctes("bars", b="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date) AS rn FROM bars") + "SELECT s.symbol, CAST(s.rn AS INT) AS at, count(*) AS n, round(sum(b.close) + 3e-8, 4) + 0.0 AS total FROM b s JOIN b ON s.symbol = b.symbol AND b.rn BETWEEN s.rn - 9 AND s.rn WHERE s.rn % 50 = 0 GROUP BY s.symbol, s.rn"
+RANGES = ctes("bars", b="SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trading_date) AS rn FROM bars") + "SELECT s.symbol, CAST(s.rn AS INT) AS at, count(*) AS n, round(sum(b.close) + 3e-8, 4) + 0.0 AS total FROM b s JOIN b ON s.symbol = b.symbol AND b.rn BETWEEN s.rn - 9 AND s.rn GROUP BY s.symbol, s.rn"
 
 
 def entry_prices(s: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,11 @@ def upserted(s: SparkSession, d: str) -> DataFrame:
     return rounded(merge.upsert(raw.where("source = 'a'"), raw.where("source <> 'a'"), ["symbol", "trading_date"], [F.col("source"), F.desc("volume"), F.desc("open")]))
 
 
-UPSERTED = ctes("raw") + f"SELECT symbol, trading_date, source, {r('open high low close volume')} FROM (SELECT * FROM raw r WHERE source = 'a' AND symbol IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raw q WHERE q.source <> 'a' AND q.symbol = r.symbol AND q.trading_date = r.trading_date) UNION ALL SELECT * FROM (SELECT * FROM raw WHERE source <> 'a' AND symbol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, trading_date ORDER BY source, volume DESC, open DESC) = 1))"
+UPSERTED = ctes(
+    "raw",
+    batch="SELECT * FROM raw WHERE source <> 'a' AND symbol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, trading_date ORDER BY source, volume DESC, open DESC) = 1",
+    kept="SELECT r.* FROM raw r ANTI JOIN batch b ON r.symbol = b.symbol AND r.trading_date = b.trading_date WHERE r.source = 'a' AND r.symbol IS NOT NULL",
+) + f"SELECT symbol, trading_date, source, {r('open high low close volume')} FROM (SELECT * FROM kept UNION ALL SELECT * FROM batch)"
 
 
 def inserted(s: SparkSession, d: str) -> DataFrame:
@@ -388,7 +392,7 @@ def series(s: SparkSession, d: str) -> DataFrame:
 SERIES = ctes("bars") + "SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS time, series, round(value + 3e-10, 6) + 0.0 AS value, CASE WHEN value >= 0 THEN 'up' ELSE 'down' END AS color FROM (SELECT symbol, trading_date, 'close' AS series, close AS value FROM bars UNION ALL SELECT symbol, trading_date, 'volume', volume FROM bars)"
 
 QUERIES = {
-    "staging_projection": staging, "trading_calendar": calendar_gaps, "session_state": sessions, "asof_join": asof_quotes, "range_join_all": ranges, "range_join": lambda s, d: ranges(s, d, "rn % 50 = 0"), "entry_current_prices": entry_prices, "period_return": returns_between, "manifest_mismatches": mismatches, "latest_date_rows": latest_rows, "latest_run_rows": run_rows,
+    "staging_projection": staging, "trading_calendar": calendar_gaps, "session_state": sessions, "asof_join": asof_quotes, "range_join_all": ranges, "range_join": ranges, "entry_current_prices": entry_prices, "period_return": returns_between, "manifest_mismatches": mismatches, "latest_date_rows": latest_rows, "latest_run_rows": run_rows,
     "coverage_report": coverage, "first_last_by": first_last, "conditional_aggregates": conditional, "duplicate_count": duplicates, "coverage_floor": floor_, "success_rate": rates, "status_counts": statuses, "covariance_pairs": covariances,
     "nav_series": lambda s, d: rounded(agg.nav_series(_nav(s, d)), 5), "nav_metrics": lambda s, d: rounded(agg.nav_metrics(agg.nav_series(_nav(s, d))), 5), "rolling_quantile": quantile_band, "key_difference": differences, "top_n_per_group": best_days, "order_by_rank": severity_order,
     "merge_delta_wins": merged("delta"), "merge_base_wins": merged("base"), "replace_slices": sliced, "upsert": upserted, "insert_ignore": inserted, "eod_compact": compacted, "bump_version": versions, "validate_clean": validated(0), "validate_counts": validated(1), "integrity_metrics": integrity, "generic_tests": generic_tests,
@@ -397,7 +401,7 @@ QUERIES = {
 }
 OHLCV = r("open high low close volume")
 ORACLES = {
-    "staging_projection": STAGING, "trading_calendar": CALENDAR, "session_state": SESSIONS, "asof_join": ASOF, "range_join": RANGES, "entry_current_prices": ENTRY, "period_return": PERIOD, "manifest_mismatches": MISMATCH,
+    "staging_projection": STAGING, "trading_calendar": CALENDAR, "session_state": SESSIONS, "asof_join": ASOF, "range_join": RANGES, "range_join_all": RANGES, "entry_current_prices": ENTRY, "period_return": PERIOD, "manifest_mismatches": MISMATCH,
     "latest_date_rows": ctes("bars", "upto") + f"SELECT symbol, trading_date, {OHLCV} FROM bars WHERE trading_date = (SELECT as_of FROM upto)", "latest_run_rows": RUN_ROWS, "coverage_report": COVERAGE,
     "first_last_by": ctes("bars") + f"SELECT symbol, {r('first_open last_open first_close last_close')} FROM (SELECT symbol, arg_min(open, trading_date) AS first_open, arg_max(open, trading_date) AS last_open, arg_min(close, trading_date) AS first_close, arg_max(close, trading_date) AS last_close FROM bars GROUP BY symbol)",
     "conditional_aggregates": CONDITIONAL, "duplicate_count": ctes("raw") + "SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM raw GROUP BY symbol, trading_date)",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,20 +19,16 @@ from .common import r, rounded
 from .features import W, W_
 from .fixtures import ctes
 
-FROM = date(1998, 6, 1)
-_FROM = "DATE '1998-06-01'"
 #: Context columns as other engines see them: rounded, so that thresholds meet equal numbers.
-_CX = ["symbol", "trading_date", "close", "return_5d", "return_20d", "relative_strength_20d", "volatility_20d", "drawdown_from_peak", "traded_value_cross_section_percentile", "trend_state", "market_regime", "volatility_regime", "regime_score", "data_quality_status", "stale_days", "ta_composite_score", "ta_risk_flag", "rsi_14"]
+_CX = ["symbol", "trading_date", "close", "return_1d", "return_5d", "return_20d", "relative_strength_20d", "volatility_20d", "drawdown_from_peak", "traded_value_cross_section_percentile", "trend_state", "market_regime", "volatility_regime", "regime_score", "data_quality_status", "stale_days", "ta_composite_score", "ta_risk_flag", "rsi_14"]
 _CXD = [c for c in _CX if c not in ("symbol", "trading_date", "trend_state", "market_regime", "volatility_regime", "data_quality_status", "stale_days", "ta_risk_flag")]
 
 
-def context(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
-    """Context rows of all dates; the queries with SQL take those since FROM, as their SQL does."""
-    made = rounded(ft.context(s, d).select(*_CX))
-    return made if since is None else made.where(F.col("trading_date") >= F.lit(since))
+def context(s: SparkSession, d: str) -> DataFrame:
+    return rounded(ft.context(s, d).select(*_CX))
 
 
-CXS = {**ft.CONTEXT_CTES, "c": "SELECT " + ", ".join(r(c) if c in _CXD else c for c in _CX) + f" FROM cx WHERE trading_date >= {_FROM}"}
+CXS = {**ft.CONTEXT_CTES, "c": "SELECT " + ", ".join(r(c) if c in _CXD else c for c in _CX) + " FROM cx"}
 _CL = "least(1.0, greatest(0.0, {0}))".format
 SCORE = f"""SELECT *, CASE WHEN blocked THEN 'blocked_data_quality' WHEN coalesce(market_regime, 'neutral') = 'bearish' OR s0 <= 0.25 THEN 'avoid_or_reduce' WHEN s0 >= 0.60 THEN 'candidate_long' ELSE 'watch' END AS recommendation, round(CASE WHEN blocked THEN least(s0, 0.20) ELSE s0 END + 1e-9, 6) AS score,
   round(CASE WHEN risk_level = 'high' THEN {_CL("c0 - 0.10")} ELSE c0 END + 1e-9, 6) AS confidence FROM (SELECT *, {_CL("0.35 + abs(s0 - 0.50) + CASE WHEN blocked THEN -0.10 ELSE 0.15 END")} AS c0 FROM (SELECT *, {_CL('0.50 + mk + sy')} AS s0 FROM (SELECT *,
@@ -49,16 +44,16 @@ SCS = CXS | {"sc": SCORE}
 _SRC = ("bars", "idx", "uni", "intra")
 
 
-def scored(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
-    return sc.score_context(context(s, d, since))
+def scored(s: SparkSession, d: str) -> DataFrame:
+    return sc.score_context(context(s, d))
 
 
-def overlay(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
-    return sc.portfolio_overlay(scored(s, d, since))
+def overlay(s: SparkSession, d: str) -> DataFrame:
+    return sc.portfolio_overlay(scored(s, d))
 
 
-def pool(s: SparkSession, d: str, k: int, since: date | None = None) -> DataFrame:
-    return sc.candidate_pool(context(s, d, since), k)
+def pool(s: SparkSession, d: str, k: int) -> DataFrame:
+    return sc.candidate_pool(context(s, d), k)
 
 
 def qubo(s: SparkSession, d: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -102,8 +97,8 @@ def _g(value: str, n: int, least: int, col: str = "close") -> str:
 
 
 CHART_COLS = "stoch_k stoch_d mfi cmf obv bb_middle bb_upper bb_lower bb_width_pct donchian_upper donchian_lower donchian_middle aroon_up aroon_down williams_r roc20 cci20 sma20"
-_CW = f"""SELECT *, avg(stoch_k) OVER {W_(3)} AS stoch_d FROM (SELECT symbol, trading_date, least(100.0, greatest(0.0, (close - l14) / nullif(h14 - l14, 0) * 100)) AS stoch_k, least(0.0, greatest(-100.0, -100 * (h14 - close) / nullif(h14 - l14, 0))) AS williams_r,
-  {_g(f"least(100.0, greatest(0.0, 100 - 100 / (1 + sum(pf) OVER {W_(14)} / nullif(sum(nf) OVER {W_(14)}, 0))))", 14, 7)} AS mfi0, {_g(f"sum(mf) OVER {W_(20)} / nullif(sum(volume) OVER {W_(20)}, 0)", 20, 10)} AS cmf, sum(step) OVER {W} AS obv,
+_CW = f"""SELECT *, avg(stoch_k) OVER {W_(3)} AS stoch_d FROM (SELECT symbol, trading_date, CASE WHEN h14 - l14 <> 0 THEN least(100.0, greatest(0.0, (close - l14) / (h14 - l14) * 100)) END AS stoch_k, CASE WHEN h14 - l14 <> 0 THEN least(0.0, greatest(-100.0, -100 * (h14 - close) / (h14 - l14))) END AS williams_r,
+  CASE WHEN count(close) OVER {W_(14)} >= 7 AND sum(nf) OVER {W_(14)} <> 0 THEN least(100.0, greatest(0.0, 100 - 100 / (1 + sum(pf) OVER {W_(14)} / sum(nf) OVER {W_(14)}))) END AS mfi, {_g(f"sum(mf) OVER {W_(20)} / nullif(sum(volume) OVER {W_(20)}, 0)", 20, 10)} AS cmf, sum(step) OVER {W} AS obv,
   {_g(f"avg(close) OVER {W_(20)}", 20, 10)} AS bb_middle, {_g(f"avg(close) OVER {W_(20)} + 2 * stddev_samp(close) OVER {W_(20)}", 20, 10)} AS bb_upper, {_g(f"avg(close) OVER {W_(20)} - 2 * stddev_samp(close) OVER {W_(20)}", 20, 10)} AS bb_lower,
   {_g(f"4 * stddev_samp(close) OVER {W_(20)} / nullif(avg(close) OVER {W_(20)}, 0) * 100", 20, 10)} AS bb_width_pct, {_g(f"max(high) OVER {W_(20)}", 20, 10)} AS donchian_upper, {_g(f"min(low) OVER {W_(20)}", 20, 10)} AS donchian_lower, {_g(f"(max(high) OVER {W_(20)} + min(low) OVER {W_(20)}) / 2", 20, 10)} AS donchian_middle,
   {_g(f"(list_position(list(high) OVER {W_(25)}, max(high) OVER {W_(25)}) - 1) / greatest(1, count(*) OVER {W_(25)} - 1)::DOUBLE * 100", 25, 12)} AS aroon_up, {_g(f"(list_position(list(low) OVER {W_(25)}, min(low) OVER {W_(25)}) - 1) / greatest(1, count(*) OVER {W_(25)} - 1)::DOUBLE * 100", 25, 12)} AS aroon_down,
@@ -111,14 +106,39 @@ _CW = f"""SELECT *, avg(stoch_k) OVER {W_(3)} AS stoch_d FROM (SELECT symbol, tr
   {_g(f"(tp - avg(tp) OVER {W_(20)}) / nullif(0.015 * list_avg(list_transform(list(tp) OVER {W_(20)}, lambda v: abs(v - tm))), 0)", 20, 10)} AS cci20 FROM (SELECT *, avg(tp) OVER {W_(20)} AS tm, CASE WHEN tp > pt THEN tp * volume ELSE 0.0 END AS pf, CASE WHEN tp < pt THEN tp * volume ELSE 0.0 END AS nf,
     coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS mf, CASE WHEN close > pc THEN volume WHEN close < pc THEN -volume ELSE 0.0 END AS step, {_g(f"min(low) OVER {W_(14)}", 14, 7)} AS l14, {_g(f"max(high) OVER {W_(14)}", 14, 7)} AS h14
     FROM (SELECT *, (high + low + close) / 3 AS tp, lag((high + low + close) / 3) OVER {W} AS pt, lag(close) OVER {W} AS pc FROM bars)))"""
-_CW = _CW.replace("least(100.0, greatest(0.0, (close - l14) / nullif(h14 - l14, 0) * 100)) AS stoch_k", "CASE WHEN h14 - l14 <> 0 THEN least(100.0, greatest(0.0, (close - l14) / (h14 - l14) * 100)) END AS stoch_k").replace("least(0.0, greatest(-100.0, -100 * (h14 - close) / nullif(h14 - l14, 0))) AS williams_r", "CASE WHEN h14 - l14 <> 0 THEN least(0.0, greatest(-100.0, -100 * (h14 - close) / (h14 - l14))) END AS williams_r")
-_CW = _CW.replace(_g(f"least(100.0, greatest(0.0, 100 - 100 / (1 + sum(pf) OVER {W_(14)} / nullif(sum(nf) OVER {W_(14)}, 0))))", 14, 7) + " AS mfi0", f"CASE WHEN count(close) OVER {W_(14)} >= 7 AND sum(nf) OVER {W_(14)} <> 0 THEN least(100.0, greatest(0.0, 100 - 100 / (1 + sum(pf) OVER {W_(14)} / sum(nf) OVER {W_(14)}))) END AS mfi")
-
 
 def wilder(s: SparkSession, d: str) -> DataFrame:
     return rounded(chart.adx(chart.rsi(fx.bars(s, d)).drop("gain", "loss", "true_range", "plus_dm", "minus_dm", "avg_gain", "avg_loss")).select("symbol", "trading_date", "rsi", "atr", "plus_di", "minus_di", "adx"))
 
 
+def _smooth_cte(name: str, source: str, specs: dict[str, tuple[str, float]]) -> dict[str, str]:
+    """Smoothings of several columns by one recursive walk: value y, weight w and number of values n of each."""
+    keep = {c: f"CASE WHEN n.{x} IS NULL THEN e.y_{c} WHEN e.y_{c} IS NULL THEN n.{x} ELSE (e.w_{c} * (1 - {a}) * e.y_{c} + {a} * n.{x}) / (e.w_{c} * (1 - {a}) + {a}) END, CASE WHEN n.{x} IS NOT NULL OR e.y_{c} IS NULL THEN 1.0::DOUBLE ELSE e.w_{c} * (1 - {a}) END, e.n_{c} + (n.{x} IS NOT NULL)::INT" for c, (x, a) in ((c, (x, f"({a}::DOUBLE)")) for c, (x, a) in specs.items())}
+    first = ", ".join(f"{x} AS y_{c}, 1.0::DOUBLE AS w_{c}, ({x} IS NOT NULL)::INT AS n_{c}" for c, (x, _) in specs.items())
+    return {f"{name}_n": f"SELECT *, row_number() OVER {W} AS rn FROM {source}", name: f"SELECT symbol, trading_date, rn, {first} FROM {name}_n WHERE rn = 1 UNION ALL SELECT n.symbol, n.trading_date, n.rn, {', '.join(keep.values())} FROM {name} e JOIN {name}_n n ON n.symbol = e.symbol AND n.rn = e.rn + 1"}
+
+
+_MOVES = f"""SELECT symbol, trading_date, high, low, close, greatest(close - pc, CASE WHEN pc IS NOT NULL THEN 0.0 END) AS gain, greatest(pc - close, CASE WHEN pc IS NOT NULL THEN 0.0 END) AS loss, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
+    CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0 END AS pdm, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0 END AS mdm
+  FROM (SELECT *, lag(close) OVER {W} AS pc, lag(high) OVER {W} AS ph, lag(low) OVER {W} AS pl FROM bars)"""
+_FOURTEENTH = 1 / 14
+_WILDER = {"mv": _MOVES, **_smooth_cte("sm", "mv", {c: (c, _FOURTEENTH) for c in ("gain", "loss", "tr", "pdm", "mdm")})}
+_WILDER["di"] = """SELECT symbol, trading_date, CASE WHEN n_gain >= 14 THEN 100 - 100 / (1 + y_gain / nullif(y_loss, 0)) END AS rsi, CASE WHEN n_tr >= 14 THEN y_tr END AS atr,
+    CASE WHEN n_pdm >= 14 AND n_tr >= 14 THEN 100 * y_pdm / nullif(y_tr, 0) END AS plus_di, CASE WHEN n_mdm >= 14 AND n_tr >= 14 THEN 100 * y_mdm / nullif(y_tr, 0) END AS minus_di FROM sm"""
+_WILDER["dx"] = "SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM di"
+_WILDER |= _smooth_cte("ax", "dx", {"dx": ("dx", _FOURTEENTH)})
+WILDER = ctes("bars", **_WILDER).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT symbol, trading_date, {r('rsi atr plus_di minus_di adx')} FROM (SELECT d.symbol, d.trading_date, rsi, atr, CASE WHEN plus_di IS NOT NULL THEN {_CL('plus_di / 100')} * 100 END AS plus_di,
+    CASE WHEN minus_di IS NOT NULL THEN {_CL('minus_di / 100')} * 100 END AS minus_di, CASE WHEN n_dx >= 14 THEN {_CL('y_dx / 100')} * 100 END AS adx FROM dx d JOIN ax USING (symbol, trading_date))"""
+_SUPER = {"mv": _MOVES, **_smooth_cte("sm", "mv", {"tr": ("tr", 0.1)})}
+_SUPER["bd"] = "SELECT mv.symbol, mv.trading_date, mv.close, rn, (high + low) / 2 + 3.0 * y AS hi, (high + low) / 2 - 3.0 * y AS lo FROM mv JOIN (SELECT symbol, trading_date, rn, CASE WHEN n_tr >= 10 THEN y_tr END AS y FROM sm) USING (symbol, trading_date)"
+_SUPER["sp"] = """SELECT symbol, trading_date, rn, close, hi AS up, lo AS dn, true AS rising, NULL::DOUBLE AS line FROM bd WHERE rn = 1
+  UNION ALL SELECT symbol, trading_date, rn, close, up, dn, rising, CASE WHEN hi IS NULL THEN NULL WHEN rising THEN dn ELSE up END FROM (
+    SELECT symbol, trading_date, rn, close, hi, up, dn, CASE WHEN hi IS NULL THEN was WHEN close > coalesce(pu, hi) THEN true WHEN close < coalesce(pd, lo) THEN false ELSE was END AS rising FROM (
+      SELECT b.symbol, b.trading_date, b.rn, b.close, b.hi, b.lo, s.up AS pu, s.dn AS pd, s.rising AS was, CASE WHEN b.hi IS NULL THEN NULL WHEN s.up IS NULL OR b.hi < s.up OR s.close > s.up THEN b.hi ELSE s.up END AS up,
+        CASE WHEN b.lo IS NULL THEN NULL WHEN s.dn IS NULL OR b.lo > s.dn OR s.close < s.dn THEN b.lo ELSE s.dn END AS dn FROM sp s JOIN bd b ON b.symbol = s.symbol AND b.rn = s.rn + 1))"""
+SUPERTREND = ctes("bars", **_SUPER).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT symbol, trading_date, {r('line').replace('AS line', 'AS supertrend')} FROM sp"
+
+
 def vwap(s: SparkSession, d: str) -> DataFrame:
     return rounded(chart.session_vwap(fx.intraday(s, d)).select("symbol", "bar_time", "vwap"))
 
@@ -131,9 +151,28 @@ def costed(s: SparkSession, d: str) -> DataFrame:
 
 
 COSTED = "SELECT *, CASE WHEN action = 'BUY' THEN -(gross_value + fees) ELSE gross_value - fees - taxes END AS net_cash, CASE WHEN action = 'BUY' THEN (gross_value + fees) / quantity END AS avg_cost FROM (SELECT *, price * quantity AS gross_value, price * quantity * 0.0015 AS fees, CASE WHEN action = 'BUY' THEN 0.0 ELSE price * quantity * 0.001 END AS taxes FROM ledger)"
-_RUN = "sum(quantity) OVER (PARTITION BY account_id, symbol, action ORDER BY trade_date, order_id ROWS UNBOUNDED PRECEDING)"
-MATCH = f"SELECT b.account_id, b.symbol, b.order_id AS buy_id, s.order_id AS sell_id, CAST(least(b.hi, s.hi) - greatest(b.lo, s.lo) AS BIGINT) AS qty, (least(b.hi, s.hi) - greatest(b.lo, s.lo)) * ((s.price * s.quantity - s.fees - s.taxes) / s.quantity - b.avg_cost) AS pnl FROM pl b JOIN pl s ON b.account_id = s.account_id AND b.symbol = s.symbol AND b.action = 'BUY' AND s.action = 'SELL' AND least(b.hi, s.hi) > greatest(b.lo, s.lo)"
-LEDS = {"co": COSTED, "pl": f"SELECT *, {_RUN} AS hi, {_RUN} - quantity AS lo FROM co", "ma": MATCH, "lots": "SELECT order_id, account_id, symbol, trade_date, avg_cost, quantity, quantity - coalesce(u, 0) AS remaining_quantity FROM co LEFT JOIN (SELECT buy_id, sum(qty) AS u FROM ma GROUP BY buy_id) ON order_id = buy_id WHERE action = 'BUY'"}
+_RUN = "sum(quantity) OVER (PARTITION BY account_id, symbol ORDER BY trade_date, order_id ROWS UNBOUNDED PRECEDING)"
+_SETTLES = "trade_date + CASE isodow(trade_date) WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 3 ELSE 2 END"
+#: Sales walk along time: each takes what is settled by then and not taken before.
+LEDS = {
+    "co": COSTED,
+    "bu": f"SELECT *, {_SETTLES} AS settles, {_RUN} AS hi, {_RUN} - quantity AS lo FROM co WHERE action = 'BUY'",
+    "sl": "SELECT *, row_number() OVER (PARTITION BY account_id, symbol ORDER BY trade_date, order_id) AS k FROM co WHERE action = 'SELL'",
+    "se": "SELECT sl.*, coalesce(a, 0) AS a FROM sl LEFT JOIN (SELECT sl.order_id, max(hi) AS a FROM sl JOIN bu ON sl.account_id = bu.account_id AND sl.symbol = bu.symbol AND settles <= sl.trade_date GROUP BY sl.order_id) USING (order_id)",
+    "wk": "SELECT account_id, symbol, k, order_id, CAST(0 AS HUGEINT) AS lo, CAST(least(quantity, a) AS HUGEINT) AS hi FROM se WHERE k = 1 UNION ALL SELECT se.account_id, se.symbol, se.k, se.order_id, wk.hi, CAST(greatest(wk.hi, least(wk.hi + se.quantity, se.a)) AS HUGEINT) FROM wk JOIN se ON se.account_id = wk.account_id AND se.symbol = wk.symbol AND se.k = wk.k + 1",
+    "sw": "SELECT se.*, wk.lo, wk.hi FROM se JOIN wk USING (order_id)",
+    "ma": """SELECT b.account_id, b.symbol, b.order_id AS buy_id, s.order_id AS sell_id, CAST(least(b.hi, s.hi) - greatest(b.lo, s.lo) AS BIGINT) AS qty,
+        (least(b.hi, s.hi) - greatest(b.lo, s.lo))::DOUBLE * ((s.price * s.quantity - s.fees - s.taxes) / s.quantity - b.avg_cost) AS pnl
+      FROM bu b JOIN sw s ON b.account_id = s.account_id AND b.symbol = s.symbol AND least(b.hi, s.hi) > greatest(b.lo, s.lo)
+      UNION ALL SELECT account_id, symbol, NULL, order_id, CAST(quantity - (hi - lo) AS BIGINT), NULL FROM sw WHERE hi - lo < quantity""",
+    "lots": "SELECT order_id, account_id, symbol, trade_date, avg_cost, quantity, quantity - coalesce(u, 0) AS remaining_quantity FROM co LEFT JOIN (SELECT buy_id, sum(qty) AS u FROM ma GROUP BY buy_id) ON order_id = buy_id WHERE action = 'BUY'",
+}
+
+
+def led_ctes(**more: str) -> str:
+    return ctes("ledger", **LEDS, **more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 POSITIONS = "SELECT account_id, symbol, CAST(sum(remaining_quantity) AS BIGINT) AS quantity, sum(remaining_quantity * avg_cost) AS cost_basis, min(trade_date) AS first_buy, max(trade_date) AS last_buy, sum(remaining_quantity * avg_cost) / sum(remaining_quantity) AS avg_cost FROM lots WHERE remaining_quantity > 0 GROUP BY ALL"
 _PRICES = "SELECT symbol, arg_max(price, (trade_date, order_id)) AS price FROM ledger GROUP BY symbol"
 
@@ -148,7 +187,16 @@ def prices(s: SparkSession, d: str) -> DataFrame:
 
 
 def buckets(s: SparkSession, d: str) -> DataFrame:
-    return led.settlement_buckets(lots(s, d), F.lit(date(1998, 8, 3)))
+    return led.settlement_buckets(lots(s, d), F.lit("1998-08-03 09:30:00").cast("timestamp_ntz"))
+
+
+def _weekdays(day: str) -> str:
+    return f"((datediff('day', DATE '1970-01-05', {day}) // 7) * 5 + least(datediff('day', DATE '1970-01-05', {day}) % 7, 4))"
+
+
+BUCKETS = led_ctes() + f"""SELECT account_id, symbol, CAST(coalesce(sum(q) FILTER (WHERE settled), 0) AS BIGINT) AS sellable, CAST(coalesce(sum(q) FILTER (WHERE NOT settled AND age <= 0), 0) AS BIGINT) AS t0,
+    CAST(coalesce(sum(q) FILTER (WHERE NOT settled AND age = 1), 0) AS BIGINT) AS t1, CAST(coalesce(sum(q) FILTER (WHERE NOT settled AND age > 1), 0) AS BIGINT) AS t2
+  FROM (SELECT account_id, symbol, remaining_quantity AS q, {_SETTLES} < DATE '1998-08-03' AS settled, CASE WHEN trade_date >= DATE '1998-08-03' THEN 0 ELSE {_weekdays("DATE '1998-08-03'")} - {_weekdays('trade_date')} END AS age FROM lots WHERE remaining_quantity > 0) GROUP BY ALL"""
 
 
 def equities(s: SparkSession, d: str) -> DataFrame:
@@ -156,8 +204,8 @@ def equities(s: SparkSession, d: str) -> DataFrame:
     return rounded(led.equity(led.positions(lots(s, d)), cash, prices(s, d)), 2)
 
 
-EQUITY = ctes("ledger", **LEDS, po=POSITIONS, pr=_PRICES) + f"SELECT account_id, {r('cash market_value unrealised_pnl equity', 2)} FROM (SELECT account_id, cash, market_value, unrealised_pnl, cash + coalesce(market_value, 0) AS equity FROM (SELECT account_id, 1e7 + sum(net_cash) AS cash FROM co GROUP BY account_id) LEFT JOIN (SELECT account_id, sum(quantity * price) AS market_value, sum(quantity * price - cost_basis) AS unrealised_pnl FROM po LEFT JOIN pr USING (symbol) GROUP BY account_id) USING (account_id))"
-ANALYSIS = ctes("ledger", **LEDS, po=POSITIONS, pr=_PRICES) + f"SELECT account_id, n_positions, winners, losers, {r('cost_basis market_value gross_pnl net_pnl', 2)}, round((net_pnl + cost_basis) / nullif(cost_basis, 0) - 1 + 3e-6, 2) + 0.0 AS net_return FROM (SELECT account_id, count(*) AS n_positions, sum(cost_basis) AS cost_basis, sum(v) AS market_value, sum(v - cost_basis) AS gross_pnl, sum(v * (1 - 0.0015 - 0.001) - cost_basis) AS net_pnl, count(*) FILTER (WHERE v - cost_basis > 1e-9) AS winners, count(*) FILTER (WHERE v - cost_basis < -1e-9) AS losers FROM (SELECT *, quantity * price AS v FROM po LEFT JOIN pr USING (symbol)) GROUP BY account_id)"
+EQUITY = led_ctes(po=POSITIONS, pr=_PRICES) + f"SELECT account_id, {r('cash market_value unrealised_pnl equity', 2)} FROM (SELECT account_id, cash, market_value, unrealised_pnl, cash + coalesce(market_value, 0) AS equity FROM (SELECT account_id, 1e7 + sum(net_cash) AS cash FROM co GROUP BY account_id) LEFT JOIN (SELECT account_id, sum(quantity * price) AS market_value, sum(quantity * price - cost_basis) AS unrealised_pnl FROM po LEFT JOIN pr USING (symbol) GROUP BY account_id) USING (account_id))"
+ANALYSIS = led_ctes(po=POSITIONS, pr=_PRICES) + f"SELECT account_id, n_positions, winners, losers, {r('cost_basis market_value gross_pnl net_pnl', 2)}, round((net_pnl + cost_basis) / nullif(cost_basis, 0) - 1 + 3e-6, 2) + 0.0 AS net_return FROM (SELECT account_id, count(*) AS n_positions, sum(cost_basis) AS cost_basis, sum(v) AS market_value, sum(v - cost_basis) AS gross_pnl, sum(v * (1 - 0.0015 - 0.001) - cost_basis) AS net_pnl, count(*) FILTER (WHERE v - cost_basis > 1e-9) AS winners, count(*) FILTER (WHERE v - cost_basis < -1e-9) AS losers FROM (SELECT *, quantity * price AS v FROM po LEFT JOIN pr USING (symbol)) GROUP BY account_id)"
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -186,7 +234,7 @@ def retrieval(s: SparkSession, d: str) -> DataFrame:
     return rounded(tx.retrieval_scores(q, typed(s, d)))
 
 
-RETRIEVAL = f"WITH dd AS ({_DOCS}), q AS (SELECT item_id AS query_id, {_terms('text')} AS terms FROM benchmark), t AS (SELECT doc_id, lower(source_path) AS path, unnest({_terms(f'''source_path || ' ' || {_TYPE} || ' ' || substr(content, 1, 4000)''')}) AS term, CASE WHEN doc_id % 4 = 3 THEN 1.0 ELSE 0.0 END AS boost FROM dd), u AS (SELECT query_id, unnest(terms) AS term FROM q), o AS (SELECT query_id, doc_id, path, boost, count(*) AS overlap FROM t JOIN u USING (term) GROUP BY ALL) SELECT query_id, doc_id, overlap, round(overlap * 2.0 + boost + CASE WHEN list_bool_or(list_transform(terms, lambda w: contains(path, w))) THEN 1.5 ELSE 0.0 END + 3e-10, 6) + 0.0 AS score FROM o JOIN q USING (query_id)"
+RETRIEVAL = f"WITH dd AS ({_DOCS}), q AS (SELECT item_id AS query_id, {_terms('text')} AS terms FROM benchmark), t AS (SELECT doc_id, lower(source_path) AS path, unnest({_terms(f'''source_path || ' ' || {_TYPE} || ' ' || content''')}) AS term, CASE WHEN doc_id % 4 = 3 THEN 1.0 ELSE 0.0 END AS boost FROM dd), u AS (SELECT query_id, unnest(terms) AS term FROM q), o AS (SELECT query_id, doc_id, path, boost, count(*) AS overlap FROM t JOIN u USING (term) GROUP BY ALL) SELECT query_id, doc_id, overlap, round(overlap * 2.0 + boost + CASE WHEN list_bool_or(list_transform(terms, lambda w: contains(path, w))) THEN 1.5 ELSE 0.0 END + 3e-10, 6) + 0.0 AS score FROM o JOIN q USING (query_id)"
 
 
 def chunks(s: SparkSession, d: str) -> DataFrame:
@@ -214,28 +262,28 @@ def inventory(s: SparkSession, d: str) -> DataFrame:
     return tx.knowledge_inventory(typed(s, d).select("doc_id", "source_type"), chunks(s, d))
 
 
-def baskets(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+def baskets(s: SparkSession, d: str) -> DataFrame:
     from ..operators.joins import period_return
 
     ret = period_return(fx.bars(s, d), F.lit(date(1998, 6, 1)), F.lit(date(1998, 6, 30))).select("symbol", "period_return")
-    picks = overlay(s, d, since).where("score > 0.4").select(F.col("trading_date").alias("as_of_date"), "symbol", "score")
+    picks = overlay(s, d).where("score > 0.4").select(F.col("trading_date").alias("as_of_date"), "symbol", "score")
     return rounded(agg.basket_return(picks, ret, "score"))
 
 
 BASKETS = ctes(*_SRC, **SCS) + "SELECT as_of_date, n_names, round(g + 3e-10, 6) + 0.0 AS gross_return, round((1 + g) * (1 - 0.0015) * (1 - 0.0015 - 0.001) - 1 + 3e-10, 6) + 0.0 AS net_return FROM (SELECT trading_date AS as_of_date, count(*) AS n_names, sum(score * pr) / sum(score) AS g FROM sc JOIN (SELECT symbol, arg_max(close, trading_date) / nullif(arg_min(close, trading_date), 0) - 1 AS pr FROM bars WHERE trading_date BETWEEN DATE '1998-06-01' AND DATE '1998-06-30' GROUP BY symbol) USING (symbol) WHERE score > 0.4 GROUP BY trading_date)"
 
 
-def sanitized(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
+def sanitized(s: SparkSession, d: str) -> DataFrame:
     line = F.row_number().over(Window.partitionBy("trading_date").orderBy("symbol"))
-    picks = context(s, d, since).select(F.col("trading_date").alias("as_of_date"), "symbol", (F.lit(0.6) / line).alias("weight"))
+    picks = context(s, d).select(F.col("trading_date").alias("as_of_date"), "symbol", (F.lit(0.6) / line).alias("weight"))
     return rounded(sc.sanitize_weights(picks, fx.universe(s, d).where("symbol <> 'Brand#10'")))
 
 
 SANITIZED = ctes(*_SRC, **CXS) + "SELECT as_of_date, symbol, round(weight + 3e-10, 6) + 0.0 AS weight, round(CASE WHEN t > 1 THEN k / t ELSE k END + 3e-10, 6) + 0.0 AS clean_weight, concat_ws(',', CASE WHEN NOT ok THEN 'not_allowed' END, CASE WHEN weight > 0.2 THEN 'capped' END, CASE WHEN nth > 5 AND w > 0 THEN 'over_max_positions' END, CASE WHEN t > 1 THEN 'scaled' END) AS errors FROM (SELECT *, sum(k) OVER (PARTITION BY as_of_date) AS t FROM (SELECT *, CASE WHEN nth <= 5 THEN w ELSE 0.0 END AS k FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date ORDER BY w DESC, symbol) AS nth FROM (SELECT *, CASE WHEN ok THEN least(weight, 0.2) ELSE 0.0 END AS w FROM (SELECT trading_date AS as_of_date, symbol, 0.6::DOUBLE / row_number() OVER (PARTITION BY trading_date ORDER BY symbol) AS weight, symbol <> 'Brand#10' AND symbol IN (SELECT symbol FROM uni) AS ok FROM c)))))"
 
 
-def percentile_signals(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
-    return rounded(sc.percentile_signals(context(s, d, since), "trading_date", "ta_composite_score").select("symbol", "trading_date", "signal"))
+def percentile_signals(s: SparkSession, d: str) -> DataFrame:
+    return rounded(sc.percentile_signals(context(s, d), "trading_date", "ta_composite_score").select("symbol", "trading_date", "signal"))
 
 
 def table_of_features(s: SparkSession, d: str) -> DataFrame:
@@ -245,26 +293,26 @@ def table_of_features(s: SparkSession, d: str) -> DataFrame:
 FEATURE_TABLE = ctes("bars", "idx", "uni", ir=ft.returns_sql("idx"), rt=ft.returns_sql("bars"), lq=ft.LIQUIDITY, act=ft.ACTIVE, f=ft.FEATURES) + f"SELECT symbol, trading_date, {r('trend_score momentum_score technical_score risk_score')} FROM (SELECT *, (trend_score + momentum_score) / 2 AS technical_score FROM (SELECT symbol, trading_date, row_number() OVER {W} AS n, ((close - sma_20 > 1e-9)::INT + (close - sma_50 > 1e-9)::INT + (sma_20 - sma_50 > 1e-9)::INT) / 3.0::DOUBLE AS trend_score, {_CL('0.5 + coalesce(return_20d, 0.0) * 3.0')} AS momentum_score, percent_rank() OVER (PARTITION BY trading_date ORDER BY round(volatility_20d, 9) NULLS FIRST) AS risk_score FROM f) WHERE n >= 50)"
 
 
-def compact(s: SparkSession, d: str, since: date | None = None) -> DataFrame:
-    made = sc.compact_signals(scored(s, d, since), context(s, d, since))
+def compact(s: SparkSession, d: str) -> DataFrame:
+    made = sc.compact_signals(scored(s, d), context(s, d))
     return made.select("symbol", "as_of_date", "signal.recommendation", "signal.score", "context.close", "context.rsi_14")
 
 
 COMPACT = ctes(*_SRC, **SCS) + "SELECT symbol, max(trading_date) AS as_of_date, arg_max(recommendation, trading_date) AS recommendation, round(arg_max(score, trading_date), 4) AS score, round(max_by(close, trading_date), 2) AS close, round(max(CASE WHEN trading_date = l THEN rsi_14 END), 2) AS rsi_14 FROM (SELECT *, max(trading_date) OVER (PARTITION BY symbol) AS l FROM sc) GROUP BY symbol ORDER BY score DESC, symbol LIMIT 50"
 
-#: Queries over context rows that have SQL. The SQL holds rows since FROM; each is registered as `<name>_all` too, over
-#: all dates and without SQL.
-SINCE = {
-    "score_context": lambda s, d, since: rounded(scored(s, d, since).select("symbol", "trading_date", "score", "confidence", "risk_level", "recommendation")),
-    "portfolio_overlay": lambda s, d, since: rounded(overlay(s, d, since).select("symbol", "trading_date", "suggested_weight")),
-    "candidate_pool": lambda s, d, since: rounded(pool(s, d, 12, since).select("symbol", "trading_date", "rank", "expected_alpha")),
+QUERIES = {
+    "score_context": lambda s, d: rounded(scored(s, d).select("symbol", "trading_date", "score", "confidence", "risk_level", "recommendation")),
+    "portfolio_overlay": lambda s, d: rounded(overlay(s, d).select("symbol", "trading_date", "suggested_weight")),
+    "candidate_pool": lambda s, d: rounded(pool(s, d, 12).select("symbol", "trading_date", "rank", "expected_alpha")),
     "percentile_signals": percentile_signals, "sanitize_weights": sanitized, "basket_return": baskets, "compact_signals": compact,
-    "position_action": lambda s, d, since: scored(s, d, since).select("symbol", "trading_date", sc.position_action(F.col("recommendation"), F.col("risk_level"), F.col("trend_state"), F.col("return_20d"), F.col("return_5d"), F.col("score")).alias("action"), sc.return_bucket(F.col("return_5d")).alias("bucket")),
+    "position_action": lambda s, d: scored(s, d).select("symbol", "trading_date", sc.position_action(F.col("recommendation"), F.col("risk_level"), F.col("trend_state"), F.col("return_20d"), F.col("return_5d"), F.col("score")).alias("action"), sc.return_bucket(F.col("return_5d")).alias("bucket")),
 }
-QUERIES = {f"{name}{end}": partial(lambda s, d, query, since: query(s, d, since), query=query, since=since) for name, query in SINCE.items() for end, since in (("", FROM), ("_all", None))} | {
+#: Names that these queries had while the plain ones cut their dates.
+WHOLE = [f"{name}_all" for name in QUERIES]
+QUERIES |= {name: QUERIES[name.removesuffix("_all")] for name in WHOLE} | {
     "qubo_linear": lambda s, d: rounded(qubo(s, d)[0]), "qubo_quadratic": lambda s, d: rounded(qubo(s, d)[1]), "subset_scan": lambda s, d: rounded(sc.subset_scan(*qubo(s, d)).select("trading_date", "mask", "energy")),
     "proposed_weights": lambda s, d: rounded(sc.proposed_weights(pool(s, d, 5)).select("symbol", "trading_date", "weight")),
-    "top_k_backtest": lambda s, d: rounded(sc.top_k_backtest(context(s, d).select("symbol", "trading_date", F.col("ta_composite_score").alias("score"), F.col("return_5d").alias("return_1d")))),
+    "top_k_backtest": lambda s, d: rounded(sc.top_k_backtest(context(s, d).select("symbol", "trading_date", F.col("ta_composite_score").alias("score"), "return_1d"))),
     "top_lists": lambda s, d: sc.top_lists(overlay(s, d)).select("trading_date", "symbol", "list", "nth", "list_rank"), "feature_table": table_of_features, "daily_plan": lambda s, d: sc.daily_plan(plan_inputs(s, d)),
     "indicator_verdicts": lambda s, d: rounded(sc.indicator_verdicts(context(s, d)).select("symbol", "trading_date", "label", "verdict")),
     "chart_macd": ema_chart, "chart_windows": chart_windows, "chart_wilder": wilder, "chart_supertrend": lambda s, d: rounded(chart.supertrend(fx.bars(s, d)).select("symbol", "trading_date", "supertrend")), "chart_suite": lambda s, d: rounded(chart.indicator_suite(fx.bars(s, d))), "session_vwap": vwap,
@@ -272,6 +320,18 @@ QUERIES = {f"{name}{end}": partial(lambda s, d, query, since: query(s, d, since)
     "settlement_buckets": buckets, "equity": equities, "portfolio_analysis": lambda s, d: rounded(led.portfolio_analysis(led.positions(lots(s, d)), prices(s, d)), 2),
     "document_types": lambda s, d: typed(s, d).select("doc_id", "source_path", "source_type", "title", "content_hash"), "chunk_documents": chunks, "retrieval_scores": retrieval, "retrieval_scores_all": lambda s, d: chunk_scores(s, d).withColumnRenamed("doc_id", "chunk_id"), "select_chunks": selected, "knowledge_inventory": inventory,
 }
+PROPOSED = ctes(*_SRC, **CXS, p=POOL(5)) + """SELECT symbol, trading_date, round(round(w + 0.0, 6) + 3e-10, 6) + 0.0 AS weight FROM (SELECT symbol, trading_date, c / nullif(sum(c) OVER d, 0) * least(0.95, sum(c) OVER d) AS w FROM (
+    SELECT symbol, trading_date, least(0.35, 0.95 * s / nullif(sum(s) OVER (PARTITION BY trading_date), 0)) AS c FROM (SELECT symbol, trading_date, greatest(coalesce(ta_composite_score, 0.01), 0.01) / greatest(coalesce(volatility_20d, 0.02), 0.01) AS s FROM p))
+  WINDOW d AS (PARTITION BY trading_date))"""
+TOP_LISTS = ctes(*_SRC, **SCS, ov=OVERLAY) + """SELECT trading_date, symbol, list, CAST(nth AS INT) AS nth, CASE list WHEN 'top_weight' THEN 1 WHEN 'watchlist' THEN 2 ELSE 3 END AS list_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY trading_date, list ORDER BY suggested_weight DESC, score DESC, symbol) AS nth FROM (SELECT *, CASE WHEN suggested_weight > 0 THEN 'top_weight' WHEN recommendation = 'watch' THEN 'watchlist' ELSE 'risk_off' END AS list FROM ov)) WHERE nth <= 5"""
+_SAID = {"momentum_20d": ("return_20d", "> 0", "< 0"), "relative_strength": ("relative_strength_20d", "> 0", "< 0"), "rsi": ("rsi_14", "BETWEEN 45 AND 70", "NOT BETWEEN 30 AND 80"), "volatility": ("volatility_20d", "< 0.028", ">= 0.045"),
+    "drawdown": ("drawdown_from_peak", "> -0.08", "< -0.18"), "composite": ("ta_composite_score", ">= 0.62", "<= 0.38"), "regime": ("regime_score", "> 0.5", "< -0.5")}
+VERDICTS = ctes(*_SRC, **CXS) + " UNION ALL ".join(f"SELECT symbol, trading_date, '{name}' AS label, CASE WHEN {c} IS NULL THEN 'n/a' WHEN {c} {good} THEN 'positive' WHEN {c} {bad} THEN 'negative' ELSE 'neutral' END AS verdict FROM c" for name, (c, good, bad) in _SAID.items())
+BACKTEST = ctes(*_SRC, **CXS, n="SELECT trading_date, row_number() OVER (ORDER BY trading_date) AS nth FROM (SELECT DISTINCT trading_date FROM c)",
+    ch="SELECT symbol, trading_date, return_1d, CASE WHEN (nth - 1) % 5 = 0 THEN CASE WHEN row_number() OVER (PARTITION BY trading_date ORDER BY round(ta_composite_score, 9) DESC NULLS LAST, symbol) <= 5 THEN 0.2::DOUBLE ELSE 0.0 END END AS w FROM c JOIN n USING (trading_date)",
+    he=f"SELECT *, coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trading_date ROWS UNBOUNDED PRECEDING), 0.0) AS held FROM ch", us=f"SELECT *, coalesce(lag(held) OVER {W}, 0.0) AS used FROM he",
+) + f"SELECT trading_date, {r('gross_return turnover net_return')} FROM (SELECT *, gross_return - 0.001 * turnover AS net_return FROM (SELECT trading_date, sum(used * coalesce(return_1d, 0.0)) AS gross_return, sum(abs(held - used)) AS turnover FROM us GROUP BY trading_date))"
 ORACLES = {
     "score_context": ctes(*_SRC, **SCS) + "SELECT symbol, trading_date, round(score + 3e-10, 6) + 0.0 AS score, round(confidence + 3e-10, 6) + 0.0 AS confidence, risk_level, recommendation FROM sc",
     "portfolio_overlay": ctes(*_SRC, **SCS) + f"SELECT symbol, trading_date, {r('suggested_weight')} FROM ({OVERLAY})",
@@ -282,7 +342,8 @@ ORACLES = {
     "chart_macd": EMA_CHART, "chart_windows": ctes("bars") + f"SELECT symbol, trading_date, {r(CHART_COLS)} FROM ({_CW})", "session_vwap": VWAP,
     "order_costs": ctes("ledger", co=COSTED) + f"SELECT account_id, rejected, n_orders, {r('transaction_cost', 4)} FROM (SELECT account_id, sum(fees + taxes) AS transaction_cost, count(*) FILTER (WHERE quantity <= 0) AS rejected, count(*) AS n_orders FROM co GROUP BY account_id)",
     "cash_balance": ctes("ledger", co=COSTED) + f"SELECT order_id, account_id, {r('cash', 4)} FROM (SELECT order_id, account_id, sum(net_cash) OVER (PARTITION BY account_id ORDER BY trade_date, order_id ROWS UNBOUNDED PRECEDING) AS cash FROM co)",
-    "fifo_match": ctes("ledger", **LEDS) + f"SELECT account_id, symbol, buy_id, sell_id, qty, {r('pnl', 4)} FROM ma", "positions": ctes("ledger", **LEDS) + f"SELECT account_id, symbol, quantity, first_buy, last_buy, {r('cost_basis avg_cost', 4)} FROM ({POSITIONS})", "equity": EQUITY, "portfolio_analysis": ANALYSIS,
+    "fifo_match": led_ctes() + f"SELECT account_id, symbol, buy_id, sell_id, qty, {r('pnl', 4)} FROM ma", "positions": led_ctes() + f"SELECT account_id, symbol, quantity, first_buy, last_buy, {r('cost_basis avg_cost', 4)} FROM ({POSITIONS})", "equity": EQUITY, "portfolio_analysis": ANALYSIS,
     "document_types": f"WITH dd AS ({_DOCS}) SELECT doc_id, source_path, {_TYPE} AS source_type, CASE WHEN coalesce(h, '') = '' THEN CAST(doc_id AS VARCHAR) || '.md' ELSE h END AS title, sha256(content) AS content_hash FROM (SELECT *, trim(regexp_replace(list_filter(list_transform(str_split(content, chr(10))[1:30], lambda l: trim(l)), lambda l: starts_with(l, '#') OR (starts_with(l, '\"\"\"') AND length(l) > 6))[1], '^#+|^\"+|\"+$', '', 'g')) AS h FROM dd)",
-    "retrieval_scores": RETRIEVAL, "compact_signals": COMPACT,
+    "retrieval_scores": RETRIEVAL, "compact_signals": COMPACT, "proposed_weights": PROPOSED, "top_lists": TOP_LISTS, "indicator_verdicts": VERDICTS, "top_k_backtest": BACKTEST, "settlement_buckets": BUCKETS, "chart_wilder": WILDER, "chart_supertrend": SUPERTREND,
 }
+ORACLES |= {name: ORACLES[name.removesuffix("_all")] for name in WHOLE}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import exprs as x
 from fathomline.operators import indicators_chart as chart
-from fathomline.operators import ledger, merge, quality, scoring, text
+from fathomline.operators import ledger, merge, quality, scoring, text, windows
 from fathomline.operators import indicators_mart as mart
 from fathomline.sources import tables as src
 from fathomline.streaming import events as ev
@@ -66,6 +66,21 @@ def test_supertrend_against_a_plain_loop(spark):
     pd.testing.assert_series_equal(got, pd.Series(want, dtype=float), check_names=False)
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_recurrences_against_pandas(spark, block, monkeypatch):
+    """Gaps keep the value and let its weight fade, as ewm() without adjusting does."""
+    monkeypatch.setattr(windows.scanned, "__defaults__", (block,))
+    rng = random.Random(5)
+    xs = [None, None, *[rng.uniform(-1, 1) if rng.random() < 0.8 else None for _ in range(60)]]
+    rows = [(k, date(2024, 1, 1) + timedelta(i), x) for k in ("a", "b") for i, x in enumerate(xs if k == "a" else xs[::-1])]
+    made = chart.linear_recurrence(spark.createDataFrame(rows, "symbol string, trading_date date, x double"), {"y": ("x", 0.3, 5), "z": ("x", 0.1, 0)}).orderBy("trading_date").toPandas()
+    for key in ("a", "b"):
+        own = pd.Series([r[2] for r in rows if r[0] == key], dtype=float)
+        got = made[made.symbol == key].reset_index(drop=True)
+        pd.testing.assert_series_equal(got.y.astype(float), own.ewm(alpha=0.3, min_periods=5, adjust=False).mean(), check_names=False)
+        pd.testing.assert_series_equal(got.z.astype(float), own.ewm(alpha=0.1, min_periods=0, adjust=False).mean(), check_names=False)
+
+
 def test_replace_slices_is_idempotent_and_deletes(spark):
     base = spark.createDataFrame([("a", i, float(i)) for i in range(10)] + [("b", 1, 1.0)], "symbol string, bar_time int, close double")
     batch = spark.createDataFrame([("a", 3, 9.0), ("a", 6, 9.0)], base.schema)
@@ -74,22 +89,49 @@ def test_replace_slices_is_idempotent_and_deletes(spark):
     assert sorted(once.collect()) == sorted(merge.replace_slices(once, batch, "symbol", "bar_time").collect())
 
 
-def test_fifo_match_against_a_queue(spark):
+LEDGER = "order_id long, account_id long, symbol string, action string, quantity long, price double, trade_date date"
+
+
+def settles(day: date) -> date:
+    left = 2
+    while left:
+        day += timedelta(1)
+        left -= day.weekday() < 5
+    return day
+
+
+def test_fifo_match_against_a_walk_along_time(spark):
     rng = random.Random(3)
     rows = [(i, rng.randint(0, 2), "S", rng.choice(["BUY", "BUY", "SELL"]), 100 * rng.randint(1, 9), rng.uniform(5, 9), date(2024, 1, 1) + timedelta(i // 3)) for i in range(200)]
-    orders = spark.createDataFrame(rows, "order_id long, account_id long, symbol string, action string, quantity long, price double, trade_date date")
-    got = {(r["buy_id"], r["sell_id"]): r["qty"] for r in ledger.fifo_match(ledger.apply_costs(orders)).collect()}
+    got = {(r["buy_id"], r["sell_id"]): r["qty"] for r in ledger.fifo_match(ledger.apply_costs(spark.createDataFrame(rows, LEDGER))).collect()}
     want: dict = {}
-    for account in range(3):
-        buys = [[r[0], r[4]] for r in rows if r[1] == account and r[3] == "BUY"]
-        for sell, left in [(r[0], r[4]) for r in rows if r[1] == account and r[3] == "SELL"]:
-            while left and buys:
-                n = min(left, buys[0][1])
-                want[buys[0][0], sell] = want.get((buys[0][0], sell), 0) + n
-                left, buys[0][1] = left - n, buys[0][1] - n
-                if not buys[0][1]:
-                    buys.pop(0)
-    assert got == want
+    lots: dict = {}
+    for i, account, _, action, left, _, day in sorted(rows, key=lambda r: (r[6], r[3] != "BUY", r[0])):
+        if action == "BUY":
+            lots.setdefault(account, []).append([i, left, settles(day)])
+            continue
+        for lot in lots.get(account, []):
+            if lot[2] <= day and lot[1] and left:
+                n = min(left, lot[1])
+                want[lot[0], i] = n
+                left, lot[1] = left - n, lot[1] - n
+        if left:
+            want[None, i] = left
+    assert got == want and any(buy is None for buy, _ in want)
+
+
+def test_sales_before_purchase_or_settlement_find_nothing(spark):
+    rows = [(1, 1, "S", "SELL", 100, 9.0, date(2024, 1, 1)), (2, 1, "S", "BUY", 300, 5.0, date(2024, 2, 1)), (3, 1, "S", "SELL", 100, 9.0, date(2024, 2, 2)), (4, 1, "S", "SELL", 250, 9.0, date(2024, 2, 5)), (5, 1, "S", "SELL", 100, 9.0, date(2024, 2, 6))]
+    made = ledger.fifo_match(ledger.apply_costs(spark.createDataFrame(rows, LEDGER))).orderBy("sell_id", F.asc_nulls_last("buy_id")).collect()
+    assert [(r["buy_id"], r["sell_id"], r["qty"], r["pnl"] is None) for r in made] == [(None, 1, 100, True), (None, 3, 100, True), (2, 4, 250, False), (2, 5, 50, False), (None, 5, 50, True)]
+    early = ledger.fifo_match(ledger.apply_costs(spark.createDataFrame(rows[1:2] + rows[3:4], LEDGER)), moment=F.to_timestamp_ntz(F.concat(F.col("trade_date").cast("string"), F.lit(" 12:59:00"))))
+    assert [(r["buy_id"], r["qty"]) for r in early.collect()] == [(None, 250)]
+
+
+def test_settlement_buckets_turn_at_one_o_clock(spark):
+    lots = spark.createDataFrame([(1, "S", date(2024, 2, 1), 10), (1, "S", date(2024, 2, 2), 20), (1, "S", date(2024, 2, 5), 40), (1, "S", date(2024, 1, 31), 0)], "account_id long, symbol string, trade_date date, remaining_quantity long")
+    at = lambda t: ledger.settlement_buckets(lots, F.lit(t).cast("timestamp_ntz")).select("sellable", "t0", "t1", "t2").first()
+    assert tuple(at("2024-02-05 12:00:00")) == (0, 40, 20, 10) and tuple(at("2024-02-05 13:00:00")) == (10, 40, 20, 0)
 
 
 def test_subset_scan_against_all_subsets(spark):
@@ -150,7 +192,7 @@ def test_range_join_takes_every_bar(spark):
     closes: dict = {}
     for row in fixtures.bars(spark, DATA).orderBy("symbol", "trading_date").collect():
         closes.setdefault(row["symbol"], []).append(row["close"])
-    made = {(r["symbol"], r["at"]): (r["n"], r["total"]) for r in relational.QUERIES["range_join_all"](spark, DATA).collect()}
+    made = {(r["symbol"], r["at"]): (r["n"], r["total"]) for r in relational.QUERIES["range_join"](spark, DATA).collect()}
     assert len(made) == sum(map(len, closes.values()))
     for (symbol, at), (n, total) in made.items():
         own = closes[symbol][max(0, at - 10) : at]
@@ -163,12 +205,8 @@ def test_selection_queries_take_every_date(spark):
     from fathomline.plans import features, selection
 
     days = {(r["symbol"], r["trading_date"]) for r in features.context(spark, DATA).select("symbol", "trading_date").collect()}
-    assert min(d for _, d in days) < selection.FROM
-    made = selection.QUERIES["score_context_all"](spark, DATA).collect()
-    assert {(r["symbol"], r["trading_date"]) for r in made} == days
-    pinned = selection.QUERIES["score_context"](spark, DATA).collect()
-    assert sorted(r for r in made if r["trading_date"] >= selection.FROM) == sorted(pinned)
-    assert {(r["symbol"], r["trading_date"]) for r in selection.QUERIES["indicator_verdicts"](spark, DATA).select("symbol", "trading_date").distinct().collect()} == days
+    for name in ("score_context", "score_context_all", "indicator_verdicts"):
+        assert {(r["symbol"], r["trading_date"]) for r in selection.QUERIES[name](spark, DATA).select("symbol", "trading_date").distinct().collect()} == days
 
 
 def test_select_chunks_passes_over_what_exceeds(spark):
