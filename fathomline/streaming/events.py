@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import label
 from ..operators.merge import replace_slices, upsert
@@ -117,36 +118,68 @@ def missing_dates(calendar: DataFrame, seen: DataFrame, day: str = "day", time:
     return calendar.join(seen.select(F.col(time).alias(day)).distinct(), day, "left_anti")
 
 
-def _replaced(path: str, frame: DataFrame) -> None:
-    """Writes what was computed from path back to it: into a new folder first, then over the old one."""
+def delta_slice(source: DataFrame, stored: DataFrame, slot: Column, minutes: int = 15, overlap: int = 1, key: str = "symbol", time: str = "bar_time") -> DataFrame:
+    """What a delta run reads of source: each key's bars from its last stored ones on (overlap of them once more, since
+    they may have been open when they were read), up to the last bar that is complete at slot. Keys that aren't stored
+    are read from their beginning."""
+    seen = stored.groupBy(key).agg(F.max(time).alias("__last"))
+    met = source.join(seen, key, "left")
+    begin = F.col("__last") - F.expr(f"INTERVAL {minutes * (overlap - 1)} MINUTES")
+    return met.where((F.col("__last").isNull() | (F.col(time) >= begin)) & (F.col(time) + F.expr(f"INTERVAL {minutes} MINUTES") <= slot)).drop("__last")
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a table, in order. One without its writer's _SUCCESS file was never finished."""
+    files, place = _files(spark, path)
+    if not files.exists(place):
+        return []
+    names = [f.getPath() for f in files.listStatus(place) if f.getPath().getName().startswith("version=")]
+    return sorted(int(n.getName().split("=")[1]) for n in names if files.exists(_files(spark, f"{n.toString()}/_SUCCESS")[1]))
+
+
+def current(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The last whole version of a table; with a schema, an empty table where there is none yet."""
+    known = versions(spark, path)
+    if not known and schema is not None:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{path}/version={known[-1]}") if known else spark.read.parquet(path)
+
+
+def _advanced(path: str, frame: DataFrame) -> None:
+    """Writes frame as the next version beside the last, which readers keep until the new one is whole. Versions
+    before the last go. A crash leaves an unfinished folder, which the next run overwrites."""
     spark = frame.sparkSession
-    frame.write.mode("overwrite").parquet(f"{path}__next")
-    spark.read.parquet(f"{path}__next").write.mode("overwrite").parquet(path)
+    known = versions(spark, path)
+    frame.write.mode("overwrite").parquet(f"{path}/version={known[-1] + 1 if known else 0}")
+    for old in known[:-1]:
+        files, place = _files(spark, f"{path}/version={old}")
+        files.delete(place, True)
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: Callable[[], list[Column]], checkpoint: str) -> StreamingQuery:
     """Keeps a table of the last row of each key; every batch can be run again."""
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            base = spark.read.parquet(path)
-        except Exception:
-            base = spark.createDataFrame([], batch.schema)
-        _replaced(path, upsert(base, batch.unionByName(base.join(batch.select(*keys).distinct(), keys, "left_semi")), keys, order()))
+        base = current(batch.sparkSession, path, batch.schema)
+        _advanced(path, upsert(base, batch.unionByName(base.join(batch.select(*keys).distinct(), keys, "left_semi")), keys, order()))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def delta_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "symbol", time: str = "bar_time") -> StreamingQuery:
-    """Each batch replaces its keys' slices of the delta table: rows that are read again overwrite."""
+    """Each batch replaces its keys' slices of the delta table: rows that are read again overwrite. Of several rows of
+    a key and time in a batch the greatest is kept. The table holds the sessions since the last compaction, which is
+    what a batch rewrites."""
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            base = spark.read.parquet(path)
-        except Exception:
-            base = spark.createDataFrame([], batch.schema)
-        _replaced(path, replace_slices(base, batch.dropDuplicates([key, time]), key, time))
+        base = current(batch.sparkSession, path, batch.schema)
+        rest = [c for c in batch.columns if c not in (key, time)]
+        one = batch.groupBy(key, time).agg(F.max(F.struct(*rest)).alias("r")).select(key, time, "r.*")
+        _advanced(path, replace_slices(base, one, key, time))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -274,7 +274,29 @@ def test_streams_equal_batches(spark, tmp_path):
     ev.delta_stream(source, str(tmp_path / "delta"), str(tmp_path / "c2")).awaitTermination(90)
     bars.where("close > 5").withColumn("close", F.col("close") + 100).write.mode("append").parquet(str(tmp_path / "d1"))
     ev.delta_stream(source, str(tmp_path / "delta"), str(tmp_path / "c2")).awaitTermination(90)
-    assert sorted(r["close"] for r in spark.read.parquet(str(tmp_path / "delta")).collect()) == [0, 1, 2, 3, 4, 5, 106, 107]
+    assert sorted(r["close"] for r in ev.current(spark, str(tmp_path / "delta")).collect()) == [0, 1, 2, 3, 4, 5, 106, 107]
+
+
+def test_a_writer_that_fails_half_way_loses_nothing(spark, tmp_path):
+    t0 = datetime(2024, 1, 1, 9)
+    bars = spark.createDataFrame([(f"s{i % 2}", t0 + timedelta(minutes=15 * i), float(i)) for i in range(8)], "symbol string, bar_time timestamp_ntz, close double")
+    bars.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(bars.schema).parquet(str(tmp_path / "in"))
+    last = {"upsert": lambda stream, at: ev.upsert_stream(stream, at, ["symbol"], lambda: [F.desc("bar_time")], at + "-c"), "delta": lambda stream, at: ev.delta_stream(stream, at, at + "-c")}
+    for name, start in last.items():
+        start(source, str(tmp_path / name)).awaitTermination(90)
+    spark.createDataFrame([("s0", t0 + timedelta(minutes=15 * i), close) for i, close in ((8, 8.0), (10, 99.0))], bars.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    broken = source.withColumn("close", F.when(F.col("close") == 99, F.raise_error(F.lit("half-way")).cast("double")).otherwise(F.col("close")))
+    want = {"upsert": ([6, 7], [7, 99]), "delta": ([0, 1, 2, 3, 4, 5, 6, 7], [0, 1, 2, 3, 4, 5, 6, 7, 8, 99])}
+    for name, start in last.items():
+        at = str(tmp_path / name)
+        with pytest.raises(Exception, match="half-way"):
+            start(broken, at).awaitTermination(90)
+        (tmp_path / name / "version=1").mkdir(exist_ok=True)
+        (tmp_path / name / "version=1" / "part-0.parquet").write_bytes(b"half a file")
+        assert sorted(r["close"] for r in ev.current(spark, at).collect()) == want[name][0]
+        start(source, at).awaitTermination(90)
+        assert sorted(r["close"] for r in ev.current(spark, at).collect()) == want[name][1]
 
 
 def test_alert_state_and_transitions(spark):
