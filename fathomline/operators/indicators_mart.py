@@ -147,3 +147,11 @@ def relative_strength(df: DataFrame, index_returns: DataFrame, names: dict[str,
     main = next(iter(names))
     beta, corr = rolling_beta_corr("log_return_1d", f"{main}_return_1d", 60, key, order)
     return out.withColumns({"beta_60d": beta, "correlation_60d": corr})
+
+
+def relative_price_strength(df: DataFrame, index: DataFrame, n: int = 20, key: str = "symbol", order: str = "trading_date") -> DataFrame:
+    """Over the dates that a symbol and the index have in common: the ratio of their prices, its change over n such
+    rows, and the difference of their returns over these."""
+    met = df.select(key, order, "close").join(index.select(order, F.col("close").alias("__index")), order).withColumn("price_ratio", ratio(F.col("close"), F.col("__index")))
+    w = window_spec(key, order)
+    return met.withColumns({"ratio_change": lag_return("price_ratio", n, w), "strength": lag_return("close", n, w) - lag_return("__index", n, w)}).select(key, order, "price_ratio", "ratio_change", "strength")

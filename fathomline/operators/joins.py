@@ -8,22 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import safe_return
 
 
-def attach(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on a composite key."""
-    return df.join(other, keys, "left")
-
-
-def attach_by_date(df: DataFrame, dim: DataFrame, order: str = "trading_date") -> DataFrame:
-    """Left join of a dimension of a row a date; small ones are broadcast by their size."""
-    return df.join(dim, order, "left")
-
-
-def attach_benchmarks(df: DataFrame, index_df: DataFrame, symbols: dict[str, str], cols: list[str], order: str = "trading_date") -> DataFrame:
-    """One dimension joined for several benchmarks: pivoted once, then one left join. symbols: prefix to symbol."""
-    wide = index_df.where(F.col("symbol").isin(list(symbols.values()))).groupBy(order).agg(*[F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{p}_{c}") for p, s in symbols.items() for c in cols])
-    return df.join(wide, order, "left")
-
-
 def range_join(left: DataFrame, right: DataFrame, key: str, point: str, lo: str, hi: str, bucket: int) -> DataFrame:
     """Rows whose key agrees and whose left point lies in the right [lo, hi]. Right rows are copied into the buckets
     they cover, so that the join is on equal keys and buckets."""
@@ -32,10 +16,6 @@ def range_join(left: DataFrame, right: DataFrame, key: str, point: str, lo: str,
     return placed.join(spread, [key, "__b"]).where((F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))).drop("__b")
 
 
-def merge_prefer_base(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    return base.unionByName(delta.join(base.select(*keys), keys, "left_anti"))
-
-
 def asof_latest(df: DataFrame, key: str, time: str, as_of: Column) -> DataFrame:
     """The last row of each key at or before as_of. Of several rows of one time, any is kept."""
     names = [c for c in df.columns if c != key]

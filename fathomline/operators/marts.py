@@ -44,6 +44,13 @@ def pivot_index(features: DataFrame, symbols: dict[str, str], cols: list[str], o
     return features.groupBy(order).agg(*[F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{p}_{c}") for p, s in symbols.items() for c in cols])
 
 
+def market_overview(breadth: DataFrame, index_features: DataFrame, main: str = "IDX_ALL", second: str = "IDX_CORE") -> DataFrame:
+    """Breadth with two indexes of the same date, and the second one's price over the first one's. Dates that lack
+    one of the three are left out."""
+    wide = pivot_index(index_features, {"main": main, "second": second}, ["close", "return_1d"]).where(F.col("main_close").isNotNull() & F.col("second_close").isNotNull())
+    return breadth.select("trading_date", "advancers", "decliners").join(wide, "trading_date").select("*", ratio(F.col("second_close"), F.col("main_close")).alias("relative_price"))
+
+
 def market_regime(index_features: DataFrame, breadth: DataFrame, main: str = "IDX_ALL", second: str = "IDX_CORE") -> DataFrame:
     wide = pivot_index(index_features, {"main": main, "second": second}, ["close", "return_1d", "return_20d", "sma_20", "sma_50", "sma_200", "volatility_20d"])
     df = wide.join(breadth.select("trading_date", "active_symbols", "advancers", "decliners", "advancer_ratio", "breadth_score", "constituent_volume"), "trading_date", "left")

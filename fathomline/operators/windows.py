@@ -45,10 +45,6 @@ def last_n_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) ->
     return df.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= n).drop("__nth")
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return last_n_per_key(df, keys, order, 1)
-
-
 def rolling_mean(col: str | Column, n: int, key: str = "symbol", order: str = "trading_date", min_obs: int = 1) -> Column:
     w = window_spec(key, order, n)
     return gated(F.avg(col).over(w), F.count(col).over(w), min_obs)

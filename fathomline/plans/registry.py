@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, relational, selection
+from . import features, operations, relational, selection
 
-MODULES = [features, relational, selection]
+MODULES = [features, relational, selection, operations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
