@@ -11,7 +11,8 @@ that no word list of the whole corpus has to fit anywhere and no text is shuffle
 decide for it on whole corpora.
 
 Null counts as the empty text: no ids. Repeated rows and ties give the same ids each; an empty table gives an empty
-result; columns that aren't asked for are left alone.
+result; other columns aren't read, so their names may be any. Very long texts are encoded whole, one at a time; a very
+long word (LONG bytes and more) is folded over a heap of its pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from hashlib import sha256
 
 import numpy as np
@@ -29,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole
+from .common import documents, small_batches, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A worker keeps the ids of so many distinct words.
@@ -38,6 +40,8 @@ CACHE = 600_000
 SPACE = r"\t-\r \u0085   -     　"
 
 
+#: Words of more bytes are folded with a heap.
+LONG = 200
 #: After every rank.
 FAR = 2_000_000_000
 
@@ -131,6 +135,8 @@ class Words:
         own = self.ranks.get(raw)
         if own is not None:
             return [own]
+        if len(raw) > LONG:
+            return self.fold_long(raw)
         rank = self.ranks.get
         parts = [raw[i : i + 1] for i in range(len(raw))]
         order = [rank(raw[i : i + 2], FAR) for i in range(len(raw) - 1)]
@@ -147,6 +153,28 @@ class Words:
                 order[at] = rank(parts[at] + parts[at + 1], FAR)
         return [self.ranks[p] for p in parts]
 
+    def fold_long(self, raw: bytes) -> list[int]:
+        """fold() in n log n steps: pieces are a linked list by their first bytes, pairs wait in a heap by rank and
+        place; one whose pieces have changed since is passed over."""
+        rank, end = self.ranks.get, len(raw)
+        after, before, reach = list(range(1, end + 1)), list(range(-1, end - 1)), [*range(1, end + 1)]
+        waiting = [(r, i, i + 2) for i in range(end - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapify(waiting)
+        gone = bytearray(end)
+        while waiting:
+            _, at, upto = heappop(waiting)
+            right = after[at]
+            if gone[at] or right >= end or reach[right] != upto:
+                continue
+            gone[right], reach[at], after[at] = 1, upto, after[right]
+            if after[at] < end:
+                before[after[at]] = at
+                if (r := rank(raw[at : reach[after[at]]])) is not None:
+                    heappush(waiting, (r, at, reach[after[at]]))
+            if (left := before[at]) >= 0 and (r := rank(raw[left:upto])) is not None:
+                heappush(waiting, (r, left, upto))
+        return [self.ranks[raw[i : reach[i]]] for i in range(end) if not gone[i]]
+
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         words = self.find(text)
@@ -241,4 +269,5 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return round_trip(documents(spark, sf_dir))

@@ -7,7 +7,9 @@ the estimates are exact.
 
 Words are runs without ASCII white space. A text of fewer than five words, but not none, has its whole word sequence
 as its one shingle; null and wordless texts have an empty sketch, alike (1.0) to another empty one and to nothing
-else. Rows that share an id are each fingerprinted; as a next document they stand as the smallest of their texts. A row without an id has an empty next document.
+else. Rows that share an id are each fingerprinted; as a next document they stand as the smallest of their texts. A
+row without an id has an empty next document. Equal hashes count once. Very long texts are sketched whole, one row at a
+time. An empty table gives an empty result; other columns aren't read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -78,21 +80,20 @@ def as_text(a: Column) -> Column:
 
 
 def next_ids(ids: DataFrame, doc_id: str = "doc_id", block_rows: int = 50_000) -> DataFrame:
-    """(doc_id, next_id): for each distinct id the next smaller one; for the smallest the largest.
+    """(doc_id, next_id): for each distinct id the next smaller one; for the smallest the largest. Ids of any ordered
+    type.
 
-    Ids are ordered within blocks of equal id ranges, about block_rows ids each; the one ordering across blocks is
-    over a row for each block.
+    Blocks of about block_rows ids are cut by a range partitioning, which samples the ids, so that their spread
+    doesn't matter; a block is a partition of a stored table. The one ordering across blocks is over a row for each.
     """
-    spread = ids.agg(F.min(doc_id).alias("low"), F.max(doc_id).alias("high"), F.count("*").alias("n")).first()
-    if not spread["n"] or spread["low"] is None:
-        return ids.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).alias("next_id"))
-    width = max(1, math.ceil((spread["high"] - spread["low"] + 1) / math.ceil(spread["n"] / block_rows)))
-    blocks = ids.select(F.col(doc_id).alias("doc_id"), F.floor((F.col(doc_id) - F.lit(spread["low"])) / F.lit(width)).alias("block")).distinct()
-    ends = blocks.groupBy("block").agg(F.max("doc_id").alias("last"))
-    ends = ends.select("block", F.lag("last").over(Window.orderBy("block")).alias("below"))
+    distinct = ids.select(F.col(doc_id).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    blocks = max(1, math.ceil(distinct.count() / block_rows))
+    placed = stored(distinct.repartitionByRange(blocks, "doc_id").withColumn("block", F.spark_partition_id()), "blocks")
+    ends = placed.groupBy("block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last"))
+    line = Window.orderBy("low")
+    ends = ends.select("block", F.coalesce(F.lag("last").over(line), F.max("last").over(Window.partitionBy())).alias("below"))
     within = Window.partitionBy("block").orderBy("doc_id")
-    placed = blocks.withColumn("before", F.lag("doc_id").over(within)).join(ends, "block")
-    return placed.select("doc_id", F.coalesce("before", "below", F.lit(spread["high"])).alias("next_id"))
+    return placed.withColumn("before", F.lag("doc_id").over(within)).join(F.broadcast(ends), "block").select("doc_id", F.coalesce("before", "below").alias("next_id"))
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:

@@ -3,15 +3,16 @@
 Within a piece of the pre-tokenizer, the last token of a prefix's encoding is the one token that ends there and that
 stays next to the last token of the prefix before it when the two are encoded together; the count at a prefix is the
 count at that earlier prefix plus one. (An encoding is the only sequence of tokens whose neighbours all are stable so.)
-Counts at piece ends add up over a text. A cut inside a piece is answered from the counts at the piece's prefixes.
+Counts at piece ends add up over a text. prefix_counts() stores the count at every prefix of a text; truncation and
+budget questions are looked up there, in the JVM.
 
-Null counts as the empty text: no bytes, no tokens. Texts are never cut; repeated rows give repeated results; an
-empty table gives an empty result.
+Null counts as the empty text: no bytes, no tokens. Texts are never cut, very long ones take one row at a time and four
+bytes a character where all counts are stored. Repeated rows and ties give repeated results; an empty table gives an
+empty result; other columns aren't read, so their names may be any.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,10 +21,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole
+from .common import documents, small_batches, whole
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -143,19 +144,45 @@ class PrefixCounts:
             got = [self.of_piece(piece) if n is None else n for piece, n in zip(found, got, strict=True)]
         return sum(got)
 
-    def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix whose pieces, and bytes of the last piece, take at most budget tokens."""
-        pieces, counts = self.marks(text)
-        kept = bisect.bisect_right(counts, budget)
-        head = "".join(pieces[:kept])
-        if kept == len(pieces):
-            return head
-        spare, best = budget - (counts[kept - 1] if kept else 0), 0
-        if pieces[kept] not in self.special:
-            raw = pieces[kept].encode()
-            best = max(i for i, n in enumerate(self.prefixes(raw)) if n <= spare)
-            return head + raw[:best].decode(errors="ignore")
-        return head
+    def every_prefix(self, text: str) -> list[int]:
+        """Counts of the first 0, 1, 2, ... characters, each as if the text ended there.
+
+        A piece is decided by what stands up to one character behind it, so a text that ends at n has the pieces of
+        the whole one up to n - 2, and what follows these is cut again: mostly the head of one piece, whose counts
+        the dynamic programming has already. A special token counts from its last character on; its head is cut together
+        with the piece before it.
+        """
+        counts, base, at = [0], 0, 0
+        special = [m.span() for m in self.cut.finditer(text)] if self.cut else []
+        for first, end in [*special, (len(text), len(text))]:
+            bounds, sums = [at], [base]
+            for piece in self.find(text[at:first]):
+                bounds.append(bounds[-1] + len(piece))
+                sums.append(sums[-1] + self.of_piece(piece))
+            heads: dict[int, list[int]] = {}
+            mark = 0
+            for n in range(at + 1, max(first, end - 1) + 1):
+                if n == first:
+                    counts.append(sums[-1])
+                    continue
+                while mark + 1 < len(bounds) and bounds[mark + 1] <= min(n - 2, first - 1):
+                    mark += 1
+                start = bounds[mark]
+                tail = text[start:n]
+                pieces = self.find(tail)
+                if len(pieces) == 1 and len(tail) > 32 and mark + 1 < len(bounds) and n <= bounds[mark + 1]:
+                    if start not in heads:
+                        whole_piece = text[start : bounds[mark + 1]]
+                        of_bytes = self.prefixes(whole_piece.encode())
+                        heads = {start: [of_bytes[k] for k in accumulate((len(c.encode()) for c in whole_piece), initial=0)]}
+                    counts.append(sums[mark] + heads[start][n - start])
+                else:
+                    counts.append(sums[mark] + sum(map(self.of_piece, pieces)))
+            base, at = sums[-1], end
+            if end > first:
+                base += 1
+                counts.append(base)
+        return counts
 
 
 @lru_cache(maxsize=4)
@@ -188,17 +215,42 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "d
     return kept.mapInArrow(counted, schema)
 
 
-def truncate_documents(docs: DataFrame, budget: int, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text: the longest prefix within the budget."""
+def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, counts: the token count of each prefix, by its length in characters from 0 on. Store it once;
+    tokens_of(), fits() and truncated() answer from it without encoding anything."""
     kept = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.truncate(x.as_py(), budget) for x in batch.column(1)], pa.string())], ["doc_id", "text"])
+            for at in range(len(batch)):
+                part = batch.slice(at, 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([own.every_prefix(part.column(1)[0].as_py())], pa.list_(pa.int32()))], ["doc_id", "text", "counts"])
+
+    return kept.mapInArrow(counted, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text string, counts array<int>")
+
+
+def tokens_of(counts: Column, n_chars: Column | int) -> Column:
+    """Tokens of the first so many characters."""
+    n = n_chars if isinstance(n_chars, Column) else F.lit(n_chars)
+    return F.element_at(counts, F.least(n + 1, F.size(counts)).cast("int"))
+
+
+def fits(counts: Column, budget: int) -> Column:
+    """Whether the whole text is within the budget."""
+    return F.element_at(counts, -1) <= budget
+
+
+def longest_within(counts: Column, budget: int) -> Column:
+    """Characters of the longest prefix within the budget. A longer prefix can have fewer tokens than a shorter one."""
+    return F.coalesce(F.array_max(F.transform(counts, lambda c, i: F.when(c <= budget, i))), F.lit(0))
+
 
-    return kept.mapInArrow(cut, kept.schema)
+def truncated(counted: DataFrame, budget: int) -> DataFrame:
+    """doc_id, text: the longest prefix within the budget, from the counts of prefix_counts()."""
+    return counted.select("doc_id", F.left("text", longest_within(F.col("counts"), budget)).alias("text"))
 
 
 def op3_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -6,7 +6,8 @@ input. A bucket larger than an even share gets a shard of its own; over the rest
 capacity is found by binary search with a greedy check, and the order is cut there.
 
 Nulls count as empty texts (size 16, crc32 0) and form a group with them. Repeated rows each get a slot. An empty
-table gives an empty result.
+table gives an empty result. Very long texts weigh what they weigh; only hashes and sizes are shuffled. Other columns
+aren't read, so their names may be any.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ Collision check: replacements of all distinct entities are compared with each ot
 those that clash (all but the smallest entity of each clash) are drawn again until none is left, so distinct
 entities stay distinct. Only documents with a redrawn entity meet the table of redraws.
 
-Null texts stay null; empty texts and texts without entities are unchanged. Repeated rows change alike.
+Null texts stay null; empty texts and texts without entities are unchanged. Repeated rows change alike; of entities
+that draw the same replacement the smallest keeps it. Very long texts are searched whole, once for the table of
+entities and once for the rewriting. An empty table gives an empty result. Columns keep their names and values whatever
+these are, save for the text and the count that is asked for.
 """
 
 from __future__ import annotations
@@ -187,8 +190,8 @@ def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"replacements still clash after {ROUNDS} draws")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with its texts rewritten, and n_entities."""
+def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
+    """docs with its texts rewritten, all other columns as they are; count: a column for the number of entities."""
     found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.transform(entities_of(F.col(text)), identified)).alias("e")).select("doc_id", "e.kind", "e.norm")
     found = stored(found, "found")
     redrawn = redraws(found.select("kind", "norm").distinct(), key)
@@ -208,8 +211,10 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
         pieces = F.split(F.col(text), ENTITY, -1)
         return F.when(F.size(entities) < 1, F.col(text)).otherwise(F.array_join(F.zip_with(pieces, F.transform(entities, replaced), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
 
-    return met.withColumns({"n_entities": F.coalesce(F.regexp_count(F.col(text), F.lit(ENTITY)), F.lit(0)), text: let(entities_of(F.col(text)), rewritten)}).drop("__redrawn", "__doc_id")
+    both = let(entities_of(F.col(text)), lambda found: F.struct(F.coalesce(F.array_size(found), F.lit(0)).alias("n"), rewritten(found).alias("text")))
+    made = met.withColumn("__made", both).withColumn(text, F.col("__made.text"))
+    return (made if count is None else made.withColumn(count, F.col("__made.n"))).drop("__redrawn", "__doc_id", "__made")
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return pseudonymise(documents(spark, sf_dir), count="n_entities").select("doc_id", "text", "n_entities")
