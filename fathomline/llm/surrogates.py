@@ -3,8 +3,9 @@
 One pattern finds e-mail addresses, IPv4 addresses, phone, card, bank and social-security numbers, hex secrets and
 titled names. Each entity is brought to a normal form (so that spellings of one entity corefer), and a hash under a
 secret key, its type and its normal form chooses a replacement of the same type: digits for digits in the same
-layout, a valid card number for a valid one, octets for octets, hex for hex, letters in the same case and script, and
-a given name of the title's gender and the name's script. The same entity gets the same replacement in every document.
+layout, a valid card number for a valid one, octets for octets, hex for hex, letters in the same case and script. A
+name keeps its title; its family name is replaced alike under every title, and a given name by one of the title's
+gender and the name's script. The same entity gets the same replacement in every document.
 
 Collision check: replacements of all distinct entities are compared with each other and with the entities themselves;
 those that clash (all but the smallest entity of each clash) are drawn again until none is left, so distinct
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-KEY = "change-me"
+#: The secret of the query and the pipeline: the setting KEY_SETTING of the session, else a key for tests.
+KEY_SETTING = "spark.fathomline.surrogates.key"
+TEST_KEY = "not-a-secret"
 #: Documents with redrawn entities that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 ROUNDS = 20
@@ -80,10 +83,28 @@ def type_of(entity: Column) -> Column:
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    """One spelling for each entity. Names keep their title, which has the gender."""
+    """One spelling for each entity."""
     return F.when(kind.isin("email", "secret"), F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, r"\D", "")).otherwise(entity)
 
 
+def title_of(entity: Column) -> Column:
+    return F.regexp_extract(entity, r"^\S+ ", 0)
+
+
+def identities(entity: Column) -> Column:
+    """array of struct(kind, norm): of a name its given name, if there is one, and its family name, each an identity of
+    its own, so that "Mr. Miller" and "Dr. John Miller" share the family name; of others one."""
+
+    def of_name(words: Column) -> Column:
+        gender = F.when(entity.rlike(FEMALE), "given f").when(entity.rlike(MALE), "given m").otherwise("given n")
+        return F.transform(words, lambda w, i: F.struct(F.when(i + 1 < F.size(words), gender).otherwise("family").alias("kind"), w.alias("norm")))
+
+    def of(kind: Column) -> Column:
+        return F.when(kind == "name", let(F.split(F.substring(entity, F.length(title_of(entity)) + 1, F.length(entity)), " "), of_name)).otherwise(F.array(F.struct(kind.alias("kind"), normal(kind, entity).alias("norm"))))
+
+    return let(type_of(entity), of)
+
+
 def luhn(digits: Column, parity: int) -> Column:
     """The Luhn sum of digits, where those at odd (0) or even (1) places from the right count twice over."""
     return F.aggregate(
@@ -112,20 +133,22 @@ def pick(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), F.pmod(n, F.lit(len(words))) + 1)
 
 
-def name_like(entity: Column, digest: Column, attempt: Column) -> Column:
-    """Title kept; a family name, and before it, where there were two names, a given name by gender and script.
-    Later attempts have longer family names."""
-    title = F.regexp_extract(entity, r"^\S+ ", 0)
-    rest = F.regexp_replace(entity, r"^\S+ ", "")
-    gender = F.when(entity.rlike(FEMALE), "f").when(entity.rlike(MALE), "m").otherwise("n")
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def picked(words: list[str], digest: Column) -> Callable[[Column], Column]:
+    return lambda i: pick(words, F.conv(F.substring(digest, (i * 7 + 1).cast("int"), F.lit(7)), 16, 10).cast("int"))
+
+
+def name_like(kind: Column, norm: Column, digest: Column, attempt: Column) -> Column:
+    """A family name of syllables, or a given name by gender, both of the name's script. Later attempts are longer:
+    more syllables, double given names."""
+    script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     given, family = F.lit(None), F.lit(None)
     for (sex, letters), words in GIVEN.items():
-        given = F.when((gender == sex) & (script == letters), pick(words, number(digest, 0))).otherwise(given)
+        parts = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(6))), picked(words, digest))
+        given = F.when((kind == f"given {sex}") & (script == letters), F.array_join(parts, "-")).otherwise(given)
     for letters, parts in SYLLABLES.items():
         longer = F.when(attempt > 2, F.concat(*(pick(parts, number(digest, i)) for i in range(5, 8)))).otherwise("")
         family = F.when(script == letters, F.initcap(F.concat(*(pick(parts, number(digest, i)) for i in range(1, 5)), longer))).otherwise(family)
-    return F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
+    return F.when(kind == "family", family).otherwise(given)
 
 
 def draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -147,7 +170,7 @@ def draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             .when(kind == "phone", F.concat(F.left(norm, F.lit(1)), F.substring(figures, F.lit(2), F.length(norm) - 1)))
             .when(kind == "ssn", F.left(figures, F.lit(9)))
             .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), spread(F.substring(norm, F.lit(3), F.length(norm)), digest)))
-            .otherwise(name_like(norm, digest, attempt))
+            .otherwise(name_like(kind, norm, digest, attempt))
         )
 
     return let(F.sha2(F.concat_ws("\u0000", F.lit(key), kind, norm, attempt.cast("string")), 256), of)
@@ -163,19 +186,14 @@ def render(kind: Column, entity: Column, drawn: Column) -> Column:
     digits = F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), laid, lambda s: s["out"])
     cased = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(drawn)).otherwise(drawn)
     spaced = F.when(entity.contains(" "), F.rtrim(F.regexp_replace(drawn, "(.{4})", "$1 "))).otherwise(drawn)
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "name", drawn).otherwise(cased)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).otherwise(cased)
 
 
 def entities_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
-def identified(entity: Column) -> Column:
-    """struct(kind, norm)"""
-    return let(type_of(entity), lambda kind: F.struct(kind.alias("kind"), normal(kind, entity).alias("norm")))
-
-
-def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
+def redraws(entities: DataFrame, key: str = TEST_KEY) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first draw isn't kept. entities: distinct (kind, norm)."""
     drawn = entities.withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
@@ -190,9 +208,13 @@ def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"replacements still clash after {ROUNDS} draws")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str = TEST_KEY, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """docs with its texts rewritten, all other columns as they are; count: a column for the number of entities."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.transform(entities_of(F.col(text)), identified)).alias("e")).select("doc_id", "e.kind", "e.norm")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.flatten(F.transform(entities_of(F.col(text)), identities))).alias("e")).select("doc_id", "e.kind", "e.norm")
     found = stored(found, "found")
     redrawn = redraws(found.select("kind", "norm").distinct(), key)
     touched = stored(found.distinct().join(redrawn, ["kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "norm").alias("k"), F.col("attempt").alias("v")))).alias("__redrawn")), "touched")
@@ -203,9 +225,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
     def replaced(entity: Column) -> Column:
         def of(e: Column) -> Column:
             attempt = F.coalesce(F.try_element_at(F.col("__redrawn"), F.concat_ws("\u0000", e["kind"], e["norm"])), F.lit(0))
-            return render(e["kind"], entity, draw(e["kind"], e["norm"], attempt, key))
+            return draw(e["kind"], e["norm"], attempt, key)
+
+        def shown(drawn: Column) -> Column:
+            return let(type_of(entity), lambda kind: F.when(kind == "name", F.concat(title_of(entity), F.array_join(drawn, " "))).otherwise(render(kind, entity, F.element_at(drawn, 1))))
 
-        return let(identified(entity), of)
+        return let(F.transform(identities(entity), of), shown)
 
     def rewritten(entities: Column) -> Column:
         pieces = F.split(F.col(text), ENTITY, -1)
@@ -217,4 +242,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir), count="n_entities").select("doc_id", "text", "n_entities")
+    return pseudonymise(documents(spark, sf_dir), session_key(spark), count="n_entities").select("doc_id", "text", "n_entities")
