@@ -34,7 +34,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return surrogates.pseudonymise(docs, surrogates.session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
