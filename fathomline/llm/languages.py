@@ -30,8 +30,7 @@ from .common import by_chars, documents, fit_fold, small_batches, whole
 SAMPLE = 400
 FIT_BYTES = 1_000_000
 SWITCH = 6.0
-#: Parts of a language's ids that are ordered apart.
-SALTS = 64
+MARGIN = 8
 #: A worker keeps the scores of so many distinct words, and labels texts of about so many bytes at a time.
 CACHE = 400_000
 CHUNK = 3_000_000
@@ -175,13 +174,16 @@ class Labeller:
 
 
 def training_rows(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most so many rows a language. Ids are chosen before texts are read, within salts of a
-    language first, so that no task orders all ids of a frequent one."""
+    """(language, text) of at most so many rows a language, those of the smallest hashes of their ids. Ids are chosen
+    before texts are read. Hashes are spread evenly, so the smallest are sought among those below MARGIN times the share
+    that is wanted: a few thousand rows of a language have to be ordered, however many it has."""
     asked = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("mark")).where(F.col("lang").isNotNull() & (fit_fold("doc_id") != 0))
-    order = ["mark", "doc_id"]
-    salted = asked.withColumn("salt", F.shiftrightunsigned("mark", 8) % SALTS)
-    first = salted.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("nth") <= most)
-    chosen = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= most).select("doc_id").distinct()
+    sized = asked.groupBy("lang").agg(F.count("*").alias("n"), F.min("mark").alias("least"))
+    place = F.col("mark") / 2.0**64 + 0.5
+    # a row for each language
+    low = asked.join(F.broadcast(sized), "lang").where((place <= F.lit(float(MARGIN * most)) / F.col("n")) | (F.col("mark") == F.col("least")))
+    line = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    chosen = low.withColumn("nth", F.row_number().over(line)).where(F.col("nth") <= most).select("doc_id").distinct()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), whole(text).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length(whole(text)) <= FIT_BYTES))
     # at most `most` ids a language
     return sorted((r["lang"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").select("lang", "text").collect())
