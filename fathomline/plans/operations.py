@@ -96,6 +96,17 @@ def labels(s: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "trading_date", x.trend_label(near(F.col("close")), near(F.col("fast")), near(F.col("slow"))).alias("trend"), x.rsi_label(near(F.col("rsi"))).alias("rsi_said"), x.macd_label(near(F.col("macd")), near(F.col("macd_signal"))).alias("macd_said"))
 
 
+_LABELS = {"mv": f"SELECT symbol, trading_date, close, greatest(close - pc, CASE WHEN pc IS NOT NULL THEN 0.0 END) AS gain, greatest(pc - close, CASE WHEN pc IS NOT NULL THEN 0.0 END) AS loss FROM (SELECT *, lag(close) OVER {W} AS pc FROM bars)"}
+_LABELS |= _smooth_cte("sm", "mv", {"gain": ("gain", 1 / 14), "loss": ("loss", 1 / 14), "e12": ("close", 2.0 / 13), "e26": ("close", 2.0 / 27)})
+_LABELS["mc"] = "SELECT symbol, trading_date, y_e12 - y_e26 AS macd, CASE WHEN n_gain >= 14 THEN round(100 - 100 / (1 + y_gain / nullif(y_loss, 0)), 6) END AS rsi FROM sm"
+_LABELS |= _smooth_cte("sg", "mc", {"s": ("macd", 0.2)})
+_LABELS["av"] = f"SELECT symbol, trading_date, round(close, 6) AS px, CASE WHEN count(close) OVER {W_(20)} >= 6 THEN round(avg(close) OVER {W_(20)}, 6) END AS fast, CASE WHEN count(close) OVER {W_(50)} >= 16 THEN round(avg(close) OVER {W_(50)}, 6) END AS slow FROM bars"
+LABELS = ctes("bars", **_LABELS).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT symbol, trading_date, CASE WHEN px > fast AND fast > slow THEN 'uptrend' WHEN px < fast AND fast < slow THEN 'downtrend' ELSE 'sideways' END AS trend,
+    CASE WHEN rsi IS NULL THEN 'n/a' WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' WHEN rsi >= 55 THEN 'bullish' WHEN rsi <= 45 THEN 'bearish' ELSE 'neutral' END AS rsi_said,
+    CASE WHEN m > g THEN 'bullish cross' WHEN m < g THEN 'bearish cross' ELSE 'flat' END AS macd_said
+  FROM (SELECT symbol, trading_date, px, fast, slow, rsi, round(macd, 6) AS m, round(y_s, 6) AS g FROM av JOIN mc USING (symbol, trading_date) JOIN sg USING (symbol, trading_date))"""
+
+
 def keltner_levels(s: SparkSession, d: str) -> DataFrame:
     df = chart.keltner(fx.bars(s, d)).withColumns({"place": chart.normalize_0_100("close"), "level": chart.bounded(F.col("close"), 900.0, 1000.0)})
     return rounded(df.select("symbol", "trading_date", "keltner_middle", "keltner_upper", "keltner_lower", "place", "level"))
@@ -217,6 +228,6 @@ QUERIES = {
     "order_nulls_last": last_lows, "side_likeness": likeness, "plan_summary": plans, "expectations": expectations, "catalog_columns": counts, "read_from_texts": read_from_texts, "standardize_hourly": hourly, "standardize_intraday": zoned,
 }
 ORACLES = {
-    "delta_slice": DELTA_SLICE, "table_rules": RULES, "ops_views": VIEWS, "acknowledged_alerts": ACKNOWLEDGED, "missing_dates": MISSING_DATES, "chart_levels": KELTNER, "market_overview": OVERVIEW, "price_strength": STRENGTH, "shifted_weights": WEIGHTED,
+    "delta_slice": DELTA_SLICE, "table_rules": RULES, "ops_views": VIEWS, "acknowledged_alerts": ACKNOWLEDGED, "missing_dates": MISSING_DATES, "chart_labels": LABELS, "chart_levels": KELTNER, "market_overview": OVERVIEW, "price_strength": STRENGTH, "shifted_weights": WEIGHTED,
     "order_nulls_last": LAST_LOWS, "side_likeness": LIKENESS, "plan_summary": PLANS, "expectations": EXPECTATIONS, "catalog_columns": COUNTS, "read_from_texts": TEXTS, "standardize_hourly": HOURLY, "standardize_intraday": ZONED,
 }
