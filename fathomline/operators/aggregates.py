@@ -62,22 +62,30 @@ def covariance_pairs(returns: DataFrame, lookback: int = 252, min_obs: int = 20,
     return pairs.join(F.broadcast(usual), F.lit(True)).select("i", "j", F.when((F.col("i") == F.col("j")) & (F.col("cov") <= 0), F.col("usual")).otherwise(F.col("cov")).alias("cov"), "n")
 
 
-def nav_series(nav: DataFrame, key: str = "run_id", order: str = "trade_date") -> DataFrame:
-    """Daily return, running peak, drawdown and exposure."""
+def nav_series(nav: DataFrame, key: str = "run_id", order: str = "trade_date", choices: tuple[str, str] | None = None) -> DataFrame:
+    """Daily return, running peak, drawdown and exposure; with two array columns of choices, their agreement (1 if
+    both are empty)."""
+    if choices is not None:
+        nav = nav.withColumn("agreement", F.coalesce(jaccard(*map(F.col, choices)), F.lit(1.0)))
     w = Window.partitionBy(key).orderBy(order)
     peak = F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return nav.withColumns({"daily_return": safe_return(F.col("nav"), F.lag("nav").over(w)), "peak": peak, "drawdown": safe_return(F.col("nav"), peak), "exposure": ratio(F.col("market_value"), F.col("nav"))})
 
 
-def nav_metrics(series: DataFrame, periods: int = 252, key: str = "run_id", order: str = "trade_date") -> DataFrame:
+def nav_metrics(series: DataFrame, periods: int = 252, key: str = "run_id", order: str = "trade_date", initial_cash: float | None = None) -> DataFrame:
+    """Returns start from initial_cash, or from the first day's value. A turnover column is summed and an agreement
+    column averaged, where the series has them."""
+    more = [f(c).alias(n) for c, n, f in (("turnover", "turnover", F.sum), ("agreement", "mean_agreement", F.avg)) if c in series.columns]
     made = series.groupBy(key).agg(
+        *more,
         F.count("*").alias("n"), F.min_by("nav", order).alias("first_nav"), F.max_by("nav", order).alias("last_nav"), F.avg("daily_return").alias("mean"), F.stddev_samp("daily_return").alias("std"),
         F.min("drawdown").alias("max_drawdown"), F.avg(F.when(F.col("daily_return").isNotNull(), F.when(F.col("daily_return") > 0, 1.0).otherwise(0.0))).alias("win_rate"), F.avg("exposure").alias("mean_exposure"),
     )
-    total = safe_return(F.col("last_nav"), F.col("first_nav"))
+    total = safe_return(F.col("last_nav"), F.col("first_nav") if initial_cash is None else F.lit(initial_cash))
     return made.select(
         key, "n", total.alias("total_return"), (F.pow(1 + total, F.lit(float(periods)) / F.col("n")) - 1).alias("annualised_return"), (F.col("std") * math.sqrt(periods)).alias("volatility"),
         ratio(F.col("mean") * math.sqrt(periods), F.col("std")).alias("sharpe"), "max_drawdown", "win_rate", "mean_exposure",
+        *[c for c in ("turnover", "mean_agreement") if c in made.columns],
     )
 
 

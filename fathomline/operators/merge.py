@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import build_manifest
 
-def append_new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of incoming whose key is new, one of each."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+
+def append_new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], time: str | None = None) -> DataFrame:
+    """Rows of incoming whose key is new, one of each. time: a key column; only stored rows between its first and last
+    value in incoming are read, by bounds that reach the scan as scalar subqueries."""
+    stored = existing
+    if time is not None:
+        assert time in keys, "the bounded column has to be a key"
+        first, last = incoming.agg(F.min(time)), incoming.agg(F.max(time))
+        stored = existing.where((F.col(time) >= first.scalar()) & (F.col(time) <= last.scalar()))
+    return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
 def replace_slices(base: DataFrame, batch: DataFrame, key: str, time: str) -> DataFrame:
@@ -51,3 +59,11 @@ def eod_compact(base: DataFrame, delta: DataFrame, as_of: Column, lookback_days:
     done = delta.where(F.col("session_date") <= as_of)
     merged = replace_slices(base, done, key, time).where(F.col("session_date") >= F.date_sub(as_of, lookback_days))
     return merged, delta.where(F.col("session_date") > as_of)
+
+
+def eod_reconcile(base: DataFrame, delta: DataFrame, state: DataFrame, as_of: Column, dataset: str, run_id: str, lookback_days: int = 60, key: str = "symbol", time: str = "bar_time") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(base, delta, manifest, state): compaction with the manifest of the new base and the dataset's next version."""
+    merged, rest = eod_compact(base, delta, as_of, lookback_days, key, time)
+    manifest = build_manifest(merged, dataset, merged.agg(F.max(F.to_date(time)).alias("as_of")), key, time)
+    change = manifest.agg(F.max("coverage_end").alias("latest_data_ts")).select(F.lit(dataset).alias("dataset_name"), "latest_data_ts", F.lit(run_id).alias("run_id"))
+    return merged, rest, manifest, bump_version(state, change)

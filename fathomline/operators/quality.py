@@ -34,16 +34,23 @@ def failures(rules: list[Rule]) -> Column:
 
 
 def validate(df: DataFrame, rules: list[Rule], target_keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clean, invalid, counts): rows that pass all rules, the first of each key in order; rows that fail one, with
-    the rules' names; failing rows by rule, counted independently."""
-    checked = df.withColumn("failed", failures(rules))
+    """(clean, invalid, counts): rows that pass all rules of severity error, the first of each key in order; rows that
+    fail one, with those rules' names; failing rows by rule of any severity, counted independently."""
+    checked = df.withColumn("failed", failures([r for r in rules if r.severity == "error"]))
     w = Window.partitionBy(*target_keys).orderBy(*order)
     clean = checked.where(F.size("failed") == 0).drop("failed").withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
     invalid = checked.where(F.size("failed") > 0)
-    counts = invalid.select(F.explode("failed").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    counts = df.select(F.explode(failures(rules)).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
     return clean, invalid, counts
 
 
+def severity_report(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, severity, n) of every rule, those without failing rows too, in one aggregation."""
+    made = df.agg(*[F.count_if(~F.coalesce(F.expr(r.check), F.lit(False))).alias(r.name) for r in rules])
+    rows = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(r.name).alias("n")) for r in rules])
+    return made.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def not_null(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNull())
 
@@ -82,13 +89,16 @@ def integrity_metrics(df: DataFrame, keys: list[str], time_col: str = "trading_d
     return per_key.agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("duplicate_rows"), *[F.sum(n).alias(n) for n in checks])
 
 
-def build_manifest(df: DataFrame, dataset: str, as_of: DataFrame, key: str = "symbol", time: str = "trading_date", grace_days: int = 3, pending: DataFrame | None = None) -> DataFrame:
-    """Coverage and status of each key. pending: keys with rows that wait for a merge."""
+def build_manifest(df: DataFrame, dataset: str, as_of: DataFrame, key: str = "symbol", time: str = "trading_date", grace_days: int = 3, pending: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Coverage and status of each key. pending: keys with rows that wait for a merge. expected: keys that get a row
+    of status empty if df has none of theirs."""
     found = df.groupBy(key).agg(F.min(time).alias("coverage_start"), F.max(time).alias("coverage_end"), F.count("*").alias("row_count"))
+    if expected is not None:
+        found = found.join(expected.select(key).distinct(), key, "full_outer").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
     waits = pending.select(key).distinct().withColumn("needs_merge", F.lit(True)) if pending is not None else found.select(key).where(F.lit(False)).withColumn("needs_merge", F.lit(True))
     met = found.join(waits, key, "left").join(F.broadcast(as_of), F.lit(True))
     late = F.datediff("as_of", F.to_date("coverage_end"))
-    status = label([(F.coalesce("needs_merge", F.lit(False)), "pending_merge"), (F.col("coverage_end").isNull(), "unknown"), (late <= 0, "up_to_date"), (late <= grace_days, "awaiting_refresh_window")], "stale")
+    status = label([(F.coalesce("needs_merge", F.lit(False)), "pending_merge"), (F.col("row_count") == 0, "empty"), (F.col("coverage_end").isNull(), "unknown"), (late <= 0, "up_to_date"), (late <= grace_days, "awaiting_refresh_window")], "stale")
     return met.select(F.lit(dataset).alias("dataset_name"), key, "coverage_start", "coverage_end", "row_count", F.coalesce("needs_merge", F.lit(False)).alias("needs_merge"), status.alias("update_status"))
 
 

@@ -53,7 +53,7 @@ def score_context(df: DataFrame, config: dict[str, float] = CONFIG) -> DataFrame
         "confidence": F.round(F.when(c("risk_level") == "high", clamp(sure - 0.10)).otherwise(sure) + EDGE, 6),
         "score": F.round(F.when(c("__blocked"), F.least(c("__score"), F.lit(0.20))).otherwise(c("__score")) + EDGE, 6),
     })
-    why = to_json_sorted({"market": finite(c("__market")), "symbol": finite(c("__symbol")), "components": F.struct(*[F.round(f"score_{k}", 4).alias(k) for k in sorted(parts)]), "quality": quality, "risk_level": c("risk_level")})
+    why = to_json_sorted({"market": finite(c("__market") + EDGE), "symbol": finite(c("__symbol") + EDGE), "components": F.struct(*[F.round(f"score_{k}", 4).alias(k) for k in sorted(parts)]), "quality": quality, "risk_level": c("risk_level")})
     return df.withColumn("rationale_json", why).drop("__blocked", "__market", "__symbol", "__score")
 
 
@@ -218,6 +218,53 @@ def top_lists(recs: DataFrame, n: int = 5, by: str = "trading_date") -> DataFram
     return recs.withColumn("list", place).withColumn("nth", F.row_number().over(line)).where(F.col("nth") <= n).withColumn("list_rank", rank_of(F.col("list"), ["top_weight", "watchlist", "risk_off"]))
 
 
+def signal_symbols(recs: DataFrame, limit: int = 15, n: int = 10, by: str = "trading_date") -> DataFrame:
+    """Each date's symbols of interest in order: the n largest weights, then the n best scores to watch, then the n
+    worst to leave, each symbol once, limit in all. A symbol may stand in two lists; the first one counts."""
+    c = F.col
+    lists = [
+        (c("suggested_weight") > 0, -c("suggested_weight"), -c("score")),
+        (c("recommendation").isin("candidate_long", "watch"), -c("score"), -c("confidence")),
+        (c("recommendation").isin("avoid_or_reduce", "blocked_data_quality"), c("score"), c("confidence")),
+    ]
+    places = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(i).alias("list_rank"), first.alias("k1"), second.alias("k2"))) for i, (test, first, second) in enumerate(lists, 1)]))
+    rows = recs.select(by, "symbol", F.explode(places).alias("p")).select(by, "symbol", "p.*")
+    nth = F.row_number().over(Window.partitionBy(by, "list_rank").orderBy("k1", "k2", "symbol"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= n).groupBy(by, "symbol").agg(F.min(F.struct("list_rank", "nth")).alias("p"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("p"))).where(F.col("place") <= limit).select(by, "symbol", "p.list_rank", "place")
+
+
+def decision_signals(df: DataFrame, by: str = "trading_date") -> DataFrame:
+    """What each indicator says about a row's decision, in long form (symbol, date, signal, verdict, value).
+
+    df: context columns with action, risk_level, suggested_weight and sellable. A missing number counts as 0, a missing
+    state as unknown. settlement is given only where something would be sold.
+    """
+    c = F.col
+    num = lambda name: neutral(c(name).cast("double"), 0.0)
+    said = lambda name: F.coalesce(c(name), F.lit("unknown"))
+    two = lambda good, bad: label([(good, "bullish"), (bad, "bearish")], "neutral")
+    chosen, none_left = num("suggested_weight") > 0, num("sellable") <= 0
+    buying, selling = c("action").isin("BUY", "HOLD"), c("action").isin("SELL", "TRIM")
+    backed = chosen | (said("ta_action_bias") == "bullish") | (said("trend_state") == "uptrend")
+    # Names, order and thresholds of the signals.
+    signals = [
+        ("decision", label([(buying & backed, "bullish"), (selling & none_left, "risk"), (selling, "bearish")], "neutral"), num("score")),
+        ("trend", two(said("trend_state") == "uptrend", said("trend_state") == "downtrend"), F.lit(None)),
+        ("rsi_14", label([(num("rsi_14") >= 70, "risk"), (num("rsi_14") <= 30, "bearish"), (num("rsi_14") >= 55, "bullish")], "neutral"), num("rsi_14")),
+        ("macd_histogram", two(num("macd_histogram") > 0, num("macd_histogram") < 0), num("macd_histogram")),
+        ("relative_strength_20d", two(num("relative_strength_20d") > 0.02, num("relative_strength_20d") < -0.02), num("relative_strength_20d")),
+        ("liquidity", label([(said("liquidity_state") == "high_liquidity", "bullish"), (said("liquidity_state") == "normal_liquidity", "neutral")], "risk"), num("traded_value_cross_section_percentile")),
+        ("risk", label([((said("risk_level") == "high") | (said("ta_risk_flag") == "high") | (num("atr_pct_14") > 0.04) | (num("drawdown_from_peak") < -0.15), "risk")], "neutral"), num("drawdown_from_peak")),
+        ("ta_composite", two(said("ta_action_bias") == "bullish", said("ta_action_bias") == "bearish"), num("ta_composite_score")),
+        ("optimizer", label([(chosen, "bullish")], "neutral"), num("suggested_weight")),
+        ("market_regime", label([(said("data_quality_status") != "pass", "blocked")], two(said("market_regime") == "bullish", said("market_regime") == "bearish")), F.lit(None)),
+        ("settlement", F.when(selling | (c("action") == "HOLD_LOCKED"), label([(none_left, "blocked")], "neutral")), num("sellable")),
+    ]
+    rows = F.array(*[F.struct(F.lit(name).alias("signal"), verdict.alias("verdict"), value.cast("double").alias("value")) for name, verdict, value in signals])
+    return df.select("symbol", by, F.explode(rows).alias("v")).select("symbol", by, "v.*").where(F.col("verdict").isNotNull())
+
+
 def feature_table(features: DataFrame, min_history: int = 50, by: str = "trading_date") -> DataFrame:
     """Trend, momentum, technical and risk scores; rows of a symbol's first min_history - 1 dates are left out."""
     numbered = features.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(by)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import exprs as x
 from fathomline.operators import indicators_chart as chart
-from fathomline.operators import ledger, merge, quality, scoring, text, windows
+from fathomline.operators import aggregates, ledger, merge, quality, scoring, text, windows
 from fathomline.operators import indicators_mart as mart
 from fathomline.sources import tables as src
 from fathomline.streaming import events as ev
@@ -253,6 +253,7 @@ def test_event_lines_and_dead_letters(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "a.jsonl").write_text("\n".join(lines))
     good, dead = src.read_events(spark, str(tmp_path / "e"))
+    assert {r["source_file"].rsplit("/", 1)[1] for r in dead.collect()} == {"a.jsonl"}
     assert good.count() == 1 and sorted(r["error"] for r in dead.collect()) == ["missing event_ts, event_type", "not a JSON object", "not a JSON object"]
     query = src.read_events(spark, str(tmp_path / "e"), stream=True)[0].writeStream.format("memory").queryName("good_events").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
@@ -313,3 +314,45 @@ def test_failing_rows_of_rules(spark):
     df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", None)], "symbol string, v double")
     clean, invalid, counts = quality.validate(df, quality.load_rules([{"name": "s", "check": "symbol IS NOT NULL"}, {"name": "v", "check": "v > 0"}]), ["symbol"], [F.col("v")])
     assert clean.count() == 1 and invalid.count() == 2 and {r["rule"]: r["n"] for r in counts.collect()} == {"s": 1, "v": 1}
+
+
+def test_appending_reads_only_the_batch_range(spark):
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 9)], "k string, t int")
+    new = spark.createDataFrame([("a", 2), ("a", 3), ("a", 3), ("b", 4)], "k string, t int")
+    for time in (None, "t"):
+        assert sorted(map(tuple, merge.append_new_rows(old, new, ["k", "t"], time).collect())) == [("a", 3), ("b", 4)]
+    assert merge.append_new_rows(old, new.limit(0), ["k", "t"], "t").count() == 0
+    with pytest.raises(AssertionError):
+        merge.append_new_rows(old, new, ["k"], "t")
+
+
+def test_warnings_do_not_reject(spark):
+    rules = [quality.Rule("known", "v IS NOT NULL"), quality.Rule("large", "v > 5", "warning")]
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", 9)], "k string, v int")
+    clean, invalid, counts = quality.validate(df, rules, ["k"], [F.col("v")])
+    assert sorted(r["k"] for r in clean.collect()) == ["a", "c"] and [r["k"] for r in invalid.collect()] == ["b"]
+    assert {r["rule"]: r["n"] for r in counts.collect()} == {"known": 1, "large": 2}
+    assert sorted(map(tuple, quality.severity_report(df.limit(0), rules).collect())) == [("known", "error", 0), ("large", "warning", 0)]
+
+
+def test_signals_of_a_bare_row(spark):
+    """Missing numbers count as 0 and missing states as unknown; what cannot be sold is blocked."""
+    names = "liquidity_state ta_action_bias trend_state market_regime data_quality_status risk_level ta_risk_flag".split()
+    numbers = "suggested_weight score rsi_14 macd_histogram relative_strength_20d traded_value_cross_section_percentile drawdown_from_peak ta_composite_score atr_pct_14 sellable".split()
+    df = spark.createDataFrame([("a", 1, "SELL", *[None] * 17), ("b", 1, "WATCH", *[None] * 17)], ", ".join(["symbol string", "trading_date int", "action string", *[f"{c} string" for c in names], *[f"{c} double" for c in numbers]]))
+    said = {(r["symbol"], r["signal"]): r["verdict"] for r in scoring.decision_signals(df).collect()}
+    assert said["a", "decision"] == "risk" and said["a", "settlement"] == "blocked" and ("b", "settlement") not in said
+    assert said["b", "decision"] == "neutral" and said["b", "rsi_14"] == "bearish" and said["b", "market_regime"] == "blocked" and said["b", "liquidity"] == "risk"
+
+
+def test_symbols_of_interest(spark):
+    rows = [("a", 0.0, "watch", 0.5, 0.5), ("b", 0.3, "candidate_long", 0.9, 0.5), ("c", 0.0, "avoid_or_reduce", 0.1, 0.5), ("d", 0.0, "blocked_data_quality", 0.05, 0.5)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "trading_date int, symbol string, suggested_weight double, recommendation string, score double, confidence double")
+    listed = lambda **kw: [r["symbol"] for r in scoring.signal_symbols(df, **kw).orderBy("place").collect()]
+    assert listed() == ["b", "a", "d", "c"] and listed(limit=3) == ["b", "a", "d"] and listed(n=1) == ["b", "d"]
+
+
+def test_metrics_from_initial_cash(spark):
+    nav = spark.createDataFrame([(1, 1, 110.0, 0.0, 0.2, ["x"], ["x", "y"]), (1, 2, 121.0, 0.0, 0.1, [], [])], "run_id int, trade_date int, nav double, market_value double, turnover double, a array<string>, b array<string>")
+    got = aggregates.nav_metrics(aggregates.nav_series(nav, choices=("a", "b")), initial_cash=100.0).first()
+    assert got["total_return"] == pytest.approx(0.21) and got["turnover"] == pytest.approx(0.3) and got["mean_agreement"] == pytest.approx(0.75)
