@@ -10,7 +10,7 @@ from .quality import build_manifest
 
 def append_new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], time: str | None = None) -> DataFrame:
     """Rows of incoming whose key is new, one of each. time: a key column; only stored rows between its first and last
-    value in incoming are read, by bounds that reach the scan as scalar subqueries."""
+    value in incoming take part, by scalar subqueries."""
     stored = existing
     if time is not None:
         assert time in keys, "the bounded column has to be a key"
