@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, fingerprints, jaccard_join, languages, pages, prefix_counts, sharding, surrogates, toxicity
+from . import byte_bpe, collocations, decontamination, fingerprints, jaccard_join, languages, pages, prefix_counts, ranked_search, sharding, substring_dedup, surrogates, toxicity
 from .common import Query
 
 
@@ -18,8 +18,11 @@ def queries() -> dict[str, Query]:
         "op8_main_text": pages.op8_main_text,
         "op9_bottom_k": fingerprints.op9_bottom_k,
         "op10_count_vector_rtree": jaccard_join.op10_count_vector_rtree,
+        "op11_pair_maxscore": ranked_search.op11_pair_maxscore,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_relative_lz": substring_dedup.op13_relative_lz,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_pair_maxscore": ranked_search.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
