@@ -63,7 +63,7 @@ class Block:
         order = np.lexsort((docs, terms))
         self.docs, self.impact = docs[order], impact[order]
         found, begins = np.unique(terms[order], return_index=True)
-        self.lists = {int(t): slice(int(a), int(b)) for t, a, b in zip(found, begins, [*begins[1:], len(order)], strict=True)}
+        self.lists = {int(t): slice(int(a), int(b)) for t, a, b in zip(found, begins, [*begins, len(order)][1:], strict=False)}
         self.greatest = dict(zip(self.lists, np.maximum.reduceat(self.impact, begins).tolist() if len(order) else [], strict=True))
         self.slot = np.zeros(n, np.int64)
         self.pairs: dict[tuple, tuple[np.ndarray, int]] = {}
