@@ -201,7 +201,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     share a key."""
     occurring = texts.select("key", "text").mapInArrow(anchors_of, "h bigint, key binary, pos bigint")
     place = F.xxhash64("key", "pos")
-    homes = occurring.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    # written, so that the join has a shuffle on both sides and Spark can split a frequent anchor's places
+    homes = stored(occurring.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"), "homes")
     shared = stored(occurring.join(homes, "h").select("h", "key", "pos", (place == F.col("first")).alias("is_home")).distinct(), "anchors")
     at_home = shared.where("is_home").select("h", F.col("key").alias("home_key"), F.col("pos").alias("home_pos"))
     met = shared.where("not is_home").select("h", "key", "pos").join(at_home, "h")
