@@ -234,8 +234,11 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", least
     kept = scored.where(triple).unionByName(scored.where(~triple).join(covered, ["grp", "w1", "w2"], "left_anti"))
     total = counts.where("w1 is null").groupBy("grp").agg(F.sum("f").alias("n"))
     named = kept.select("grp", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
-    best = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = named.withColumn("rank", F.row_number().over(best))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:  # the best of each part of the phrases first, so that no task gets all phrases of a group
+        parts = Window.partitionBy("grp", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
+        named = named.withColumn("nth", F.row_number().over(parts)).where(F.col("nth") <= top).drop("nth")
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.join(total, "grp").select("grp", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
