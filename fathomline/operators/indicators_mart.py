@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, safe_return, surrogate_key
+from .blocks import KEY, PART, parts_of
 from .windows import cross_section_rank, lag_return, log_return, rolling_abs_dev, rolling_beta_corr, rolling_max, rolling_mean, rolling_min, rolling_std, rolling_sum, running_max, running_sum, slope, window_spec
 
 
@@ -30,17 +31,21 @@ def ema_kernel(df: DataFrame, spans: tuple[int, ...] = (12, 20, 26, 50), col: st
     return out.drop("__past")
 
 
-def symbol_daily_returns(bars: DataFrame, key: str = "symbol", order: str = "trading_date") -> DataFrame:
-    """Returns over 1, 5, 20 and 60 rows, means, deviations of log returns, drawdown from the peak. One sort a key."""
-    w = window_spec(key, order)
-    base = bars.select(
-        key, order, "open", "high", "low", "close", "volume",
-        *[lag_return("close", n, w).alias(f"return_{n}d") for n in (1, 5, 20, 60)],
-        log_return("close", w).alias("log_return_1d"),
-        *[rolling_mean("close", n, key, order).alias(f"sma_{n}") for n in (20, 50, 200)],
-        safe_return(F.col("close"), running_max("close", key, order)).alias("drawdown_from_peak"),
-    )
-    return base.withColumns({f"volatility_{n}d": rolling_std("log_return_1d", n, key, order) for n in (20, 60)})
+def symbol_daily_returns(bars: DataFrame, key: str = "symbol", order: str = "trading_date", rows: int | None = None) -> DataFrame:
+    """Returns over 1, 5, 20 and 60 rows, means, deviations of log returns, drawdown from the peak, over parts of a key's
+    rows with the 200 before each."""
+    parts = parts_of(bars.select(key, order, "open", "high", "low", "close", "volume"), [key], [order], rows)
+    parts = parts.carried(__peak=(F.max("close"), F.max)).with_neighbours(200, 0)
+    keys = [KEY, PART]
+    w = window_spec(keys, order)
+    base = parts.rows.withColumns({
+        **{f"return_{n}d": lag_return("close", n, w) for n in (1, 5, 20, 60)},
+        "log_return_1d": log_return("close", w),
+        **{f"sma_{n}": rolling_mean("close", n, keys, order) for n in (20, 50, 200)},
+        "drawdown_from_peak": safe_return(F.col("close"), F.greatest(running_max("close", keys, order), "__peak")),
+    })
+    made = base.withColumns({f"volatility_{n}d": rolling_std("log_return_1d", n, keys, order) for n in (20, 60)})
+    return made.where("not __copy").drop(*keys, "__copy", "__peak")
 
 
 def symbol_liquidity(bars: DataFrame, key: str = "symbol", order: str = "trading_date") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_return
+from .blocks import parts_of
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, point: str, lo: str, hi: str, bucket: int) -> DataFrame:
@@ -29,12 +30,15 @@ def first_on_or_after(df: DataFrame, key: str, time: str, when: Column) -> DataF
     return kept.groupBy(key).agg(F.min_by(F.struct(*names), F.col(time)).alias("r")).select(key, "r.*")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, cols: list[str]) -> DataFrame:
-    """Each left row with the last right row of its key at or before its time: one union, one sort, a carried value."""
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, cols: list[str], rows: int | None = None) -> DataFrame:
+    """Each left row with the last right row of its key at or before its time. Both stand in one order, cut into parts
+    of keys and times; a part takes the last right row of its own, or else the one carried into it."""
     a = left.select(key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(*cols)).schema[0].dataType).alias("__seen"))
     b = right.select(key, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__row"), F.struct(*cols).alias("__seen"))
-    w = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("__seen", F.last("__seen", True).over(w)).where("__side = 1").select("__row.*", *[F.col(f"__seen.{c}").alias(f"asof_{c}") for c in cols])
+    parts = parts_of(a.unionByName(b), [key], ["__t", "__side"], rows)
+    parts = parts.carried(__before=(F.max_by("__seen", F.when(F.col("__seen").isNotNull(), F.struct("__t", "__side"))), lambda c: F.last(c, True)))
+    seen = F.coalesce(F.last("__seen", True).over(parts.so_far), "__before")
+    return parts.rows.withColumn("__seen", seen).where("__side = 1").select("__row.*", *[F.col(f"__seen.{c}").alias(f"asof_{c}") for c in cols])
 
 
 def entry_current_prices(bars: DataFrame, entry_date: Column, as_of: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import add_trading_days, ratio, safe_return, weekday_number
+from .blocks import KEY, parts_of
 
 FEE, TAX = 0.0015, 0.001
 
@@ -18,9 +19,11 @@ def apply_costs(orders: DataFrame, fee: float = FEE, tax: float = TAX) -> DataFr
     return df.withColumns({"net_cash": F.when(buy, -(F.col("gross_value") + F.col("fees"))).otherwise(F.col("gross_value") - F.col("fees") - F.col("taxes")), "avg_cost": F.when(buy, ratio(F.col("gross_value") + F.col("fees"), F.col("quantity").cast("double")))})
 
 
-def cash_balance(costed: DataFrame, initial_cash: float = 0.0, account: str = "account_id") -> DataFrame:
-    w = Window.partitionBy(account).orderBy("trade_date", "order_id").rowsBetween(Window.unboundedPreceding, 0)
-    return costed.withColumn("cash", F.lit(initial_cash) + F.sum("net_cash").over(w))
+def cash_balance(costed: DataFrame, initial_cash: float = 0.0, account: str = "account_id", rows: int | None = None) -> DataFrame:
+    """The cash after each order, over parts of an account's orders."""
+    parts = parts_of(costed, [account], ["trade_date", "order_id"], rows).carried(__cash=(F.sum("net_cash"), F.sum))
+    cash = F.lit(initial_cash) + F.coalesce("__cash", F.lit(0.0)) + F.coalesce(F.sum("net_cash").over(parts.so_far), F.lit(0.0))
+    return parts.but(parts.rows.withColumn("cash", cash).drop("__cash")).done()
 
 
 def settled_at(trade_date: Column, days: int = 2, clock: str = "13:00") -> Column:
@@ -28,30 +31,35 @@ def settled_at(trade_date: Column, days: int = 2, clock: str = "13:00") -> Colum
     return F.to_timestamp_ntz(F.concat(add_trading_days(trade_date, days).cast("string"), F.lit(f" {clock}:00")))
 
 
-def fifo_match(costed: DataFrame, keys: tuple[str, ...] = ("account_id", "symbol"), days: int = 2, clock: str = "13:00", moment: Column | None = None) -> DataFrame:
+def fifo_match(costed: DataFrame, keys: tuple[str, ...] = ("account_id", "symbol"), days: int = 2, clock: str = "13:00", moment: Column | None = None, rows: int | None = None) -> DataFrame:
     """(keys, buy_id, sell_id, qty, pnl): each sale takes settled units in the order they were bought. What a sale
     can't take is a row without buy_id and pnl.
 
     moment: when an order is placed; by default its trade date at the hour of settlement. With Q units asked for by
     sales up to one and A units settled by then, the units taken so far are Q + min(0, least A - Q up to here): what
     lacked once is never made up for. So running sums give an interval of bought units for each sale, and matches are
-    the overlaps with the purchases' intervals. Both sides are cut into slices of a key's mean order quantity, so that
+    the overlaps with the purchases' intervals. The sums run over parts of a key's orders, with what is carried
+    into each. Both sides are cut into slices of a key's mean order quantity, so that
     the join is on key and slice instead of on all pairs of a key.
     """
     k = list(keys)
     buy = F.col("action") == "BUY"
     by_date = F.to_timestamp_ntz(F.concat(F.col("trade_date").cast("string"), F.lit(f" {clock}:00")))
     at = by_date if moment is None else F.coalesce(moment, by_date)
-    timed = costed.withColumns({"__at": F.when(buy, settled_at(F.col("trade_date"), days, clock)).otherwise(at), "__bought": F.when(buy, F.col("quantity")).otherwise(0), "__asked": F.when(buy, 0).otherwise(F.col("quantity"))})
-    bought = Window.partitionBy(*k, "action").orderBy("trade_date", "order_id").rowsBetween(Window.unboundedPreceding, 0)
-    line = Window.partitionBy(*k).orderBy("__at", F.when(buy, 0).otherwise(1), "order_id")
-    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    timed = timed.withColumns({"__hi": F.sum("quantity").over(bought), "__q": F.sum("__asked").over(so_far), "__a": F.sum("__bought").over(so_far)})
+    timed = costed.withColumns({"__at": F.when(buy, settled_at(F.col("trade_date"), days, clock)).otherwise(at), "__sells": F.when(buy, 0).otherwise(1), "__bought_on": F.when(buy, F.col("trade_date")), "__bought": F.when(buy, F.col("quantity")).otherwise(0), "__asked": F.when(buy, 0).otherwise(F.col("quantity"))})
+    # purchases settle in the order of their dates, so that one line orders both sides
+    parts = parts_of(timed, k, ["__at", "__sells", "__bought_on", "order_id"], rows)
+    parts = parts.carried(__q0=(F.sum("__asked"), F.sum), __a0=(F.sum("__bought"), F.sum))
+    running = lambda c, before: F.sum(c).over(parts.so_far) + F.coalesce(before, F.lit(0))
+    parts = parts.but(parts.rows.withColumns({"__q": running("__asked", "__q0"), "__a": running("__bought", "__a0")}))
     lacking = F.when(~buy, F.col("__a") - F.col("__q"))
-    timed = timed.withColumn("__lack", F.least(F.lit(0), F.min(lacking).over(so_far))).withColumn("__before", F.coalesce(F.least(F.lit(0), F.min(lacking).over(line.rowsBetween(Window.unboundedPreceding, -1))), F.lit(0)))
-    low = F.when(buy, F.col("__hi") - F.col("quantity")).otherwise(F.col("__q") - F.col("quantity") + F.col("__before"))
-    high = F.when(buy, F.col("__hi")).otherwise(F.col("__q") + F.col("__lack"))
-    placed = timed.withColumns({"__lo": low, "__hi": high, "__step": F.greatest(F.ceil(F.avg("quantity").over(Window.partitionBy(*k))), F.lit(1))})
+    parts = parts.carried(__least=(F.min(lacking), F.min))
+    least = lambda w: F.coalesce(F.least(F.lit(0), F.min(lacking).over(w), F.col("__least")), F.lit(0))
+    line = parts.rows.withColumns({"__lack": least(parts.so_far), "__before": least(parts.line.rowsBetween(Window.unboundedPreceding, -1))})
+    low = F.when(buy, F.col("__a") - F.col("quantity")).otherwise(F.col("__q") - F.col("quantity") + F.col("__before"))
+    high = F.when(buy, F.col("__a")).otherwise(F.col("__q") + F.col("__lack"))
+    steps = line.groupBy(KEY).agg(F.greatest(F.ceil(F.avg("quantity")), F.lit(1)).alias("__step"))
+    placed = line.withColumns({"__lo": low, "__hi": high}).join(steps, KEY)
     short = placed.where(~buy & (F.col("__hi") - F.col("__lo") < F.col("quantity"))).select(*k, F.lit(None).cast(costed.schema["order_id"].dataType).alias("buy_id"), F.col("order_id").alias("sell_id"), (F.col("quantity") - (F.col("__hi") - F.col("__lo"))).cast("bigint").alias("qty"), F.lit(None).cast("double").alias("pnl"))
     sliced = placed.where("__hi > __lo").withColumn("__slice", F.explode(F.sequence(F.floor(F.col("__lo") / F.col("__step")), F.floor((F.col("__hi") - 1) / F.col("__step")))))
     buys = sliced.where(buy).select(*k, "__slice", "__step", F.col("order_id").alias("buy_id"), F.col("avg_cost"), F.col("__lo").alias("blo"), F.col("__hi").alias("bhi"))

@@ -11,6 +11,7 @@ from ..functions import exprs as x
 from ..operators import aggregates as agg
 from ..operators import joins, merge, quality
 from ..operators import windows as win
+from ..operators.blocks import Parts, framed
 from ..session import table
 from ..sources import tables as src
 from ..streaming import events as ev
@@ -172,9 +173,13 @@ NAV_METRICS = f"WITH nav AS ({_NAV}), ns AS ({_NAVS}) SELECT run_id, n, " + r("t
 
 
 def quantile_band(s: SparkSession, d: str) -> DataFrame:
-    b = fx.bars(s, d)
-    fwd, up = win.forward_target("close")
-    return rounded(b.select("symbol", "trading_date", win.rolling_quantile("close", 120, 0.05).alias("q05"), win.rolling_quantile("close", 120, 0.95).alias("q95"), fwd.alias("target_5d"), up.alias("target_up"), win.rolling_std("close", 20, min_obs=10).alias("std_20"), win.cross_section_rank("trading_date", "close").alias("rank")))
+    def build(parts: Parts, keys: list[str]) -> DataFrame:
+        fwd, up = win.forward_target("close", key=keys)
+        bands = {"q05": win.rolling_quantile("close", 120, 0.05, keys), "q95": win.rolling_quantile("close", 120, 0.95, keys), "std_20": win.rolling_std("close", 20, keys, min_obs=10)}
+        return parts.rows.withColumns(bands | {"target_5d": fwd, "target_up": up})
+
+    made = framed(fx.bars(s, d), "symbol", "trading_date", 119, 5, build)
+    return rounded(made.select("symbol", "trading_date", "q05", "q95", "target_5d", "target_up", "std_20", win.cross_section_rank("trading_date", "close").alias("rank")))
 
 
 QUANTILE = ctes("bars") + "SELECT symbol, trading_date, " + r("q05 q95 target_5d std_20 rank") + ", target_up FROM (SELECT *, CASE WHEN n >= 30 THEN quantile_cont(close, 0.05) OVER w END AS q05, CASE WHEN n >= 30 THEN quantile_cont(close, 0.95) OVER w END AS q95, CAST(target_5d > 0 AS INT) AS target_up FROM (SELECT *, count(close) OVER w AS n, lead(close, 5) OVER (PARTITION BY symbol ORDER BY trading_date) / nullif(close, 0) - 1 AS target_5d, CASE WHEN count(close) OVER v >= 10 THEN stddev_samp(close) OVER v END AS std_20, percent_rank() OVER (PARTITION BY trading_date ORDER BY close NULLS FIRST) AS rank FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), v AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WINDOW w AS (PARTITION BY symbol ORDER BY trading_date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))"

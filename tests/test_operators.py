@@ -67,13 +67,12 @@ def test_supertrend_against_a_plain_loop(spark):
 
 
 @pytest.mark.parametrize("block", [1, 7, 256])
-def test_recurrences_against_pandas(spark, block, monkeypatch):
+def test_recurrences_against_pandas(spark, block):
     """Gaps keep the value and let its weight fade, as ewm() without adjusting does."""
-    monkeypatch.setattr(windows.scanned, "__defaults__", (block,))
     rng = random.Random(5)
     xs = [None, None, *[rng.uniform(-1, 1) if rng.random() < 0.8 else None for _ in range(60)]]
     rows = [(k, date(2024, 1, 1) + timedelta(i), x) for k in ("a", "b") for i, x in enumerate(xs if k == "a" else xs[::-1])]
-    made = chart.linear_recurrence(spark.createDataFrame(rows, "symbol string, trading_date date, x double"), {"y": ("x", 0.3, 5), "z": ("x", 0.1, 0)}).orderBy("trading_date").toPandas()
+    made = chart.linear_recurrence(spark.createDataFrame(rows, "symbol string, trading_date date, x double"), {"y": ("x", 0.3, 5), "z": ("x", 0.1, 0)}, block=block).orderBy("trading_date").toPandas()
     for key in ("a", "b"):
         own = pd.Series([r[2] for r in rows if r[0] == key], dtype=float)
         got = made[made.symbol == key].reset_index(drop=True)
