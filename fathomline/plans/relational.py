@@ -379,8 +379,7 @@ TRANSITIONS = ctes("elog", al=_ALERTS, st="SELECT alert_key, arg_max(status, (ev
 
 def gaps(s: SparkSession, d: str) -> DataFrame:
     bars = fx.intraday(s, d)
-    grid = bars.select("symbol").distinct().join(bars.select("bar_time").distinct(), F.lit(True))
-    return ev.missing_slots(grid, bars, ["symbol", "bar_time"]).groupBy("symbol").agg(F.count("*").alias("n_missing"), F.min("bar_time").alias("first_missing"))
+    return ev.missing_slots(bars, bars).groupBy("symbol").agg(F.count("*").alias("n_missing"), F.min("bar_time").alias("first_missing"))
 
 
 GAPS = ctes("intra") + "SELECT symbol, count(*) AS n_missing, min(bar_time) AS first_missing FROM (SELECT * FROM (SELECT DISTINCT symbol FROM intra), (SELECT DISTINCT bar_time FROM intra) EXCEPT SELECT symbol, bar_time FROM intra) GROUP BY symbol"

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.exprs import label
+from ..operators.blocks import Parts, framed
 from ..operators.merge import replace_slices, upsert
 
 #: Event types and the key of the table that each one feeds.
@@ -110,8 +111,24 @@ def ops_views(runs: DataFrame, alerts: DataFrame, bars: DataFrame) -> dict[str,
     }
 
 
-def missing_slots(grid: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
-    return grid.join(bars.select(*keys).distinct(), keys, "left_anti")
+def missing_slots(slots: DataFrame, seen: DataFrame, key: str = "symbol", time: str = "bar_time", rows: int | None = None) -> DataFrame:
+    """(key, time) of the slots that a key of seen lacks, among those before its first and after its last too.
+
+    Slots are numbered in order; a key's own numbers leave gaps, between one and the next and at both ends, and only
+    the gaps are made into rows, so that the product of keys and slots never is.
+    """
+    numbered = slots.select(time).distinct().withColumn("__n", F.row_number().over(Window.orderBy(time)))  # a row a slot
+    last = numbered.agg(F.coalesce(F.max("__n"), F.lit(0)).alias("__last"))
+    own = seen.select(key, time).distinct().join(numbered, time).select(key, "__n").join(F.broadcast(last), F.lit(True))
+
+    def gaps(parts: Parts, keys: list[str]) -> DataFrame:
+        line = Window.partitionBy(*keys).orderBy("__n")
+        behind = F.struct((F.col("__n") + 1).alias("from"), (F.coalesce(F.lead("__n").over(line), F.col("__last") + 1) - 1).alias("to"))
+        ahead = F.when(F.lag("__n").over(line).isNull(), F.struct(F.lit(1).alias("from"), (F.col("__n") - 1).alias("to")))
+        return parts.rows.withColumn("__gap", F.filter(F.array_compact(F.array(ahead, behind)), lambda g: g["from"] <= g["to"]))
+
+    found = framed(own, key, "__n", 1, 1, gaps, rows).select(key, F.explode("__gap").alias("g"))
+    return found.select(key, F.explode(F.sequence("g.from", "g.to")).alias("__n")).join(numbered, "__n").select(key, time)
 
 
 def missing_dates(calendar: DataFrame, seen: DataFrame, day: str = "day", time: str = "trading_date") -> DataFrame:

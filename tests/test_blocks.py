@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import blocks, indicators_mart, joins, ledger, windows
 from fathomline.operators import indicators_chart as chart
+from fathomline.streaming import events
 
 DAY = date(2020, 1, 1)
 LONG = 1_000_000
@@ -131,3 +132,15 @@ def test_the_fold_of_states_that_dont_compose(spark):
     start = F.struct(F.lit(0.0).alias("top"))
     made = windows.scanned(df, "k", "i", {"x": F.col("x")}, start, lambda s, r: F.struct(F.when(r["x"] == 0, 0.0).otherwise(s["top"] + r["x"]).alias("top")), ["top"], 7)
     assert [r["top"] for r in made.orderBy("i").collect()] == [0.0, 1.0, 3.0, 6.0, 10.0] * 8
+
+
+@pytest.mark.parametrize("rows", [10_000, 9, 1])
+def test_gaps_of_slots(spark, rows):
+    rng = random.Random(7)
+    slots = [(i,) for i in range(0, 60, 2)]
+    seen = [(k, t) for k, share in {"a": 0.9, "b": 0.1, "c": 0.5}.items() for (t,) in slots if rng.random() < share] * 2 + [("one", 30), ("all", 0)] + [("all", t) for (t,) in slots]
+    made = events.missing_slots(spark.createDataFrame(slots * 2, "t int"), spark.createDataFrame(seen, "k string, t int"), "k", "t", rows).collect()
+    want = {(k, t) for k in {k for k, _ in seen} for (t,) in slots} - set(seen)
+    assert len(made) == len(want) and {tuple(r) for r in made} == want
+    none = spark.createDataFrame([], "k string, t int")
+    assert events.missing_slots(none, none, "k", "t").count() == 0
