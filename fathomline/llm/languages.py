@@ -1,13 +1,15 @@
 """Languages of text spans: script ranges, n-gram scores of words, and Viterbi with a switching penalty.
 
-A word is a run of letters in lower case. The script of its first letter (by code-point ranges) leaves the languages
-whose training words use that script; each of them gets the mean log-probability of the word's character trigrams
+A word is a run of letters, with the marks on them, of one script (by code-point ranges), in lower case; in scripts
+without spaces between words, a piece of PIECE letters of it. Its script leaves the languages whose training words use
+that script; each of them gets the mean log-probability of the word's character trigrams
 (borders marked), by naive Bayes with add-half smoothing, times the root of the number of trigrams. Viterbi over a
 text's words with a penalty per switch gives the best labelling, whose runs are the spans. A text's language is the
 one with the most letters in its spans; its score is that share.
 
-The fit reads a bounded sample (SAMPLE texts of a language, chosen by a hash of the id, those of more than FIT_BYTES
-left out) of the rows outside the held-out fold with a language; labelling reads every whole text, very long ones too.
+The fit reads a bounded sample (SAMPLE texts of a language, chosen by a hash of the id, of each the first FIT_CHARS
+characters) of the rows outside the held-out fold with a language; rows without an id are held out of nothing and not
+fitted on. Labelling reads every whole text, very long ones too.
 Null and empty texts, and texts without letters, are `und` with score 0. Words in a script that no training language
 uses are scored by all languages alike; of languages that tie, the first in order of name is taken. Without training
 rows every text with letters is `und` too; an empty table gives an empty result. Repeated rows are labelled alike.
@@ -17,8 +19,10 @@ Columns keep their names and values whatever these are.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import by_chars, documents, fit_fold, small_batches, whole
 
 SAMPLE = 400
-FIT_BYTES = 1_000_000
+FIT_CHARS = 2_000
 SWITCH = 6.0
 MARGIN = 8
 #: A worker keeps the scores of so many distinct words, and labels texts of about so many bytes at a time.
@@ -45,18 +49,48 @@ SCRIPTS = [
     (0xFB50, "arabic"), (0xFE70, "arabic"), (0xFF00, "other"), (0x20000, "han"),
 ]
 STARTS = np.array([s for s, _ in SCRIPTS])
+#: Scripts that don't part words, and the letters that a piece of theirs has.
+UNSPACED, PIECE = frozenset(["han", "kana", "thai", "lao", "myanmar", "tibetan"]), 4
+MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M")
 #: Runs of word characters but digits and underscores; some of them (fractions, circled digits) aren't letters.
 find_runs = re.compile(r"[^\W\d_]+").findall
+find_marked = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*").findall
 
 
-def find_words(text: str) -> list[str]:
-    words = find_runs(text)
-    if "".join(words).isalpha():
-        return words
-    return [part for word in words for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
+def cut(run: str) -> list[str]:
+    """Words of a run of letters and marks: it is cut where the script changes, and into pieces where words aren't
+    parted."""
+    words: list[str] = []
+    script, size = "", 0
+    for c in run:
+        if c in _MARKS:
+            if script:
+                words[-1] += c
+        elif not c.isalpha():
+            script = ""
+        elif (own := script_of(c)) != script or (own in UNSPACED and size == PIECE):
+            words.append(c)
+            script, size = own, 1
+        else:
+            words[-1] += c
+            size += 1
+    return words
+
+
+_MARKS = frozenset(MARKS)
 
 
+def find_words(text: str) -> list[str]:
+    if not text or max(text) < "\u0300":  # Latin letters only, and no marks
+        words = find_runs(text)
+        if "".join(words).isalpha():
+            return words
+    else:
+        words = find_marked(text)
+    return [part for word in words for part in ([word] if max(word) < "\u0300" and word.isalpha() else cut(word))]
+
 
+@cache
 def script_of(letter: str) -> str:
     return SCRIPTS[int(np.searchsorted(STARTS, ord(letter), "right")) - 1][1]
 
@@ -184,7 +218,7 @@ def training_rows(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", t
     low = asked.join(F.broadcast(sized), "lang").where((place <= F.lit(float(MARGIN * most)) / F.col("n")) | (F.col("mark") == F.col("least")))
     line = Window.partitionBy("lang").orderBy("mark", "doc_id")
     chosen = low.withColumn("nth", F.row_number().over(line)).where(F.col("nth") <= most).select("doc_id").distinct()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), whole(text).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length(whole(text)) <= FIT_BYTES))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.left(whole(text), F.lit(FIT_CHARS)).alias("text")).where(F.col("lang").isNotNull())
     # at most `most` ids a language
     return sorted((r["lang"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").select("lang", "text").collect())
 
@@ -237,4 +271,4 @@ def keep_identified(docs: DataFrame, model: Model, switch: float = SWITCH, text:
 
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return identify(documents(spark, sf_dir)).select("doc_id", (fit_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "spans")
+    return identify(documents(spark, sf_dir)).select("doc_id", F.coalesce(fit_fold("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")

@@ -151,6 +151,23 @@ def test_op7(spark, data):
 
 def test_words_are_letters():
     assert languages.find_words("a½b ²x Ⅷ ① _y1z") == ["a", "b", "x", "y", "z"]
+    assert languages.find_words("हिन्दी में") == ["हिन्दी", "में"] and languages.find_words("é e\u0301 \u0301 x") == ["é", "e\u0301", "x"]
+    assert languages.find_words("hello世界这是中文文本 ok") == ["hello", "世界这是", "中文文本", "ok"] and languages.find_words("ภาษาไทย") == ["ภาษาไ", "ทย"]
+    assert languages.find_words("") == languages.find_words("\u0301 ½") == []
+
+
+def test_spans_where_scripts_mix():
+    model = languages.Model([("en", "hello this is the text of all the words"), ("zh", "这是中文文本内容世界"), ("hi", "हिन्दी में यह पाठ है")])
+    own = languages.Labeller(model, languages.SWITCH)
+    names = model.languages
+    assert [[(names[a], size) for a, _, size in spans] for spans in own.label(["hello世界这是中文文本内容", "यह पाठ है"])] == [[("en", 5), ("zh", 10)], [("hi", 8)]]
+
+
+def test_long_texts_are_fitted_on_too(spark, monkeypatch):
+    """A language whose texts are all longer than what is read of each is learned; a row without an id is held out of nothing."""
+    monkeypatch.setattr(languages, "FIT_CHARS", 50)
+    rows = [(i, ("der hund und die katze " if i % 2 else "the cat and the dog ") * 20, "de" if i % 2 else "en") for i in range(40)] + [(None, "der hund", "de")]
+    assert {lang: {len(t) for at, t in found if at == lang} for found in [languages.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] for lang in ("de", "en")} == {"de": {50}, "en": {50}}
 
 
 def test_op8(spark, tmp_path):
@@ -174,6 +191,27 @@ def test_op8(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in made.values()) and made["plain"]["url"] == "u/plain" and made["empty"]["url"] is None
 
 
+def prose(kind: str, n: int = 6) -> str:
+    return "".join(f"<p>{kind}{i} " + "word and more words " * 40 + "</p>" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    ("html", "there"),
+    [
+        (f"<main><article>{prose('a')}</article><article>{prose('b')}</article></main>", ["a0", "a5", "b0", "b5"]),
+        (f"<div>{prose('a')}</div><article>{prose('b')}</article>", ["a0", "a5", "b0", "b5"]),
+        (f"<div><section>{prose('a', 4)}</section><section>{prose('b', 36)}</section></div>", ["a0", "a3", "b0", "b35"]),
+        (f"<article>{prose('a')}<p class='promotion'>Promotion is when a pawn gets to the last rank.</p><blockquote class='comment'>He said that.</blockquote>{prose('b')}</article>", ["pawn", "He said that"]),
+        (f"<article>{prose('a')}<p>Press the <button>Start</button> key to begin.</p></article>", ["Press the Start key"]),
+    ],
+)
+def test_no_text_of_articles_is_dropped(html, there):
+    from fathomline.llm import pages
+
+    text = pages.main_text(f"<body><nav><a href=a>Home</a></nav>{html}<div class='ad'>Buy one of these, they are cheap and good this week.</div><footer>F</footer></body>")
+    assert all(t in text for t in there) and "Buy one" not in text and "Home" not in text
+
+
 def shingles(text: str) -> frozenset:
     words = [w for w in re.split(r"[ \t-\r]+", text) if w]
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)]) if words else frozenset()
