@@ -92,9 +92,14 @@ def anchors(codes: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int
 
 
 def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (h, key, pos)."""
-    codes = Codes()
+    """(key, text) to (h, key, pos), most copies of a text once a task."""
+    codes, known = Codes(), set()
     for batch in batches:
+        keys = batch.column(0).to_pylist()
+        fresh = [i for i, key in enumerate(keys) if not (key in known or known.add(key))]
+        if len(known) > REMEMBERED:
+            known.clear()
+        batch = batch.take(pa.array(fresh, pa.int64()))
         for begin, end in by_chars(batch, 1, AT_ONCE):
             part = batch.slice(begin, end - begin)
             lists = [x.as_py().split() for x in part.column(1).cast(pa.binary())]
@@ -201,9 +206,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     share a key."""
     occurring = texts.select("key", "text").mapInArrow(anchors_of, "h bigint, key binary, pos bigint")
     place = F.xxhash64("key", "pos")
-    # written, so that the join has a shuffle on both sides and Spark can split a frequent anchor's places
+    # homes are written, and rows dealt out anew before copies go, so that Spark can split a frequent anchor's places in the join
     homes = stored(occurring.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"), "homes")
-    shared = stored(occurring.join(homes, "h").select("h", "key", "pos", (place == F.col("first")).alias("is_home")).distinct(), "anchors")
+    shared = stored(occurring.join(homes, "h").select("h", "key", "pos", (place == F.col("first")).alias("is_home")).repartition("key", "pos").distinct(), "anchors")
     at_home = shared.where("is_home").select("h", F.col("key").alias("home_key"), F.col("pos").alias("home_pos"))
     met = shared.where("not is_home").select("h", "key", "pos").join(at_home, "h")
     block = lambda pos: F.floor(F.col(pos) / PIECE)
