@@ -131,11 +131,14 @@ WILDER = ctes("bars", **_WILDER).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SE
     CASE WHEN minus_di IS NOT NULL THEN {_CL('minus_di / 100')} * 100 END AS minus_di, CASE WHEN n_dx >= 14 THEN {_CL('y_dx / 100')} * 100 END AS adx FROM dx d JOIN ax USING (symbol, trading_date))"""
 _SUPER = {"mv": _MOVES, **_smooth_cte("sm", "mv", {"tr": ("tr", 0.1)})}
 _SUPER["bd"] = "SELECT mv.symbol, mv.trading_date, mv.close, rn, (high + low) / 2 + 3.0 * y AS hi, (high + low) / 2 - 3.0 * y AS lo FROM mv JOIN (SELECT symbol, trading_date, rn, CASE WHEN n_tr >= 10 THEN y_tr END AS y FROM sm) USING (symbol, trading_date)"
-_SUPER["sp"] = """SELECT symbol, trading_date, rn, close, hi AS up, lo AS dn, true AS rising, NULL::DOUBLE AS line FROM bd WHERE rn = 1
-  UNION ALL SELECT symbol, trading_date, rn, close, up, dn, rising, CASE WHEN hi IS NULL THEN NULL WHEN rising THEN dn ELSE up END FROM (
-    SELECT symbol, trading_date, rn, close, hi, up, dn, CASE WHEN hi IS NULL THEN was WHEN close > coalesce(pu, hi) THEN true WHEN close < coalesce(pd, lo) THEN false ELSE was END AS rising FROM (
-      SELECT b.symbol, b.trading_date, b.rn, b.close, b.hi, b.lo, s.up AS pu, s.dn AS pd, s.rising AS was, CASE WHEN b.hi IS NULL THEN NULL WHEN s.up IS NULL OR b.hi < s.up OR s.close > s.up THEN b.hi ELSE s.up END AS up,
-        CASE WHEN b.lo IS NULL THEN NULL WHEN s.dn IS NULL OR b.lo > s.dn OR s.close < s.dn THEN b.lo ELSE s.dn END AS dn FROM sp s JOIN bd b ON b.symbol = s.symbol AND b.rn = s.rn + 1))"""
+#: Bands are extremes since they were last broken; the trend is that of the last close beyond the band of the row before.
+_SUPER["sp"] = """SELECT symbol, trading_date, rn, close, hi AS upper, lo AS lower, 1 AS way, NULL::DOUBLE AS line FROM bd WHERE rn = 1
+  UNION ALL SELECT symbol, trading_date, rn, close, upper, lower, now, CASE WHEN upper IS NOT NULL THEN CASE now WHEN 1 THEN lower ELSE upper END END FROM (
+    SELECT b.symbol, b.trading_date, b.rn, b.close,
+      CASE WHEN b.hi IS NOT NULL THEN least(b.hi, CASE WHEN s.close <= s.upper THEN s.upper END) END AS upper,
+      CASE WHEN b.lo IS NOT NULL THEN greatest(b.lo, CASE WHEN s.close >= s.lower THEN s.lower END) END AS lower,
+      CASE WHEN b.hi IS NULL THEN s.way ELSE coalesce(nullif((b.close > coalesce(s.upper, b.hi))::INT - (b.close < coalesce(s.lower, b.lo))::INT, 0), s.way) END AS now
+    FROM sp s JOIN bd b ON b.symbol = s.symbol AND b.rn = s.rn + 1)"""
 SUPERTREND = ctes("bars", **_SUPER).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT symbol, trading_date, {r('line').replace('AS line', 'AS supertrend')} FROM sp"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from datetime import date, datetime, timedelta
+from functools import cache
 
 import pandas as pd
 import pytest
@@ -46,24 +47,32 @@ def test_rsi_stays_in_bounds_and_matches_pandas(spark):
     assert got.dropna().between(0, 100).all()
 
 
-def test_supertrend_against_a_plain_loop(spark):
+def test_supertrend_against_its_definition(spark):
+    """Each row anew: a band is the extreme of the basic ones since the close last broke it; the last close beyond the
+    band of the row before says which way the trend goes."""
     rows = walk("a", 60, 2)
     got = chart.supertrend(spark.createDataFrame(rows, BAR)).orderBy("trading_date").toPandas()["supertrend"]
     high, low, close = (pd.Series([r[i] for r in rows]) for i in (3, 4, 5))
-    tr = pd.concat([high - low, (high - close.shift()).abs(), (low - close.shift()).abs()], axis=1).max(axis=1)
-    width = 3 * tr.ewm(alpha=0.1, min_periods=10, adjust=False).mean()
-    up, dn, rising, want = None, None, True, []
-    for i in range(60):
-        u, d = (high[i] + low[i]) / 2 + width[i], (high[i] + low[i]) / 2 - width[i]
-        if i == 0 or pd.isna(u):
-            want.append(None)
-            continue
-        pu, pd_ = up, dn
-        up = u if pu is None or u < pu or close[i - 1] > pu else pu
-        dn = d if pd_ is None or d > pd_ or close[i - 1] < pd_ else pd_
-        rising = True if close[i] > (pu if pu is not None else up) else False if close[i] < (pd_ if pd_ is not None else dn) else rising
-        want.append(dn if rising else up)
+    reach = pd.concat([high - low, (high - close.shift()).abs(), (low - close.shift()).abs()], axis=1).max(axis=1)
+    width = 3 * reach.ewm(alpha=0.1, min_periods=10, adjust=False).mean()
+    first = int(width.first_valid_index())
+    basic = {1: ((high + low) / 2 + width).tolist(), -1: ((high + low) / 2 - width).tolist()}
+
+    @cache
+    def band(side: int, i: int) -> float:
+        since = max([first, *(j for j in range(first + 1, i + 1) if side * close[j - 1] > side * band(side, j - 1))])
+        return side * min(side * x for x in basic[side][since : i + 1])
+
+    def trend(i: int) -> int:
+        for j in range(i, first - 1, -1):
+            for side in (1, -1):
+                if side * close[j] > side * (band(side, j - 1) if j > first else basic[side][j]):
+                    return side
+        return 1
+
+    want = [None if i < max(first, 1) else band(-trend(i), i) for i in range(60)]
     pd.testing.assert_series_equal(got, pd.Series(want, dtype=float), check_names=False)
+    assert len({trend(i) for i in range(first, 60)}) == 2
 
 
 @pytest.mark.parametrize("block", [1, 7, 256])
