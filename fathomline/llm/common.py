@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, stored  # noqa: F401  operators take them from here
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,38 +33,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a temporary one;
-    on a cluster that is an error, since other machines couldn't read it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/fathomline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.stored_at = path
-    return made
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes what stored() wrote for these frames, which nothing reads any more."""
-    for frame in frames:
-        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
-        path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fit_fold(doc_id: str) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out."""
     return F.crc32(F.col(doc_id).cast("string")) % 5
