@@ -8,30 +8,35 @@ name keeps its title; its family name is replaced alike under every title, and a
 gender and the name's script. The same entity gets the same replacement in every document.
 
 Collision check: replacements of all distinct entities are compared with each other and with the entities themselves;
-those that clash (all but the smallest entity of each clash) are drawn again until none is left, so distinct
-entities stay distinct. Only documents with a redrawn entity meet the table of redraws.
+those that clash (all but one of each clash: fewest draws, then smallest sealed form) are drawn again until none is
+left, so distinct entities stay distinct. Only documents with a redrawn entity meet the table of redraws.
 
-Null texts stay null; empty texts and texts without entities are unchanged. Repeated rows change alike; of entities
-that draw the same replacement the smallest keeps it. Very long texts are searched whole, once for the table of
+Stored tables hold entities and replacements sealed only: encrypted under the secret key, the same way each time, so
+that sealed forms can be compared. They are deleted once nothing reads them; what stays for the rewriting has the
+sealed form and the count of draws of redrawn entities, nothing that a replacement could be undone by.
+
+Null texts stay null; empty texts and texts without entities are unchanged. Repeated rows change alike. Very long texts are searched whole, once for the table of
 entities and once for the rewriting. An empty table gives an empty result. Columns keep their names and values whatever
 these are, save for the text and the count that is asked for.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import discard, documents, stored
 
 #: The secret of the query and the pipeline: the setting KEY_SETTING of the session, else a key for tests.
 KEY_SETTING = "spark.fathomline.surrogates.key"
 TEST_KEY = "not-a-secret"
 #: Documents with redrawn entities that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-ROUNDS = 20
+#: Rounds without fewer clashes than ever before, after which a type's space counts as full.
+STUCK = 20
 
 #: The patterns of entities, tried in this order.
 PATTERNS = {
@@ -193,19 +198,49 @@ def entities_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
+def seal_key(key: str) -> Column:
+    return F.unhex(F.lit(hashlib.sha256(f"seal\0{key}".encode()).hexdigest()))
+
+
+def sealed(norm: Column, key: str) -> Column:
+    """norm encrypted under the key: equal forms give equal bytes."""
+    return F.aes_encrypt(norm.cast("binary"), seal_key(key), F.lit("ECB"))
+
+
+def unsealed(norm: Column, key: str) -> Column:
+    return F.aes_decrypt(norm, seal_key(key), F.lit("ECB")).cast("string")
+
+
 def redraws(entities: DataFrame, key: str = TEST_KEY) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first draw isn't kept. entities: distinct (kind, norm)."""
-    drawn = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
-        drawn = stored(drawn.select("kind", "norm", "attempt", draw(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("drawn")), "draws")
+    hidden = entities.select("kind", sealed(F.col("norm"), key).alias("norm"))
+    return sealed_redraws(hidden, key).withColumn("norm", unsealed(F.col("norm"), key))
+
+
+def sealed_redraws(entities: DataFrame, key: str) -> DataFrame:
+    """redraws() of sealed forms, as a stored table of sealed forms."""
+    drawn = entities.select("kind", "norm", F.lit(0).alias("attempt"))
+    fewest, idle, last = None, 0, []
+    while True:
+        opened = drawn.withColumn("opened", unsealed(F.col("norm"), key))
+        chosen = draw(F.col("kind"), F.col("opened"), F.col("attempt"), key)
+        drawn = stored(opened.select("kind", "norm", "attempt", sealed(chosen, key).alias("drawn")), "draws")
+        discard(*last)
         kept = drawn.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "norm")).alias("kept"), F.count("*").alias("n"))
         clashing = drawn.join(kept.where("n > 1").select("kind", "drawn", F.col("kept.norm").alias("keeper")), ["kind", "drawn"]).where("norm <> keeper").select("kind", "norm")
         real = drawn.join(entities.select("kind", F.col("norm").alias("drawn")), ["kind", "drawn"], "left_semi").select("kind", "norm")
         again = stored(clashing.unionByName(real).distinct(), "clashes")
-        if again.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "norm", "attempt")
+        n = again.count()
+        if not n:
+            found = stored(drawn.where("attempt > 0").select("kind", "norm", "attempt"), "redrawn")
+            discard(drawn, again)
+            return found
+        fewest, idle = (n, 0) if fewest is None or n < fewest else (fewest, idle + 1)
+        if idle == STUCK:
+            discard(drawn, again)
+            raise ValueError(f"{n} entities have no replacement that nothing else has: the space of their type is full")
+        last = [drawn, again]
         drawn = drawn.join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-    raise ValueError(f"replacements still clash after {ROUNDS} draws")
 
 
 def session_key(spark: SparkSession) -> str:
@@ -214,17 +249,20 @@ def session_key(spark: SparkSession) -> str:
 
 def pseudonymise(docs: DataFrame, key: str = TEST_KEY, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """docs with its texts rewritten, all other columns as they are; count: a column for the number of entities."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.flatten(F.transform(entities_of(F.col(text)), identities))).alias("e")).select("doc_id", "e.kind", "e.norm")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.flatten(F.transform(entities_of(F.col(text)), identities))).alias("e")).select("doc_id", "e.kind", sealed(F.col("e.norm"), key).alias("norm"))
     found = stored(found, "found")
-    redrawn = redraws(found.select("kind", "norm").distinct(), key)
-    touched = stored(found.distinct().join(redrawn, ["kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "norm").alias("k"), F.col("attempt").alias("v")))).alias("__redrawn")), "touched")
+    redrawn = sealed_redraws(found.select("kind", "norm").distinct(), key)
+    by_doc = found.distinct().join(redrawn, ["kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", F.hex("norm")).alias("k"), F.col("attempt").alias("v")))).alias("__redrawn"))
+    touched = stored(by_doc, "touched")
+    discard(found, redrawn)
     few = touched.count() <= BROADCAST_ROWS
     touched = touched.withColumnRenamed("doc_id", "__doc_id")
     met = docs.join(F.broadcast(touched) if few else touched, docs[doc_id].eqNullSafe(touched["__doc_id"]), "left")
 
     def replaced(entity: Column) -> Column:
         def of(e: Column) -> Column:
-            attempt = F.coalesce(F.try_element_at(F.col("__redrawn"), F.concat_ws("\u0000", e["kind"], e["norm"])), F.lit(0))
+            known = F.try_element_at(F.col("__redrawn"), F.concat_ws(" ", e["kind"], F.hex(sealed(e["norm"], key))))
+            attempt = F.when(F.col("__redrawn").isNull(), 0).otherwise(F.coalesce(known, F.lit(0)))
             return draw(e["kind"], e["norm"], attempt, key)
 
         def shown(drawn: Column) -> Column:

@@ -110,6 +110,34 @@ def test_surrogates(spark):
     assert made[6].split()[-1] in made[1] and len(set(re.findall(r"Frau (\w+)", made[1]))) == 2 and re.search(r"Госпожа [А-Я]", made[1])
 
 
+def test_stored_tables_of_surrogates_hold_no_personal_data(spark, tmp_path, monkeypatch):
+    kept, dropped = [], []
+    keep, drop = surrogates.stored, surrogates.discard
+
+    def noted(df, name):
+        made = keep(df, name)
+        kept.append((name, [tuple(map(str, r)) for r in made.collect()], made.stored_at))
+        return made
+
+    monkeypatch.setattr(surrogates, "stored", noted)
+    monkeypatch.setattr(surrogates, "discard", lambda *frames: (dropped.extend(f.stored_at for f in frames), drop(*frames)))
+    # few names for many entities: some draws clash
+    rows = [f"Mr. {a}{b} Miller wrote to user{i}@mail.example.com" for i, (a, b) in enumerate((a, b) for a in ("Ba", "Do", "Ki", "Lu", "Me") for b in ("ran", "lon", "nim", "mo", "tu"))]
+    made = [r["text"] for r in surrogates.pseudonymise(frame(spark, rows)).collect()]
+    assert len(set(made)) == len(rows) and "Miller" not in " ".join(made)
+    shown = str([table for _, table, _ in kept])
+    for secret in ("Miller", "Baran", "user", *(w for t in made for w in re.findall(r"\S+@\S+|(?<=Mr. )\S+", t))):
+        assert secret not in shown
+    assert {at for name, _, at in kept if name != "touched"} == set(dropped) and [name for name, _, _ in kept].count("draws") > 1
+
+
+def test_a_full_space_of_replacements_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "draw", lambda kind, norm, attempt, key: F.concat(F.lit("s"), F.pmod(F.xxhash64(norm, attempt), F.lit(2)).cast("string")))
+    monkeypatch.setattr(surrogates, "STUCK", 2)
+    with pytest.raises(ValueError, match="space of their type is full"):
+        surrogates.redraws(spark.createDataFrame([("email", f"e{i}") for i in range(3)], "kind string, norm string")).count()
+
+
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "draw", lambda kind, norm, attempt, key: F.concat(F.lit("s"), F.pmod(F.xxhash64(norm, attempt), F.lit(60)).cast("string")))
     entities = spark.createDataFrame([("email", f"e{i}") for i in range(25)], "kind string, norm string")
