@@ -3,12 +3,13 @@
 A text's features are the distinct hashed n-grams of 3 to 5 bytes of its lower-cased UTF-8 text between spaces, of
 which one-in-2^18 cells record the presence. Each feature is scaled by the log of the ratio of its smoothed rates in
 toxic and other training texts; a logistic regression with an L2 penalty is fitted on the scaled features by gradient
-steps. The fit uses a bounded sample of labelled rows (SAMPLE of each class, chosen by a hash of the id; texts of more
-than FIT_BYTES are left out of it); scoring reads every whole text, very long ones in pieces that overlap.
+steps. The fit uses a bounded sample of labelled rows (SAMPLE of each class, chosen by a hash of the id, and of a long
+text its first FIT_CHARS); scoring reads every whole text, very long ones in pieces that overlap.
 
 Null and empty texts are scored by the same features (none but the border's). Labels other than 0 and 1 are left out
 of the fit. Without both labels in the training rows every text scores the label's rate (0.5 without any). Repeated
-rows are scored alike; an id labelled twice trains once for each label row. Empty tables give an empty result; columns
+rows are scored alike; an id labelled twice trains once for each label row, one of several documents once for each,
+up to twice SAMPLE rows in all. A null id is neither trained on nor held out. Empty tables give an empty result; columns
 that aren't asked for may have any name.
 """
 
@@ -27,7 +28,8 @@ BITS = 18
 SIZES = (3, 4, 5)
 #: Labelled rows of each class that the fit may use.
 SAMPLE = 1500
-FIT_BYTES = 1_000_000
+#: Characters of a text that the fit may use, which bounds what the driver gets.
+FIT_CHARS = 200_000
 #: Texts are hashed in pieces of so many bytes, which overlap by the longest n-gram.
 PIECE = 4_000_000
 
@@ -93,9 +95,10 @@ def chosen_ids(labels: DataFrame, label: str, doc_id: str, most: int) -> DataFra
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[tuple[str, int]]:
     """At most so many labelled texts of each class, outside the held-out fold. Ids are chosen before texts are read."""
     chosen = chosen_ids(labels, label, doc_id, most)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    # at most twice `most` ids
-    met = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.left(whole(text), F.lit(FIT_CHARS)).alias("text"))
+    # at most twice `most` ids; the limit is for ids with several rows
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    met = joined.orderBy(F.xxhash64("doc_id", "text", "label"), "doc_id", "label", "text").limit(2 * most).collect()
     return [(r["text"], r["label"]) for r in sorted(met, key=lambda r: (r["doc_id"], r["label"], r["text"]))]
 
 
@@ -116,4 +119,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", (fit_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fit_fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

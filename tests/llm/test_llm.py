@@ -187,6 +187,17 @@ def test_shards(spark):
         assert sorted(rows.slot) == list(range(len(rows)))
 
 
+def test_toxicity_trains_on_a_piece_of_long_texts_and_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 40)
+    rows = [(i, "vile scum " * 9 if i % 2 else "kind words " * 9) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(1, f"vile copy {i}") for i in range(300)] + [(None, "scum")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    taken = toxicity.training_rows(docs, labels, most=100)
+    assert len(taken) == 200 and max(len(t) for t, _ in taken) == 40 and {y for _, y in taken} == {0, 1}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs.where("doc_id <> 1 OR text LIKE 'vile scum%'"), labels).collect()}
+    assert min(scores[i] for i in range(1, 60, 2)) > 0.5 > max(scores[i] for i in range(0, 60, 2))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(7)
     plain = made_up(400, 8)
