@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import floor_lot, to_unit_price
 from ..operators.windows import dedupe_by_priority
+from .lines import line_stream, not_blank, numbered, split_lines
 
 PRICES = ("open", "high", "low", "close")
 REQUIRED = ("event_id", "event_ts", "event_type")
@@ -47,21 +48,29 @@ def append_raw(df: DataFrame, path: str, key: str = "symbol") -> None:
 
 
 def parse_events(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good, dead): events of JSON lines with all required fields; other lines, cut to the sizes of the dead-letter
-    table, with the error and, if lines has it, their source_file. The same for tables and streams."""
-    origin = [c for c in ("source_file",) if c in lines.columns]
-    parsed = lines.withColumn("e", F.from_json(F.col(value), EVENT_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    """(good, dead): events of JSON lines with all required fields; other lines, whole, with the error and what else
+    lines has (file and line). Blank lines are neither. The same for tables and streams."""
+    origin = [c for c in lines.columns if c != value]
+    parsed = lines.where(not_blank(value)).withColumn("e", F.from_json(F.col(value), EVENT_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     lacking = F.array_compact(F.array(*[F.when(F.col(f"e.{c}").isNull(), F.lit(c)) for c in REQUIRED]))
     wrong = F.when(F.col("e").isNull() | F.col("e._bad").isNotNull() | ~F.ltrim(F.col(value)).startswith("{"), "not a JSON object").when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ", ")))
     judged = parsed.withColumn("error", wrong)
     good = judged.where(F.col("error").isNull()).select("e.*").drop("_bad").withColumn("event_ts", F.to_timestamp("event_ts"))
-    dead = judged.where(F.col("error").isNotNull()).select(F.left(F.col(value), F.lit(65535)).alias("raw_line"), F.left("error", F.lit(2048)).alias("error"), *origin)
+    dead = judged.where(F.col("error").isNotNull()).select(F.col(value).alias("raw_line"), "error", *origin)
     return good, dead
 
 
-def read_events(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
-    reader = spark.readStream if stream else spark.read
-    return parse_events(reader.format("text").load(path).select("value", F.col("_metadata.file_path").alias("source_file")))
+def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, dead) of JSON lines in files; dead letters with source_file and line. Good events aren't numbered."""
+    lines, starts = split_lines(spark, path)
+    good, dead = parse_events(lines)
+    return good, numbered(dead, starts)
+
+
+def stream_events(spark: SparkSession, path: str, marks: str) -> tuple[DataFrame, DataFrame]:
+    """read_events() as streams over growing files, which go on after the last finished line. A started query of each
+    needs its own folder of marks."""
+    return parse_events(line_stream(spark, path, f"{marks}/good"))[0], parse_events(line_stream(spark, path, f"{marks}/dead"))[1]
 
 
 #: Column names that holdings files use.

@@ -263,7 +263,7 @@ def test_event_lines_and_dead_letters(spark, tmp_path):
     good, dead = src.read_events(spark, str(tmp_path / "e"))
     assert {r["source_file"].rsplit("/", 1)[1] for r in dead.collect()} == {"a.jsonl"}
     assert good.count() == 1 and sorted(r["error"] for r in dead.collect()) == ["missing event_ts, event_type", "not a JSON object", "not a JSON object"]
-    query = src.read_events(spark, str(tmp_path / "e"), stream=True)[0].writeStream.format("memory").queryName("good_events").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = src.stream_events(spark, str(tmp_path / "e"), str(tmp_path / "m"))[0].writeStream.format("memory").queryName("good_events").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("good_events").count() == 1
 
