@@ -160,11 +160,19 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def current(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """The last whole version of a table; with a schema, an empty table where there is none yet."""
+    """The last whole version of a table. A folder that something else wrote, without versions, is the table as it
+    stood before its first one. Where there is neither, an empty table of the schema, or without one an error."""
     known = versions(spark, path)
-    if not known and schema is not None:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/version={known[-1]}") if known else spark.read.parquet(path)
+    if known:
+        return spark.read.parquet(f"{path}/version={known[-1]}")
+    files, place = _files(spark, path)
+    inside = [f.getPath() for f in files.listStatus(place)] if files.exists(place) else []
+    plain = [p.toString() for p in inside if not p.getName().startswith((".", "_", "version="))]
+    if plain:
+        return spark.read.option("basePath", path).parquet(*plain)
+    if schema is None:
+        raise ValueError(f"no table at {path}: it has neither a finished version nor other files")
+    return spark.createDataFrame([], schema)
 
 
 def _advanced(path: str, frame: DataFrame) -> None:
