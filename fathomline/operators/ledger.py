@@ -70,6 +70,15 @@ def fifo_match(costed: DataFrame, keys: tuple[str, ...] = ("account_id", "symbol
     return matched.unionByName(short)
 
 
+def filled(costed: DataFrame, matches: DataFrame, fee: float = FEE, tax: float = TAX) -> DataFrame:
+    """Orders as they took place: of a sale what fifo_match() found for it, possibly none; `asked` is the quantity
+    ordered, and costs and cash are those of what was sold."""
+    sold = matches.where("buy_id IS NOT NULL").groupBy(F.col("sell_id").alias("order_id")).agg(F.sum("qty").alias("__sold"))
+    met = costed.withColumnRenamed("quantity", "asked").join(sold, "order_id", "left")
+    took = F.when(F.col("action") == "BUY", F.col("asked")).otherwise(F.coalesce("__sold", F.lit(0)))
+    return apply_costs(met.withColumn("quantity", took).drop("__sold"), fee, tax)
+
+
 def open_lots(costed: DataFrame, matches: DataFrame) -> DataFrame:
     """Purchases with what is left of them."""
     used = matches.groupBy("buy_id").agg(F.sum("qty").alias("__used"))

@@ -203,11 +203,23 @@ BUCKETS = led_ctes() + f"""SELECT account_id, symbol, CAST(coalesce(sum(q) FILTE
 
 
 def equities(s: SparkSession, d: str) -> DataFrame:
-    cash = costed(s, d).groupBy("account_id").agg((F.lit(1e7) + F.sum("net_cash")).alias("cash"))
-    return rounded(led.equity(led.positions(lots(s, d)), cash, prices(s, d)), 2)
+    c = costed(s, d)
+    matches = led.fifo_match(c)
+    cash = led.filled(c, matches).groupBy("account_id").agg((F.lit(1e7) + F.sum("net_cash")).alias("cash"))
+    return rounded(led.equity(led.positions(led.open_lots(c, matches)), cash, prices(s, d)), 2)
+
+
+def cash(s: SparkSession, d: str) -> DataFrame:
+    c = costed(s, d)
+    return rounded(led.cash_balance(led.filled(c, led.fifo_match(c))).select("order_id", "account_id", "cash"), 4)
+
+
+#: Orders with the cash of what was bought or could be sold.
+_FILLED = """SELECT order_id, account_id, trade_date, CASE WHEN action = 'BUY' THEN net_cash ELSE price * q - price * q * 0.0015 - price * q * 0.001 END AS net_cash
+  FROM (SELECT co.*, coalesce(sold, 0) AS q FROM co LEFT JOIN (SELECT sell_id, sum(qty) AS sold FROM ma WHERE buy_id IS NOT NULL GROUP BY sell_id) ON order_id = sell_id)"""
 
 
-EQUITY = led_ctes(po=POSITIONS, pr=_PRICES) + f"SELECT account_id, {r('cash market_value unrealised_pnl equity', 2)} FROM (SELECT account_id, cash, market_value, unrealised_pnl, cash + coalesce(market_value, 0) AS equity FROM (SELECT account_id, 1e7 + sum(net_cash) AS cash FROM co GROUP BY account_id) LEFT JOIN (SELECT account_id, sum(quantity * price) AS market_value, sum(quantity * price - cost_basis) AS unrealised_pnl FROM po LEFT JOIN pr USING (symbol) GROUP BY account_id) USING (account_id))"
+EQUITY = led_ctes(po=POSITIONS, pr=_PRICES, fi=_FILLED) + f"SELECT account_id, {r('cash market_value unrealised_pnl equity', 2)} FROM (SELECT account_id, cash, market_value, unrealised_pnl, cash + coalesce(market_value, 0) AS equity FROM (SELECT account_id, 1e7 + sum(net_cash) AS cash FROM fi GROUP BY account_id) LEFT JOIN (SELECT account_id, sum(quantity * price) AS market_value, sum(quantity * price - cost_basis) AS unrealised_pnl FROM po LEFT JOIN pr USING (symbol) GROUP BY account_id) USING (account_id))"
 ANALYSIS = led_ctes(po=POSITIONS, pr=_PRICES) + f"SELECT account_id, n_positions, winners, losers, {r('cost_basis market_value gross_pnl net_pnl', 2)}, round((net_pnl + cost_basis) / nullif(cost_basis, 0) - 1 + 3e-6, 2) + 0.0 AS net_return FROM (SELECT account_id, count(*) AS n_positions, sum(cost_basis) AS cost_basis, sum(v) AS market_value, sum(v - cost_basis) AS gross_pnl, sum(v * (1 - 0.0015 - 0.001) - cost_basis) AS net_pnl, count(*) FILTER (WHERE v - cost_basis > 1e-9) AS winners, count(*) FILTER (WHERE v - cost_basis < -1e-9) AS losers FROM (SELECT *, quantity * price AS v FROM po LEFT JOIN pr USING (symbol)) GROUP BY account_id)"
 
 
@@ -319,7 +331,7 @@ QUERIES |= {name: QUERIES[name.removesuffix("_all")] for name in WHOLE} | {
     "top_lists": lambda s, d: sc.top_lists(overlay(s, d)).select("trading_date", "symbol", "list", "nth", "list_rank"), "feature_table": table_of_features, "daily_plan": lambda s, d: sc.daily_plan(plan_inputs(s, d)),
     "indicator_verdicts": lambda s, d: rounded(sc.indicator_verdicts(context(s, d)).select("symbol", "trading_date", "label", "verdict")),
     "chart_macd": ema_chart, "chart_windows": chart_windows, "chart_wilder": wilder, "chart_supertrend": lambda s, d: rounded(chart.supertrend(fx.bars(s, d)).select("symbol", "trading_date", "supertrend")), "chart_suite": lambda s, d: rounded(chart.indicator_suite(fx.bars(s, d))), "session_vwap": vwap,
-    "order_costs": lambda s, d: rounded(led.order_costs(costed(s, d)), 4), "cash_balance": lambda s, d: rounded(led.cash_balance(costed(s, d)).select("order_id", "account_id", "cash"), 4), "fifo_match": lambda s, d: rounded(led.fifo_match(costed(s, d)), 4), "positions": lambda s, d: rounded(led.positions(lots(s, d)), 4),
+    "order_costs": lambda s, d: rounded(led.order_costs(costed(s, d)), 4), "cash_balance": cash, "fifo_match": lambda s, d: rounded(led.fifo_match(costed(s, d)), 4), "positions": lambda s, d: rounded(led.positions(lots(s, d)), 4),
     "settlement_buckets": buckets, "equity": equities, "portfolio_analysis": lambda s, d: rounded(led.portfolio_analysis(led.positions(lots(s, d)), prices(s, d)), 2),
     "document_types": lambda s, d: typed(s, d).select("doc_id", "source_path", "source_type", "title", "content_hash"), "chunk_documents": chunks, "retrieval_scores": retrieval, "retrieval_scores_all": lambda s, d: chunk_scores(s, d).withColumnRenamed("doc_id", "chunk_id"), "select_chunks": selected, "knowledge_inventory": inventory,
 }
@@ -344,7 +356,7 @@ ORACLES = {
     "position_action": ctes(*_SRC, **SCS) + "SELECT symbol, trading_date, CASE WHEN recommendation IN ('avoid_or_reduce', 'blocked_data_quality') OR score <= 0.30 THEN 'SELL' WHEN trend_state = 'downtrend' AND (return_20d < -0.03 OR return_5d < -0.02) THEN 'SELL' WHEN risk_level = 'high' AND (trend_state <> 'uptrend' OR return_5d < 0) THEN 'TRIM' WHEN recommendation = 'candidate_long' OR score >= 0.45 THEN 'HOLD' ELSE 'WATCH' END AS action, CASE WHEN return_5d > 0.005 THEN 'positive' WHEN return_5d < -0.005 THEN 'negative' ELSE 'neutral' END AS bucket FROM sc",
     "chart_macd": EMA_CHART, "chart_windows": ctes("bars") + f"SELECT symbol, trading_date, {r(CHART_COLS)} FROM ({_CW})", "session_vwap": VWAP,
     "order_costs": ctes("ledger", co=COSTED) + f"SELECT account_id, rejected, n_orders, {r('transaction_cost', 4)} FROM (SELECT account_id, sum(fees + taxes) AS transaction_cost, count(*) FILTER (WHERE quantity <= 0) AS rejected, count(*) AS n_orders FROM co GROUP BY account_id)",
-    "cash_balance": ctes("ledger", co=COSTED) + f"SELECT order_id, account_id, {r('cash', 4)} FROM (SELECT order_id, account_id, sum(net_cash) OVER (PARTITION BY account_id ORDER BY trade_date, order_id ROWS UNBOUNDED PRECEDING) AS cash FROM co)",
+    "cash_balance": led_ctes(fi=_FILLED) + f"SELECT order_id, account_id, {r('cash', 4)} FROM (SELECT order_id, account_id, sum(net_cash) OVER (PARTITION BY account_id ORDER BY trade_date, order_id ROWS UNBOUNDED PRECEDING) AS cash FROM fi)",
     "fifo_match": led_ctes() + f"SELECT account_id, symbol, buy_id, sell_id, qty, {r('pnl', 4)} FROM ma", "positions": led_ctes() + f"SELECT account_id, symbol, quantity, first_buy, last_buy, {r('cost_basis avg_cost', 4)} FROM ({POSITIONS})", "equity": EQUITY, "portfolio_analysis": ANALYSIS,
     "document_types": f"WITH dd AS ({_DOCS}) SELECT doc_id, source_path, {_TYPE} AS source_type, CASE WHEN coalesce(h, '') = '' THEN CAST(doc_id AS VARCHAR) || '.md' ELSE h END AS title, sha256(content) AS content_hash FROM (SELECT *, trim(regexp_replace(list_filter(list_transform(str_split(content, chr(10))[1:30], lambda l: trim(l)), lambda l: starts_with(l, '#') OR (starts_with(l, '\"\"\"') AND length(l) > 6))[1], '^#+|^\"+|\"+$', '', 'g')) AS h FROM dd)",
     "retrieval_scores": RETRIEVAL, "compact_signals": COMPACT, "proposed_weights": PROPOSED, "top_lists": TOP_LISTS, "indicator_verdicts": VERDICTS, "top_k_backtest": BACKTEST, "settlement_buckets": BUCKETS, "chart_wilder": WILDER, "chart_supertrend": SUPERTREND,

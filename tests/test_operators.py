@@ -6,6 +6,7 @@ import itertools
 import random
 from datetime import date, datetime, timedelta
 from functools import cache
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -97,6 +98,29 @@ def test_replace_slices_is_idempotent_and_deletes(spark):
     assert sorted(once.collect()) == sorted(merge.replace_slices(once, batch, "symbol", "bar_time").collect())
 
 
+def test_a_table_without_versions_is_the_first_and_unfinished_ones_are_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "k string, v int")
+    flat, split, odd = (str(tmp_path / n) for n in ("flat", "split", "odd"))
+    rows.write.parquet(flat)
+    rows.write.partitionBy("k").parquet(split)
+    for at in (flat, split):
+        rows.limit(1).write.parquet(f"{at}/version=0")
+        (Path(at) / "version=0" / "_SUCCESS").unlink()
+        for schema in (None, rows.schema):
+            assert sorted((r["k"], r["v"]) for r in ev.current(spark, at, schema).collect()) == [("A", 1), ("A", 2), ("B", 3)]
+    rows.write.parquet(f"{odd}/version=0")
+    (Path(odd) / "version=0" / "_SUCCESS").unlink()
+    assert ev.current(spark, odd, rows.schema).count() == 0 and ev.current(spark, str(tmp_path / "none"), rows.schema).count() == 0
+    with pytest.raises(ValueError, match="no table"):
+        ev.current(spark, odd)
+    # an upsert keeps what was there
+    new = spark.createDataFrame([("B", 30), ("C", 4)], "k string, v int")
+    new.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(new.schema).parquet(str(tmp_path / "in"))
+    ev.upsert_stream(stream, flat, ["k"], lambda: [F.desc("v")], str(tmp_path / "c")).awaitTermination(60)
+    assert sorted((r["k"], r["v"]) for r in ev.current(spark, flat).collect()) == [("A", 1), ("A", 2), ("B", 30), ("C", 4)]
+
+
 LEDGER = "order_id long, account_id long, symbol string, action string, quantity long, price double, trade_date date"
 
 
@@ -136,6 +160,20 @@ def test_sales_before_purchase_or_settlement_find_nothing(spark):
     assert [(r["buy_id"], r["qty"]) for r in early.collect()] == [(None, 250)]
 
 
+def test_cash_comes_from_what_was_sold_only(spark):
+    rows = [(1, 1, "S", "SELL", 100, 10.0, date(2024, 1, 1)), (2, 1, "S", "BUY", 300, 5.0, date(2024, 2, 1)), (3, 1, "S", "SELL", 200, 8.0, date(2024, 2, 6)), (4, 1, "S", "SELL", 400, 9.0, date(2024, 2, 7)), (5, 2, "S", "SELL", 100, 10.0, date(2024, 1, 1))]
+    costed = ledger.apply_costs(spark.createDataFrame(rows, LEDGER))
+    done = ledger.filled(costed, ledger.fifo_match(costed))
+    assert {r["order_id"]: (r["asked"], r["quantity"]) for r in done.collect()} == {1: (100, 0), 2: (300, 300), 3: (200, 200), 4: (400, 100), 5: (100, 0)}
+    cash = {r["order_id"]: r["cash"] for r in ledger.cash_balance(done).collect()}
+    want = {1: 0.0, 2: -1500 * 1.0015, 3: -1500 * 1.0015 + 1600 * 0.9975, 4: -1500 * 1.0015 + 2500 * 0.9975, 5: 0.0}
+    assert cash == pytest.approx(want)
+    # realised profits are the cash of what was bought and sold again
+    assert sum(r["pnl"] or 0 for r in ledger.fifo_match(costed).collect()) == pytest.approx(want[4])
+    none = costed.limit(0)
+    assert ledger.filled(none, ledger.fifo_match(none)).count() == 0
+
+
 def test_settlement_buckets_turn_at_one_o_clock(spark):
     lots = spark.createDataFrame([(1, "S", date(2024, 2, 1), 10), (1, "S", date(2024, 2, 2), 20), (1, "S", date(2024, 2, 5), 40), (1, "S", date(2024, 1, 31), 0)], "account_id long, symbol string, trade_date date, remaining_quantity long")
     at = lambda t: ledger.settlement_buckets(lots, F.lit(t).cast("timestamp_ntz")).select("sellable", "t0", "t1", "t2").first()
