@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, features, operations, relational, selection
+from . import decisions, features, files, operations, relational, selection
 
-MODULES = [features, relational, selection, operations, decisions]
+MODULES = [features, relational, selection, operations, decisions, files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
