@@ -9,16 +9,17 @@ from functools import reduce
 from itertools import pairwise
 from operator import and_
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions.exprs import content_hash, label, sha1_id
 from .joins import term_overlap
 
-#: Words that never count as terms, and source types that lift a score.
+#: Words that never count as terms, and what a path and source types lift a score by.
 STOPWORDS = "the and for with from this that are was were can will should cua cho voi nhung trong hien tai duoc khong".split()
+PATH_BOOST = 1.5
 TYPE_BOOST = {"architecture": 1.0, "project_doc": 1.0, "warehouse_schema": 1.0, "dbt": 1.0, "llm_plan": 1.5, "llm_skill": 1.5, "llm_reference": 1.5}
 
 
@@ -59,23 +60,27 @@ def windows_of(text: str, most: int, overlap: int) -> Iterator[tuple[int, int]]:
         begin = max(begin + 1, end - overlap)
 
 
-def chunks_of(text: str, most: int, overlap: int) -> list[str]:
-    """The trimmed windows of a text with Unix line ends; a text of at most so many characters is one."""
+def chunks_of(text: str, most: int, overlap: int) -> Iterator[str]:
+    """The trimmed windows of a text with Unix line ends, one by one; a text of at most so many characters is one."""
     text = text.replace("\r\n", "\n").strip()
     cuts = windows_of(text, most, overlap) if len(text) > most else [(0, len(text))]
-    return [piece for begin, end in cuts if (piece := text[begin:end].strip())]
+    return (piece for begin, end in cuts if (piece := text[begin:end].strip()))
 
 
-def chunk_documents(docs: DataFrame, max_chars: int = 2400, overlap: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chunk_index, content, char_count). Each text is cut by itself."""
+@udtf(returnType="chunk_index int, content string")
+class _Chunks:
+    """A row for each chunk of a text, handed on as it is cut."""
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: chunks_of(t or "", max_chars, overlap))
+    def eval(self, text: str, most: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(chunks_of(text or "", most, overlap))
 
-    made = docs.select(doc_id, F.posexplode(cut(F.col(text))).alias("chunk_index", "content"))
-    return made.withColumn("char_count", F.length("content"))
+
+def chunk_documents(docs: DataFrame, max_chars: int = 2400, overlap: int = 240, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, chunk_index, content, char_count). Each text is cut by itself, by a table function joined laterally,
+    so that the chunks of a long text never are one array. Null and blank texts have no chunks; of repeated rows each
+    gives its own."""
+    cut = _Chunks(F.col("__text").outer(), F.lit(max_chars), F.lit(overlap))
+    return docs.select(doc_id, F.col(text).alias("__text")).lateralJoin(cut).select(doc_id, "chunk_index", "content", F.length("content").alias("char_count"))
 
 
 def chunk_ids(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -88,13 +93,23 @@ def terms(col: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.array_except(found, F.array(*map(F.lit, stopwords)))
 
 
+def index_terms() -> Column:
+    """What a chunk can be found by: terms of its path, type and content."""
+    return terms(F.concat_ws(" ", "source_path", "source_type", "content"))
+
+
+def path_boost() -> Column:
+    """For a query's terms beside a chunk's path: what a term inside the path adds."""
+    return F.when(F.exists("terms", lambda t: F.lower("source_path").contains(t)), PATH_BOOST).otherwise(0.0)
+
+
 def retrieval_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, doc_id, overlap, score) of pairs that share a term. queries: (query_id, text); chunks: (doc_id,
     source_path, source_type, content). Whole contents count."""
     q = queries.select("query_id", terms(F.col("text")).alias("terms"))
-    d = chunks.select("doc_id", terms(F.concat_ws(" ", "source_path", "source_type", "content")).alias("terms"))
+    d = chunks.select("doc_id", index_terms().alias("terms"))
     met = term_overlap(q, d).join(chunks.select("doc_id", "source_path", "source_type"), "doc_id").join(q, "query_id")
-    boost = F.when(F.exists("terms", lambda t: F.lower("source_path").contains(t)), 1.5).otherwise(0.0) + label([(F.col("source_type") == k, v) for k, v in TYPE_BOOST.items()], 0.0)
+    boost = path_boost() + label([(F.col("source_type") == k, v) for k, v in TYPE_BOOST.items()], 0.0)
     return met.select("query_id", "doc_id", "overlap", (F.col("overlap") * 2.0 + boost).alias("score"))
 
 

@@ -12,6 +12,7 @@ from ..operators import indicators_chart as chart
 from ..operators import ledger as led
 from ..operators import scoring as sc
 from ..operators import text as tx
+from ..operators.retrieval import build_index, top_documents
 from ..session import table
 from . import features as ft
 from . import fixtures as fx
@@ -252,6 +253,18 @@ def retrieval(s: SparkSession, d: str) -> DataFrame:
 RETRIEVAL = f"WITH dd AS ({_DOCS}), q AS (SELECT item_id AS query_id, {_terms('text')} AS terms FROM benchmark), t AS (SELECT doc_id, lower(source_path) AS path, unnest({_terms(f'''source_path || ' ' || {_TYPE} || ' ' || content''')}) AS term, CASE WHEN doc_id % 4 = 3 THEN 1.0 ELSE 0.0 END AS boost FROM dd), u AS (SELECT query_id, unnest(terms) AS term FROM q), o AS (SELECT query_id, doc_id, path, boost, count(*) AS overlap FROM t JOIN u USING (term) GROUP BY ALL) SELECT query_id, doc_id, overlap, round(overlap * 2.0 + boost + CASE WHEN list_bool_or(list_transform(terms, lambda w: contains(path, w))) THEN 1.5 ELSE 0.0 END + 3e-10, 6) + 0.0 AS score FROM o JOIN q USING (query_id)"
 
 
+def retrieval_top(s: SparkSession, d: str) -> DataFrame:
+    """The eight best documents of each benchmark text, through the index."""
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(top_documents(q, build_index(typed(s, d))))
+
+
+RETRIEVAL_TOP = f"""
+SELECT query_id, rank, doc_id, overlap, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({RETRIEVAL}))
+WHERE rank <= 8"""
+
+
 def chunks(s: SparkSession, d: str) -> DataFrame:
     made = tx.chunk_ids(tx.chunk_documents(table(s, d, "documents")))
     return made.select("doc_id", "chunk_index", "char_count", "chunk_id", "content_hash")
@@ -333,7 +346,7 @@ QUERIES |= {name: QUERIES[name.removesuffix("_all")] for name in WHOLE} | {
     "chart_macd": ema_chart, "chart_windows": chart_windows, "chart_wilder": wilder, "chart_supertrend": lambda s, d: rounded(chart.supertrend(fx.bars(s, d)).select("symbol", "trading_date", "supertrend")), "chart_suite": lambda s, d: rounded(chart.indicator_suite(fx.bars(s, d))), "session_vwap": vwap,
     "order_costs": lambda s, d: rounded(led.order_costs(costed(s, d)), 4), "cash_balance": cash, "fifo_match": lambda s, d: rounded(led.fifo_match(costed(s, d)), 4), "positions": lambda s, d: rounded(led.positions(lots(s, d)), 4),
     "settlement_buckets": buckets, "equity": equities, "portfolio_analysis": lambda s, d: rounded(led.portfolio_analysis(led.positions(lots(s, d)), prices(s, d)), 2),
-    "document_types": lambda s, d: typed(s, d).select("doc_id", "source_path", "source_type", "title", "content_hash"), "chunk_documents": chunks, "retrieval_scores": retrieval, "retrieval_scores_all": lambda s, d: chunk_scores(s, d).withColumnRenamed("doc_id", "chunk_id"), "select_chunks": selected, "knowledge_inventory": inventory,
+    "document_types": lambda s, d: typed(s, d).select("doc_id", "source_path", "source_type", "title", "content_hash"), "chunk_documents": chunks, "retrieval_scores": retrieval, "retrieval_top": retrieval_top, "retrieval_scores_all": lambda s, d: chunk_scores(s, d).withColumnRenamed("doc_id", "chunk_id"), "select_chunks": selected, "knowledge_inventory": inventory,
 }
 PROPOSED = ctes(*_SRC, **CXS, p=POOL(5)) + """SELECT symbol, trading_date, round(round(w + 0.0, 6) + 3e-10, 6) + 0.0 AS weight FROM (SELECT symbol, trading_date, c / nullif(sum(c) OVER d, 0) * least(0.95, sum(c) OVER d) AS w FROM (
     SELECT symbol, trading_date, least(0.35, 0.95 * s / nullif(sum(s) OVER (PARTITION BY trading_date), 0)) AS c FROM (SELECT symbol, trading_date, greatest(coalesce(ta_composite_score, 0.01), 0.01) / greatest(coalesce(volatility_20d, 0.02), 0.01) AS s FROM p))
@@ -359,6 +372,6 @@ ORACLES = {
     "cash_balance": led_ctes(fi=_FILLED) + f"SELECT order_id, account_id, {r('cash', 4)} FROM (SELECT order_id, account_id, sum(net_cash) OVER (PARTITION BY account_id ORDER BY trade_date, order_id ROWS UNBOUNDED PRECEDING) AS cash FROM fi)",
     "fifo_match": led_ctes() + f"SELECT account_id, symbol, buy_id, sell_id, qty, {r('pnl', 4)} FROM ma", "positions": led_ctes() + f"SELECT account_id, symbol, quantity, first_buy, last_buy, {r('cost_basis avg_cost', 4)} FROM ({POSITIONS})", "equity": EQUITY, "portfolio_analysis": ANALYSIS,
     "document_types": f"WITH dd AS ({_DOCS}) SELECT doc_id, source_path, {_TYPE} AS source_type, CASE WHEN coalesce(h, '') = '' THEN CAST(doc_id AS VARCHAR) || '.md' ELSE h END AS title, sha256(content) AS content_hash FROM (SELECT *, trim(regexp_replace(list_filter(list_transform(str_split(content, chr(10))[1:30], lambda l: trim(l)), lambda l: starts_with(l, '#') OR (starts_with(l, '\"\"\"') AND length(l) > 6))[1], '^#+|^\"+|\"+$', '', 'g')) AS h FROM dd)",
-    "retrieval_scores": RETRIEVAL, "compact_signals": COMPACT, "proposed_weights": PROPOSED, "top_lists": TOP_LISTS, "indicator_verdicts": VERDICTS, "top_k_backtest": BACKTEST, "settlement_buckets": BUCKETS, "chart_wilder": WILDER, "chart_supertrend": SUPERTREND,
+    "retrieval_scores": RETRIEVAL, "retrieval_top": RETRIEVAL_TOP, "compact_signals": COMPACT, "proposed_weights": PROPOSED, "top_lists": TOP_LISTS, "indicator_verdicts": VERDICTS, "top_k_backtest": BACKTEST, "settlement_buckets": BUCKETS, "chart_wilder": WILDER, "chart_supertrend": SUPERTREND,
 }
 ORACLES |= {name: ORACLES[name.removesuffix("_all")] for name in WHOLE}
