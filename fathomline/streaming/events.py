@@ -13,6 +13,9 @@ from ..functions.exprs import label
 from ..operators.blocks import Parts, framed
 from ..operators.merge import replace_slices, upsert
 
+#: The folders of a stream's table, and the start of the empty file that names their number once all are in place.
+BUCKET, MARK = "key_bucket", "_buckets-"
+
 #: Event types and the key of the table that each one feeds.
 PROJECTIONS = {"pipeline_run": "run_id", "source_request": "symbol", "checkpoint_updated": "symbol", "scheduler_heartbeat": "component", "alert_state_change": "symbol"}
 
@@ -159,52 +162,98 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.getName().split("=")[1]) for n in names if files.exists(_files(spark, f"{n.toString()}/_SUCCESS")[1]))
 
 
-def current(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """The last whole version of a table. A folder that something else wrote, without versions, is the table as it
-    stood before its first one. Where there is neither, an empty table of the schema, or without one an error."""
-    known = versions(spark, path)
-    if known:
-        return spark.read.parquet(f"{path}/version={known[-1]}")
+def _inside(spark: SparkSession, path: str) -> list[str]:
     files, place = _files(spark, path)
-    inside = [f.getPath() for f in files.listStatus(place)] if files.exists(place) else []
-    plain = [p.toString() for p in inside if not p.getName().startswith((".", "_", "version="))]
-    if plain:
-        return spark.read.option("basePath", path).parquet(*plain)
-    if schema is None:
-        raise ValueError(f"no table at {path}: it has neither a finished version nor other files")
-    return spark.createDataFrame([], schema)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
 
 
-def _advanced(path: str, frame: DataFrame) -> None:
-    """Writes frame as the next version beside the last, which readers keep until the new one is whole. Versions
-    before the last go. A crash leaves an unfinished folder, which the next run overwrites."""
-    spark = frame.sparkSession
-    known = versions(spark, path)
-    frame.write.mode("overwrite").parquet(f"{path}/version={known[-1] + 1 if known else 0}")
-    for old in known[:-1]:
-        files, place = _files(spark, f"{path}/version={old}")
+def _drop(spark: SparkSession, path: str, names: list[str]) -> None:
+    for name in names:
+        files, place = _files(spark, f"{path}/{name}")
         files.delete(place, True)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: Callable[[], list[Column]], checkpoint: str) -> StreamingQuery:
-    """Keeps a table of the last row of each key; every batch can be run again."""
+def _n_buckets(names: list[str]) -> int | None:
+    """The number of buckets that a table's mark names; none for a table that isn't cut into buckets yet."""
+    marks = [int(name.removeprefix(MARK)) for name in names if name.startswith(MARK)]
+    return marks[0] if marks else None
 
-    def put(batch: DataFrame, _: int) -> None:
-        base = current(batch.sparkSession, path, batch.schema)
-        _advanced(path, upsert(base, batch.unionByName(base.join(batch.select(*keys).distinct(), keys, "left_semi")), keys, order()))
+
+def current(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The rows of a stream's table: of its buckets once it is cut into them, else of its last whole version, else of
+    the plain files that something else wrote. Where there is nothing, an empty table of the schema, or without one an
+    error."""
+    names = _inside(spark, path)
+    if _n_buckets(names) is not None:
+        found = [f"{path}/{name}" for name in names if name.startswith(f"{BUCKET}=")]
+    elif known := versions(spark, path):
+        return spark.read.parquet(f"{path}/version={known[-1]}")
+    else:
+        found = [f"{path}/{name}" for name in names if not name.startswith((".", "_", "version=", f"{BUCKET}="))]
+    if found:
+        return spark.read.option("basePath", path).parquet(*found).drop(BUCKET)
+    if schema is None:
+        raise ValueError(f"no table at {path}: it has no buckets, finished version or other files")
+    return spark.createDataFrame([], schema)
+
+
+def _replace_touched(batch: DataFrame, batch_id: int, path: str, checkpoint: str, keys: list[str], merged: Callable[[DataFrame, DataFrame], DataFrame], buckets: int) -> None:
+    """Merges a batch into the buckets that its keys fall into; other buckets' files are neither read nor written.
+
+    The merged buckets are written beside the query's checkpoint first, then put in place by a dynamic partition
+    overwrite. A failure before leaves the table as it was. One while they are put in place can leave buckets away
+    until the same batch runs again, which takes what is beside the checkpoint, whatever the table holds by then; so a
+    batch can be run any number of times. A table in another form is cut into buckets by its first batch, and read in
+    the old form until all of them are in place.
+    """
+    spark = batch.sparkSession
+    names = _inside(spark, path)
+    known = _n_buckets(names)
+    n = known or buckets
+    bucket = F.pmod(F.hash(*keys), F.lit(n))
+    ready = f"{checkpoint}/merged/batch-{batch_id}"
+    if "_SUCCESS" not in _inside(spark, ready):
+        base = current(spark, path, batch.schema)
+        if known is not None:
+            touched = [row[0] for row in batch.select(bucket).distinct().collect()]  # at most one number a bucket
+            there = [f"{path}/{BUCKET}={k}" for k in touched if f"{BUCKET}={k}" in names]
+            base = spark.read.schema(base.schema).parquet(*there) if there else spark.createDataFrame([], base.schema)
+        merged(base, batch).withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.mode("overwrite").parquet(ready)
+    if known is None:
+        _drop(spark, path, [name for name in names if name.startswith(f"{BUCKET}=")])  # of a first batch that was stopped
+    spark.read.parquet(ready).hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    if known is None:
+        files, mark = _files(spark, f"{path}/{MARK}{n}")
+        files.create(mark, True).close()
+    _drop(spark, path, [name for name in _inside(spark, path) if not name.startswith((".", "_", f"{BUCKET}="))])  # the old form
+    _drop(spark, f"{checkpoint}/merged", [name for name in _inside(spark, f"{checkpoint}/merged") if name != f"batch-{batch_id}"])
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: Callable[[], list[Column]], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps a table of the last row of each key, in buckets of keys; a batch rewrites the buckets of its keys. buckets
+    counts for a new table only. The table has no column named key_bucket, and one writer at a time."""
+
+    def merged(base: DataFrame, batch: DataFrame) -> DataFrame:
+        return upsert(base, batch.unionByName(base.join(batch.select(*keys).distinct(), keys, "left_semi")), keys, order())
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        _replace_touched(batch, batch_id, path, checkpoint, keys, merged, buckets)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def delta_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "symbol", time: str = "bar_time") -> StreamingQuery:
+def delta_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "symbol", time: str = "bar_time", buckets: int = 64) -> StreamingQuery:
     """Each batch replaces its keys' slices of the delta table: rows that are read again overwrite. Of several rows of
-    a key and time in a batch the greatest is kept. The table holds the sessions since the last compaction, which is
-    what a batch rewrites."""
+    a key and time in a batch the greatest is kept. The table holds the sessions since the last compaction, in buckets
+    of keys, of which a batch rewrites its keys'. buckets counts for a new table only. The table has no column named
+    key_bucket, and one writer at a time."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        base = current(batch.sparkSession, path, batch.schema)
+    def merged(base: DataFrame, batch: DataFrame) -> DataFrame:
         rest = [c for c in batch.columns if c not in (key, time)]
         one = batch.groupBy(key, time).agg(F.max(F.struct(*rest)).alias("r")).select(key, time, "r.*")
-        _advanced(path, replace_slices(base, one, key, time))
+        return replace_slices(base, one, key, time)
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        _replace_touched(batch, batch_id, path, checkpoint, [key], merged, buckets)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

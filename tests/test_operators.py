@@ -306,6 +306,60 @@ def test_event_lines_and_dead_letters(spark, tmp_path):
     assert spark.table("good_events").count() == 1
 
 
+def test_a_batch_rewrites_its_keys_buckets_only(spark, tmp_path):
+    at, memory = str(tmp_path / "t"), str(tmp_path / "c")
+
+    def put(batch_id, rows, checkpoint=memory):
+        batch = spark.createDataFrame(rows, "k string, v int")
+        ev._replace_touched(batch, batch_id, at, checkpoint, ["k"], lambda base, new: merge.upsert(base, new, ["k"], [F.desc("v")]), 16)
+
+    def files():
+        return {p.relative_to(at).as_posix(): p.stat().st_mtime_ns for p in Path(at).rglob("part-*.parquet")}
+
+    def rows():
+        return sorted((r["k"], r["v"]) for r in ev.current(spark, at).collect())
+
+    first = [(f"k{i}", i) for i in range(200)]
+    put(0, first)
+    before = files()
+    assert rows() == sorted(first) and len({f.split("/")[0] for f in before}) == 16
+    put(1, [("k7", 700), ("new", 1)])
+    touched = {f.split("/")[0] for f in set(before) ^ set(files())}
+    assert len(touched) <= 2 and all(files()[f] == t for f, t in before.items() if f.split("/")[0] not in touched)
+    want = sorted([(k, 700 if k == "k7" else v) for k, v in first] + [("new", 1)])
+    assert rows() == want
+    # the same batch again, also when it was stopped between the buckets: old files gone, new ones not there yet
+    put(1, [("k7", 700), ("new", 1)])
+    assert rows() == want
+    for part in (Path(at) / min(touched)).iterdir():
+        part.unlink()
+    (Path(at) / min(touched)).rmdir()
+    assert len(rows()) < len(want)
+    put(1, [("k7", 700), ("new", 1)])
+    assert rows() == want
+    # another query's first batch isn't mistaken for one that was merged before; the number of buckets stays
+    put(0, [("k8", 800)], str(tmp_path / "other"))
+    assert dict(rows())["k8"] == 800 and len(rows()) == 201
+    assert [p.name for p in Path(at).glob("_buckets-*")] == ["_buckets-16"]
+
+
+def test_an_old_table_is_read_until_all_its_buckets_are_in_place(spark, tmp_path):
+    at = tmp_path / "t"
+    old = spark.createDataFrame([(f"k{i}", i) for i in range(20)], "k string, v int")
+    for place in (at, at / "version=3"):
+        old.write.mode("append").parquet(str(place))
+    (at / "key_bucket=9").mkdir()
+    (at / "key_bucket=9" / "part-0.parquet").write_bytes(b"of a first batch that was stopped")
+    assert ev.current(spark, str(at)).count() == 20
+    new = spark.createDataFrame([("k3", 30), ("x", 1)], old.schema)
+    new.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(old.schema).parquet(str(tmp_path / "in"))
+    ev.upsert_stream(stream, str(at), ["k"], lambda: [F.desc("v")], str(tmp_path / "c"), 4).awaitTermination(60)
+    found = {r["k"]: r["v"] for r in ev.current(spark, str(at)).collect()}
+    assert found == {**{f"k{i}": i for i in range(20)}, "k3": 30, "x": 1}
+    assert not list(at.glob("version=*")) and not list(at.glob("part-*"))
+
+
 def test_streams_equal_batches(spark, tmp_path):
     t0 = datetime(2024, 1, 1, 9)
     rows = [(i, f"s{i % 2}", t0 + timedelta(minutes=i), float(i)) for i in range(120)]
