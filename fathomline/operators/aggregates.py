@@ -50,14 +50,45 @@ def success_rate(runs: DataFrame, by: str) -> DataFrame:
     return runs.groupBy(by).agg(F.count("*").alias("n_runs"), (F.avg(F.when(F.col("status") == "ok", 1.0).otherwise(0.0)) * 100).alias("success_rate"))
 
 
-def covariance_pairs(returns: DataFrame, lookback: int = 252, min_obs: int = 20, per_year: int = 252, key: str = "symbol", order: str = "trading_date", default: float = 0.04) -> DataFrame:
-    """(i, j, cov, n) of the last returns, i <= j; pairs of few common dates are 0, non-positive variances the median
-    of the positive ones. The self-join is on the date: a symbol list bounds its pairs a date."""
+def _common_moments(x: Column, y: Column) -> Column:
+    """(n, x, y, xy): count and sums over the places where neither of two arrays is null."""
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(c) for c in ("x", "y", "xy")])
+
+    def add(so_far: Column, at: Column) -> Column:
+        a, b = at["a"], at["b"]
+        more = F.struct((so_far["n"] + 1).alias("n"), (so_far["x"] + a).alias("x"), (so_far["y"] + b).alias("y"), (so_far["xy"] + a * b).alias("xy"))
+        return F.when(a.isNotNull() & b.isNotNull(), more).otherwise(so_far)
+
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), none, add)
+
+
+def covariance_pairs(returns: DataFrame, lookback: int = 252, min_obs: int = 20, per_year: int = 252, key: str = "symbol", order: str = "trading_date", default: float = 0.04, dates: int = 64, keys: int = 128) -> DataFrame:
+    """(i, j, cov, n), i <= j: covariances of the last returns by key over common dates, by the year; 0 where fewer are
+    common than min_obs. A variance that isn't positive becomes the median of the positive ones. Pairs without a common
+    date give no row; null keys and dates take no part; a key has one row a date.
+
+    A key's returns of so many dates are one array, less the key's last one, which changes no covariance
+    and makes those of constant returns exactly 0. Arrays meet in
+    cells of a block of dates and two blocks of keys; two arrays give one row of count and sums, however many dates
+    they share, and these rows add up. Each array is sent once for each block of keys.
+    """
     last = Window.partitionBy(key).orderBy(F.desc(order))
-    kept = returns.where(F.col("log_return_1d").isNotNull()).withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= lookback).select(F.col(key), F.col(order), F.col("log_return_1d").alias("x"))
-    other = kept.select(F.col(key).alias("j"), F.col(order), F.col("x").alias("y"))
-    pairs = kept.withColumnRenamed(key, "i").join(other, order).where("i <= j").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
-    pairs = pairs.withColumn("cov", F.when(F.col("n") >= min_obs, F.coalesce("cov", F.lit(0.0)) * per_year).otherwise(0.0))
+    own = F.col("log_return_1d") - F.first("log_return_1d").over(last)
+    kept = returns.where(F.col("log_return_1d").isNotNull()).withColumns({"nth": F.row_number().over(last), "v": own}).where(F.col("nth") <= lookback)
+    kept = kept.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("i"), order, "v")
+    numbered = kept.select(order).distinct().withColumn("at", F.row_number().over(Window.orderBy(order)) - 1)  # a row a date
+    placed = kept.join(numbered, order).select("i", F.floor(F.col("at") / dates).alias("stretch"), (F.col("at") % dates).alias("p"), "v")
+    listed = placed.groupBy("i", "stretch").agg(F.collect_list(F.struct("p", "v")).alias("own"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dates - 1)), lambda p: F.get(F.filter("own", lambda r: r["p"] == p), F.lit(0))["v"])
+    n_blocks = max(1, math.ceil(kept.agg(F.count_distinct("i")).first()[0] / keys))
+    vectors = listed.select("i", "stretch", dense.alias("x"), F.pmod(F.hash("i"), F.lit(n_blocks)).alias("mine"))
+    every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    left = vectors.select("i", "stretch", "x", F.col("mine").alias("row"), F.explode(every).alias("column"))
+    right = vectors.select(F.col("i").alias("j"), "stretch", F.col("x").alias("y"), F.explode(every).alias("row"), F.col("mine").alias("column"))
+    met = left.join(right, ["stretch", "row", "column"]).where("i <= j").select("i", "j", _common_moments(F.col("x"), F.col("y")).alias("m")).where("m.n > 0")
+    sums = met.groupBy("i", "j").agg(*[F.sum(f"m.{c}").alias(c) for c in ("n", "x", "y", "xy")])
+    cov = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("n") - 1)
+    pairs = sums.select("i", "j", F.when(F.col("n") >= min_obs, F.coalesce(cov, F.lit(0.0)) * per_year).otherwise(0.0).alias("cov"), "n")
     usual = pairs.where("i = j AND cov > 0").agg(F.coalesce(F.percentile("cov", 0.5), F.lit(default)).alias("usual"))
     return pairs.join(F.broadcast(usual), F.lit(True)).select("i", "j", F.when((F.col("i") == F.col("j")) & (F.col("cov") <= 0), F.col("usual")).otherwise(F.col("cov")).alias("cov"), "n")
 
