@@ -1,4 +1,4 @@
-"""Covariances by blocks of dates and keys against pandas."""
+"""Covariances of pairs against pandas."""
 
 from __future__ import annotations
 
@@ -7,20 +7,18 @@ from datetime import date, timedelta
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from fathomline.operators.aggregates import covariance_pairs
 
 RETURNS = "symbol string, trading_date date, log_return_1d double"
 
 
-@pytest.mark.parametrize(("dates", "keys"), [(64, 128), (7, 3), (1, 1)])
-def test_same_as_pandas(spark, dates, keys):
+def test_same_as_pandas(spark):
     rng = random.Random(2)
     days = [date(2024, 1, 1) + timedelta(i) for i in range(90)]
     rows = [(f"s{k}", d, None if rng.random() < 0.1 else rng.gauss(0.5 * k, 0.02)) for k in range(9) for d in days if rng.random() < 0.8]
     rows += [("still", d, 0.1) for d in days[:30]] + [("early", days[0], 0.1), (None, days[1], 0.2), ("s1", None, 0.3)]
-    made = {(r["i"], r["j"]): (r["cov"], r["n"]) for r in covariance_pairs(spark.createDataFrame(rows, RETURNS), 50, 20, dates=dates, keys=keys).collect()}
+    made = {(r["i"], r["j"]): (r["cov"], r["n"]) for r in covariance_pairs(spark.createDataFrame(rows, RETURNS), 50, 20).collect()}
     frame = pd.DataFrame([r for r in rows if None not in r], columns=["s", "d", "x"]).sort_values("d").groupby("s").tail(50).pivot(index="d", columns="s", values="x")
     want = {}
     for a, i in enumerate(frame.columns):
@@ -35,9 +33,5 @@ def test_same_as_pandas(spark, dates, keys):
         assert made[pair] == (pytest.approx(usual if flat else cov, rel=1e-9, abs=1e-12), n)
 
 
-def test_empty_and_rows_by_blocks(spark):
-    empty = spark.createDataFrame([], RETURNS)
-    assert covariance_pairs(empty).count() == 0
-    many = spark.range(40 * 200).select(F.format_string("k%d", F.col("id") % 40).alias("symbol"), F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") / 40).cast("int")).alias("trading_date"), F.rand(1).alias("log_return_1d"))
-    made = covariance_pairs(many, keys=16)
-    assert made.count() == 40 * 41 // 2 and made.agg(F.min("n")).first()[0] == 200
+def test_empty(spark):
+    assert covariance_pairs(spark.createDataFrame([], RETURNS)).count() == 0
