@@ -110,3 +110,50 @@ def test_chunks_are_the_windows_of_each_text(spark):
     # repeated rows, a clashing column name
     twice = spark.createDataFrame([(1, "x", "p"), (1, "x", "q")], "doc_id long, text string, content string")
     assert [tuple(r) for r in text.chunk_documents(twice).collect()] == [(1, 0, "x", 1)] * 2
+
+
+def test_pairs_are_made_where_chunks_are_read(spark, monkeypatch):
+    docs, queries = corpus(spark, 700), asked(spark).union(spark.createDataFrame([(None, "hot")], "query_id long, text string"))
+    made = text.retrieval_scores(queries, docs.withColumn("char_count", F.length("content")), ("char_count",))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(text, "PAIRS", 100)  # stretches of a few rows
+    found = sorted(map(tuple, made.collect()), key=repr)
+    monkeypatch.setattr(text, "HELD_QUERIES", 0)
+    assert found == sorted(map(tuple, text.retrieval_scores(queries, docs.withColumn("char_count", F.length("content")), ("char_count",)).collect()), key=repr)
+    assert len(found) > 20_000 and {q for q, *_ in found} & {None, 102, 103, 104, 105} == set()
+
+
+def walked(rows, limit, budget):
+    """Ranks of the rows that a walk in order takes."""
+    out, now = [], None
+    for query, doc, _, size in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        if query != now:
+            now, rank, taken, chars = query, 0, 0, 0
+        rank += 1
+        if taken < limit and (taken == 0 or (size is not None and chars + size <= budget)):
+            taken, chars = taken + 1, chars + (size or 0)
+            out.append((query, rank, doc))
+    return out
+
+
+@pytest.mark.parametrize(("limit", "budget"), [(8, 12000), (3, 900), (8, 40), (1, 10)])
+def test_few_rows_of_a_list_are_walked(spark, limit, budget):
+    rng = random.Random(limit + budget)
+    rows = [(q, f"{rng.getrandbits(64):016x}", rng.randint(1, 12) / 2, rng.choice([None, 1, rng.randint(1, 2400), 2400, 20_000])) for q in range(5) for _ in range(3000)]
+    scored = spark.createDataFrame(rows, "query_id long, doc_id string, score double, char_count int").repartition(6)
+    made = text.select_chunks(scored, limit=limit, budget=budget).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in made) == sorted(walked(rows, limit, budget))
+    few = scored.coalesce(1).mapInArrow(text._foremost(limit), scored.schema)
+    assert few.count() < 1000
+
+
+def test_odd_scores_of_a_list(spark):
+    rows = [(1, "a", None, 5), (1, "b", float("nan"), 5), (1, "c", 1.0, 5), (None, "d", 2.0, 5), (None, "e", 1.0, 5)]
+    made = text.select_chunks(spark.createDataFrame(rows, "query_id long, doc_id string, score double, char_count int"))
+    assert {(r["query_id"], r["doc_id"]): r["rank"] for r in made.collect()} == {(1, "b"): 1, (1, "c"): 2, (1, "a"): 3, (None, "d"): 1, (None, "e"): 2}
+    assert text.select_chunks(spark.createDataFrame([], "query_id long, doc_id string, score double, char_count int")).count() == 0
+
+
+def test_chunks_keep_columns_of_their_documents(spark):
+    docs = spark.createDataFrame([(1, "x" * 30, "p"), (2, None, "q")], "doc_id long, text string, path string")
+    assert [tuple(r) for r in text.chunk_documents(docs, 20, 5, keep=("path",)).select("doc_id", "path", "chunk_index", "char_count").collect()] == [(1, "p", 0, 20), (1, "p", 1, 15)]
