@@ -157,3 +157,10 @@ def test_odd_scores_of_a_list(spark):
 def test_chunks_keep_columns_of_their_documents(spark):
     docs = spark.createDataFrame([(1, "x" * 30, "p"), (2, None, "q")], "doc_id long, text string, path string")
     assert [tuple(r) for r in text.chunk_documents(docs, 20, 5, keep=("path",)).select("doc_id", "path", "chunk_index", "char_count").collect()] == [(1, "p", 0, 20), (1, "p", 1, 15)]
+
+
+@pytest.mark.parametrize("name", ["retrieval_scores_all"])
+def test_no_pair_is_sent(spark, name):
+    from fathomline.plans import selection
+
+    assert "Exchange" not in selection.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
