@@ -159,7 +159,7 @@ def test_chunks_keep_columns_of_their_documents(spark):
     assert [tuple(r) for r in text.chunk_documents(docs, 20, 5, keep=("path",)).select("doc_id", "path", "chunk_index", "char_count").collect()] == [(1, "p", 0, 20), (1, "p", 1, 15)]
 
 
-@pytest.mark.parametrize("name", ["retrieval_scores_all"])
+@pytest.mark.parametrize("name", ["retrieval_scores_all", "retrieval_scores"])
 def test_no_pair_is_sent(spark, name):
     from fathomline.plans import selection
 
