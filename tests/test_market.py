@@ -28,7 +28,7 @@ def test_market_of_odd_ticks(spark, tmp_path):
         assert sorted(map(tuple, made.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["agent_context", "compact_signals_all", "compact_signals", "percentile_signals", "decision_signals", "proposed_weights", "position_action_all", "indicator_verdicts", "qubo_quadratic", "portfolio_overlay_all", "score_context", "daily_plan", "score_context_all", "candidate_pool_all", "signal_rationale"])
+@pytest.mark.parametrize("name", ["agent_context", "compact_signals_all", "compact_signals", "percentile_signals", "decision_signals", "proposed_weights", "position_action_all", "indicator_verdicts", "qubo_quadratic", "portfolio_overlay_all", "score_context", "daily_plan", "score_context_all", "candidate_pool_all", "signal_rationale", "qubo_linear"])
 def test_ticks_are_read_once(spark, monkeypatch, name):
     read = []
     monkeypatch.setattr(fixtures, "_ticks", lambda *args, whole=fixtures._ticks: read.append(args) or whole(*args))
