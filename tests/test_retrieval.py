@@ -164,3 +164,32 @@ def test_no_pair_is_sent(spark, name):
     from fathomline.plans import selection
 
     assert "Exchange" not in selection.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 8, 5000])
+def test_best_documents_without_an_index(spark, monkeypatch, n):
+    docs, queries = corpus(spark), asked(spark).union(spark.createDataFrame([(None, "hot")], "query_id long, text string"))
+    docs = docs.union(spark.createDataFrame([(None, "plans/w001.md", "dbt", "hot")], CHUNKS))
+    want = ranked(text.retrieval_scores(queries, docs), n)
+    monkeypatch.setattr(retrieval, "build_index", None)
+    few = text.foremost_scores(queries, docs.coalesce(1), n)
+    assert sorted(map(tuple, retrieval.best_documents(queries, docs, n).collect())) == want and few.count() == len(want)
+    monkeypatch.setattr(text, "PAIRS", 1000)  # stretches of a few rows, thinned many times
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sorted(map(tuple, retrieval.best_documents(queries, named, n).collect())) == ranked(text.retrieval_scores(queries, named), n)
+    assert retrieval.best_documents(queries, docs.limit(0), n).count() == 0 == retrieval.best_documents(queries.limit(0), docs, n).count()
+
+
+def test_more_queries_than_tasks_hold_take_the_index(spark, monkeypatch):
+    docs, queries = corpus(spark, 500), asked(spark)
+    want = ranked(text.retrieval_scores(queries, docs), 8)
+    monkeypatch.setattr(text, "HELD_QUERIES", 0)
+    assert sorted(map(tuple, retrieval.best_documents(queries, docs).collect())) == want
+
+
+def test_best_documents_are_not_indexed(spark, monkeypatch):
+    from fathomline.plans import selection
+
+    monkeypatch.setattr(retrieval, "stored", None)
+    made = selection.QUERIES["retrieval_top"](spark, DATA)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
